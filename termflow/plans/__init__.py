@@ -1,0 +1,11 @@
+from importlib import import_module
+
+from .registry import QUERIES, Query
+
+MODULES = ["text_queries", "term_queries"]
+
+
+def load_all() -> dict[str, Query]:
+    for m in MODULES:  # noqa
+        import_module(f"{__name__}.{m}")
+    return dict(QUERIES)
