@@ -131,12 +131,24 @@ def quoted(c: Column) -> Column:
     return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|\-&#~])", r"\\$1")
 
 
+def spaced(c: Column) -> Column:
+    """Lower-case text in which every symbol stands alone between spaces."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ ]", " $0 "), F.lit(" "))
+
+
 def term_in_text(term: Column, text: Column) -> Column:
-    """ASCII terms need word boundaries, other terms match anywhere; case is ignored."""
-    bounded = F.concat(F.lit(r"(?i)(?U)\b"), quoted(term), F.lit(r"\b"))
+    """ASCII terms need word boundaries, other terms match anywhere; case is ignored.
+
+    Terms that start and end with a word character are compared in spaced form, which needs no
+    pattern per row; only terms edged by symbols use a pattern of their own.
+    """
     ascii_only = term.rlike(r"^[\x{00}-\x{7f}]*$")
-    return (F.length(term) > 0) & F.when(ascii_only, F.regexp_like(text, bounded)).otherwise(
-        F.contains(F.lower(text), F.lower(term)))
+    word_edges = term.rlike(r"^\w(.*\w)?$")
+    pattern = F.concat(F.lit(r"(?i)(?U)\b"), quoted(term), F.lit(r"\b"))
+    return (F.length(term) > 0) & (
+        F.when(~ascii_only, F.contains(F.lower(text), F.lower(term)))
+        .when(word_edges, F.contains(spaced(text), spaced(term)))
+        .otherwise(F.regexp_like(text, pattern)))
 
 
 def normalize_domain(raw: Column, synonyms: dict[str, list[str]] = K.DOMAIN_SYNONYMS) -> Column:

@@ -17,9 +17,9 @@ def langs():
 
 
 @query("term_coverage", "J6 P1 A1", sql("""
-    select lang, source, cast(sum(n) as bigint) occurrences, count(distinct h.doc_id) n_docs
-    from lib_hits h join documents using (doc_id) where length(trim(source_text)) >= 2 group by all
-    order by occurrences desc, lang, source limit 100""", "lib_hits"))
+    select d.lang, h.source, cast(sum(n) as bigint) occurrences, count(distinct h.doc_id) n_docs
+    from lib_hits h join documents d on d.doc_id = h.doc_id where length(trim(source_text)) >= 2 group by all
+    order by occurrences desc, d.lang, h.source limit 100""", "lib_hits"))
 def term_coverage(spark, d):
     """Where the library's terms occur: lines, substring join, counts per language, top rows."""
     b = blocks(spark, d).where(T.is_translatable(F.col("source_text")))
@@ -40,8 +40,9 @@ def term_frequency(spark, d):
 
 @query("bounded_term_hits", "J5 F7", sql("""
     select doc_id, count(*) n_hits, count(distinct id) n_terms from lib_hits
-    where regexp_matches(lower(source_text), '(^|[^\\p{L}\\p{N}_])' || norm || '([^\\p{L}\\p{N}_]|$)')
-    group by doc_id""", "lib_hits"))
+    where contains(t, ' ' || norm || ' ') group by doc_id""", "lib_hits").replace("from lib_hits", """from (select h.*, p.t
+      from lib_hits h join (select doc_id, block_no, ' ' || regexp_replace(lower(source_text), '[^\\p{L}\\p{N}_ ]', ' | ', 'g') || ' ' t
+      from blocks) p using (doc_id, block_no))"""))
 def bounded_term_hits(spark, d):
     hits = X.term_hits(blocks(spark, d), library(spark, d).select(F.col("norm").alias("term")))
     return hits.where("bounded").groupBy("doc_id").agg(
