@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import maps as M
 from ..functions import text as T
+from ..session import written
 from ..skew import running_sum_by_chunk, salted_join
 from . import matching as X
 from .extraction import count_in_own_document
@@ -86,19 +87,19 @@ def usable_constraints(library: DataFrame, languages: list[str]) -> DataFrame:
 def supplement(docs_blocks: DataFrame, library: DataFrame, matched: DataFrame, languages: Column) -> DataFrame:
     """Library terms that occur in a text though nobody extracted them; `matched` is
     (doc_id, norm) of the extracted terms the library already covers."""
-    forms = library.select("id", F.col("source").alias("term")).unionByName(
-        library.select("id", F.explode(F.map_values("targets")).alias("term"))).where("term <> ''").distinct()
-    hits = X.term_hits(docs_blocks, forms).groupBy("doc_id", "term").agg(
-        F.max("bounded").alias("bounded"), F.sum("n").alias("n"))
-    rows = library.select("id", "domain_id", "source", "norm", "targets", *META)
-    by_id = salted_join(hits, forms.join(rows, "id"), ["term"], ["doc_id"])
-    found = (by_id.groupBy("doc_id", "id", "norm").agg(
-        F.bool_or("bounded").alias("found"), F.first(F.struct(*[c for c in rows.columns if c not in ("id", "norm")])).alias("r"),
-        F.max(F.when(F.col("term") == F.col("source"), F.col("n"))).alias("frequency")).where("found")
-        .join(matched, ["doc_id", "norm"], "left_anti"))
-    one = found.groupBy("doc_id", "norm").agg(F.min_by(F.struct("id", "r", "frequency"), F.struct("r.domain_id", "id")).alias("f"))
+    forms = library.select("id", F.col("source").alias("term"), F.lit(True).alias("is_source")).unionByName(
+        library.select("id", F.explode(F.map_values("targets")).alias("term"), F.lit(False).alias("is_source"))
+    ).where("term <> ''").groupBy("id", "term").agg(F.max("is_source").alias("is_source"))
+    hits = X.term_hits(docs_blocks, forms)
+    found = (salted_join(hits, forms, ["term"], ["doc_id"]).groupBy("doc_id", "id").agg(
+        F.bool_or("bounded").alias("found"), F.sum(F.when(F.col("is_source"), F.col("n"))).alias("frequency")).where("found"))
+    named = salted_join(found, library.select("id", "domain_id", "norm"), ["id"], ["doc_id"])
+    one = (named.join(matched, ["doc_id", "norm"], "left_anti").groupBy("doc_id", "norm").agg(
+        F.min_by(F.struct("id", "frequency"), F.struct("domain_id", "id")).alias("f"))
+        .select("doc_id", "norm", "f.id", F.coalesce("f.frequency", F.lit(0)).cast("bigint").alias("frequency")))
+    one = written(one, "found-terms")
     kept = X.drop_contained(one, one.select("doc_id", "norm").unionByName(matched))
-    t = kept.select("doc_id", "norm", "f.id", "f.r.*", F.coalesce("f.frequency", F.lit(0)).cast("bigint").alias("frequency"))
+    t = salted_join(kept, library.select("id", "domain_id", "source", "targets", *META), ["id"], ["doc_id"])
     missing = M.missing_languages(F.col("targets"), languages)
     return t.withColumn("uncertainty_note", F.when(F.size(missing) > 0, F.concat(
         F.lit("MISSING_TRANSLATIONS:"), F.array_join(missing, ","))).otherwise(F.lit("")))

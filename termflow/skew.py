@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate of a table is under its broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= limit
+
+
 def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi join of a large, possibly skewed table with a smaller keyed one.
 
-    Rows of a hot key are spread over `salts` tasks by a hash of the `spread` columns;
+    A side whose estimated size is under the broadcast limit is broadcast, so nothing is moved.
+    Beyond that, rows of a hot key are spread over `salts` tasks by a hash of the `spread` columns;
     the other side is repeated once per salt. The hash depends on data only, so a rebuilt
     task sends its rows to the same place.
     """
+    if fits_broadcast(dim):
+        return facts.join(F.broadcast(dim), keys, how)
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
