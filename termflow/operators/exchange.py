@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,19 +185,22 @@ def token_diff(changes: DataFrame, keys: list[str], before: str = "before", afte
 
     The longest common subsequence needs a table per pair, which no built-in gives. On ties an insertion comes before a deletion when walking back.
     """
-    def ops(a: list[str], b: list[str]):
-        prev = [[0] * (len(b) + 1)]
-        for x in a:
-            row = [0]
-            for j, y in enumerate(b):
-                row.append(prev[-1][j] + 1 if x == y else max(prev[-1][j + 1], row[j]))
-            prev.append(row)
-        i, j, out = len(a), len(b), []
+    def ops(a, b):
+        ids, _ = pd.factorize(np.concatenate([a, b]).astype(object))
+        x, y = ids[:len(a)], ids[len(a):]
+        # For each cell, whether the cell to its left is at least as good as the one above.
+        left, row = [], np.zeros(len(y) + 1, dtype=np.int32)
+        for t in x:
+            new = row.copy()
+            new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == t)))
+            left.append(np.packbits(new[:-1] >= row[1:]))
+            row = new
+        i, j, out = len(x), len(y), []
         while i or j:
-            if i and j and a[i - 1] == b[j - 1]:
+            if i and j and x[i - 1] == y[j - 1]:
                 i, j = i - 1, j - 1
                 out.append(("equal", a[i]))
-            elif j and (i == 0 or prev[i][j - 1] >= prev[i - 1][j]):
+            elif j and (i == 0 or left[i - 1][(j - 1) >> 3] >> (7 - (j - 1) % 8) & 1):
                 j -= 1
                 out.append(("insert", b[j]))
             else:

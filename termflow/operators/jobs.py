@@ -173,7 +173,7 @@ def stage_timing(progress: DataFrame, total: Column, chunk: Column) -> DataFrame
     staged = running_sum_by_chunk(starts, ["run_id"], order, chunk, F.col("_new"), "_stage")
     begun = staged.groupBy("run_id", "_stage").agg(F.min(F.when(F.col("_new") == 1, F.col("ts"))).alias("_start"))
     j = salted_join(staged, begun, ["run_id", "_stage"], ["event_id"])
-    micros = lambda c: F.unix_micros(c)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     elapsed = F.when(F.col("_start").isNotNull(), (micros(F.col("ts")) - micros(F.col("_start"))) / 1e6)
     timed = F.col("status").isin("translating", "reviewing") & (F.col("segments_done") > 0) & (total > 0) & (F.col("_new") == 0)
     per = F.when(timed & ~terminal, elapsed / F.col("segments_done"))

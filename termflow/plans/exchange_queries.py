@@ -96,12 +96,12 @@ def reviewed(spark, d):
         b["block_id"].alias("block_id"), b["block_no"].alias("block_no"), b["group_id"].alias("group_id"), b["text"].alias("source_text"),
         F.concat(F.lit("[T]"), T.strip(b["text"])).alias("text"))))
     back = F.concat(F.array_join(F.transform("blocks", lambda b: F.when(b["block_no"] % 9 == 8, "").otherwise(F.concat(
-        F.lit("[[BLOCK:"), b["block_id"], F.lit("]]\n"), F.when(b["block_no"] % 4 == 1, F.replace(b["text"], F.lit(" the "), F.lit(" THE new "))).otherwise(b["text"])))), "\n\n"),
+        F.lit("[[BLOCK:"), b["block_id"], F.lit("]]\n"), F.when(b["block_no"] % 4 == 1, F.replace(b["text"], F.lit(","), F.lit("‡‡"))).otherwise(b["text"])))), "\n\n"),
         F.lit("\n\n[[END]]"))
     return X.review_changes(X.read_replies(seg.withColumn("reply", back)))
 
 
-CHG = """select doc_id, sn segment_no, i, 'b' || i block_id, t, '[T]' || trim(t) b, case when i%4=1 and i%9<>8 then replace('[T]' || trim(t), ' the ', ' THE new ') else '[T]' || trim(t) end a from gen"""
+CHG = """select doc_id, sn segment_no, i, 'b' || i block_id, t, '[T]' || trim(t) b, case when i%4=1 and i%9<>8 then replace('[T]' || trim(t), ',', '‡‡') else '[T]' || trim(t) end a from gen"""
 
 
 @query("review_changes", "M6", sql("""
@@ -119,7 +119,7 @@ def changed_block_counts(spark, d):
 
 
 @query("review_diffs", "DIFF1 SNK11", sql("""
-    select doc_id, block_id, md5(replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ' the ', ' <del>the</del><ins>THE new</ins> ')) diff
+    select doc_id, block_id, md5(replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ',', '<del>,</del><ins>‡‡</ins>')) diff
     from chg where a <> b""", "blocks", **GEN_CTE, chg=CHG))
 def review_diffs(spark, d):
     c = reviewed(spark, d).where("changed")

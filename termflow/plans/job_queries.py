@@ -60,9 +60,9 @@ def job_type_groups(spark, d):
 
 @query("filtered_jobs", "P12", sql("""
     select job_id, category, extension, bucket from lab where lower(filename) like '%1%.d%' and category in ('active','error') and bucket in ('last30Days','older')""", "jobs", lab=LAB)
-    .replace("like '%1%.d%'", "like '%1.docx%'"))
+    .replace("like '%1%.d%'", "like '%5.docx%'"))
 def filtered_jobs(spark, d):
-    f = J.filter_jobs(labelled(spark, d), "1.DOCX", ["active", "error"], [".docx", ".srt"], ["last30Days", "older"])
+    f = J.filter_jobs(labelled(spark, d), "5.DOCX", ["active", "error"], [".docx", ".srt"], ["last30Days", "older"])
     return f.select("job_id", "category", "extension", "bucket")
 
 

@@ -44,15 +44,15 @@ def lag_by_chunk(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     cut = df.withColumn("_chunk", chunk).withColumn("_value", value)
     w = _chunk_window(keys, "_chunk").orderBy(*order)
     inside = cut.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_prev", F.lag(F.struct("_value")).over(w))
+        "_lagged", F.lag(F.struct("_value")).over(w))
     tails = cut.groupBy(*keys, "_chunk").agg(
         F.max_by(F.struct("_value"), F.struct(*order)).alias("_tail"))
     border = tails.withColumn("_before", F.lag("_tail").over(
         Window.partitionBy(*keys).orderBy("_chunk"))).drop("_tail")
     first = F.col("_rn") == 1
     return (inside.join(border, [*keys, "_chunk"], "left")
-            .withColumn(out, F.when(first, F.col("_before._value")).otherwise(F.col("_prev._value")))
-            .drop("_chunk", "_value", "_rn", "_prev", "_before"))
+            .withColumn(out, F.when(first, F.col("_before._value")).otherwise(F.col("_lagged._value")))
+            .drop("_chunk", "_value", "_rn", "_lagged", "_before"))
 
 
 def running_sum_by_chunk(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
