@@ -99,7 +99,8 @@ def live_timing(events: DataFrame, total: Column, chunk: Column) -> DataFrame:
 def cue_sessions(cues: DataFrame, gap_seconds: float, late: str) -> DataFrame:
     """Sessions of (key, start_at, seconds) that close when a pause exceeds the gap; a pause of
     exactly the gap stays inside."""
-    gap = F.concat((F.col("seconds") + gap_seconds).cast("string"), F.lit(" seconds"))
+    # Fixed digits: an interval text with more than nine decimals is invalid and its row would vanish.
+    gap = F.format_string("%.6f seconds", F.col("seconds") + gap_seconds)
     s = (cues.withWatermark("start_at", late).groupBy("key", F.session_window("start_at", gap).alias("w"))
          .agg(F.count("*").alias("n_cues")))
     return _append(s.select("key", F.col("w.start").alias("session_start"), "n_cues"), "sessions")
