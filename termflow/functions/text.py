@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value worked out once per row. A plain column expression used inside a
+    lambda would be worked out again for every array element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(K.WHITESPACE))
 

@@ -6,7 +6,7 @@ column expressions on that row. Only the model itself is a Python function over
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -47,20 +47,18 @@ def parse_reply(reply: Column, blocks: Column) -> Column:
     Unknown ids are ignored and blank texts count as missing; of repeated ids the last wins. A
     lone block takes the whole reply when no marker matched.
     """
-    body = _cut_at_end(reply)
-    ids = F.regexp_extract_all(body, F.lit(K.BLOCK_MARKER), F.lit(1))
-    texts = F.split(body, K.BLOCK_MARKER)
-    pairs = F.transform(ids, lambda x, i: F.struct(x.alias("block_id"), _clean(F.get(texts, i + 1)).alias("text")))
-    pairs = F.filter(pairs, lambda p: p["text"] != "")
-    found = F.filter(F.transform(blocks, lambda b: F.struct(
-        b["block_id"].alias("block_id"),
-        F.try_element_at(F.filter(pairs, lambda p: p["block_id"] == b["block_id"]), F.lit(-1))["text"].alias("text"))),
-        lambda x: x["text"].isNotNull())
-    whole = _clean(body)
-    at = F.instr(whole, K.END_MARKER)
-    whole = T.strip(F.when(at > 0, F.substring(whole, F.lit(1), at - 1)).otherwise(whole))
-    alone = (F.size(blocks) == 1) & (F.size(found) == 0) & (whole != "")
-    return F.when(alone, F.array(F.struct(F.get(blocks, F.lit(0))["block_id"].alias("block_id"), whole.alias("text")))).otherwise(found)
+    def read(body):
+        ids = F.regexp_extract_all(body, F.lit(K.BLOCK_MARKER), F.lit(1))
+        pairs = F.filter(F.zip_with(ids, F.slice(F.split(body, K.BLOCK_MARKER), F.lit(2), F.size(ids)), lambda i, t: F.struct(
+            i.alias("block_id"), _clean(t).alias("text"))), lambda p: p["text"] != "")
+        found = T.let(pairs, lambda ps: F.filter(F.transform(blocks, lambda b: F.struct(
+            b["block_id"].alias("block_id"),
+            F.try_element_at(F.filter(ps, lambda p: p["block_id"] == b["block_id"]), F.lit(-1))["text"].alias("text"))),
+            lambda x: x["text"].isNotNull()))
+        cut = T.strip(F.substring_index(_clean(body), K.END_MARKER, 1))
+        alone = F.array(F.struct(F.get(blocks, F.lit(0))["block_id"].alias("block_id"), cut.alias("text")))
+        return T.let(found, lambda f: F.when((F.size(blocks) == 1) & (F.size(f) == 0) & (cut != ""), alone).otherwise(f))
+    return T.let(_cut_at_end(reply), read)
 
 
 def read_replies(segments: DataFrame) -> DataFrame:
@@ -83,14 +81,13 @@ def missing_blocks(read: DataFrame) -> DataFrame:
     return read.select("doc_id", "segment_no", F.explode(lost).alias("b")).select("doc_id", "segment_no", "b.block_id")
 
 
-def call_model(requests: DataFrame, model: Model) -> DataFrame:
-    """Add `reply` by sending batches of rows to a model function."""
-    out = StructType([*requests.schema.fields, StructField("reply", StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(reply=model(b))
-    return requests.mapInPandas(run, out)
+def call_model(requests: DataFrame, model: Model, needs: list[str]) -> DataFrame:
+    """Add `reply` by sending batches of the needed columns to a model function. The other columns
+    stay in the JVM."""
+    @F.pandas_udf(StringType())
+    def ask(rows: pd.DataFrame) -> pd.Series:
+        return model(rows)
+    return requests.withColumn("reply", ask.asNondeterministic()(F.struct(*needs)))
 
 
 def echo_model(requests: pd.DataFrame) -> pd.Series:
@@ -106,20 +103,17 @@ def translate(segments: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     so a lost executor never repeats a request that was answered.
     """
     def ask(rows, attempt):
-        sent = rows.select("doc_id", "segment_no", "blocks", payload(F.col("blocks")).alias("payload"),
-                           F.lit(attempt).alias("attempt"))
-        keys = sent.select("doc_id", "segment_no", F.col("blocks.block_id").alias("ids"), "payload", "attempt")
-        replies = written(call_model(keys, model), "replies").select("doc_id", "segment_no", "ids", "reply")
-        back = rows.withColumn("ids", F.col("blocks.block_id")).join(replies, ["doc_id", "segment_no", "ids"]).drop("ids")
-        read = read_replies(back)
-        return read, read.where("complete").withColumn("pass", F.lit(attempt)), read.where("not complete").select(rows.columns)
-
-    base = segments.select("doc_id", "segment_no", "blocks")
-    _, ok1, open1 = ask(base, 1)
-    _, ok2, open2 = ask(open1, 2)
+        sent = rows.withColumn("payload", payload(F.col("blocks"))).withColumn("attempt", F.lit(attempt))
+        replied = call_model(sent, model, ["doc_id", "segment_no", "payload", "attempt"])
+        read = written(read_replies(replied).select("doc_id", "segment_no", "blocks", "parsed", "complete"), "replies")
+        return (read.where("complete").withColumn("pass", F.lit(attempt)),
+                read.where("not complete").select("doc_id", "segment_no", "blocks"))
+
+    ok1, open1 = ask(segments.select("doc_id", "segment_no", "blocks"), 1)
+    ok2, open2 = ask(open1, 2)
     singles = open2.select("doc_id", "segment_no", F.explode(F.transform("blocks", lambda b: F.array(b))).alias("blocks"))
-    _, ok3, open3 = ask(singles, 3)
-    last, ok4, open4 = ask(open3, 4)
+    ok3, open3 = ask(singles, 3)
+    ok4, open4 = ask(open3, 4)
     good = ok1.unionByName(ok2).unionByName(ok3).unionByName(ok4)
     done = good.select("doc_id", "segment_no", "pass", F.explode("parsed").alias("p")).select(
         "doc_id", "segment_no", "p.block_id", F.col("p.text").alias("translated_text"), "pass")
@@ -159,7 +153,7 @@ def answer(requests: DataFrame, cache: DataFrame, model: Model, key_cols: list[s
     """
     keyed = requests.withColumn("request_key", T.request_key(*key_cols))
     distinct = keyed.groupBy("request_key").agg(F.min(F.struct(*key_cols)).alias("q")).select("request_key", "q.*")
-    new = written(call_model(distinct.join(cache, "request_key", "left_anti"), model), "cache").select("request_key", "reply")
+    new = written(call_model(distinct.join(cache, "request_key", "left_anti"), model, key_cols), "cache").select("request_key", "reply")
     known = cache.select("request_key", "reply", F.lit(True).alias("hit")).unionByName(new.withColumn("hit", F.lit(False)))
     return _join_copies(keyed, known), new
 

@@ -171,8 +171,8 @@ RULE_BY_TYPE = {"pptx": "slide", "srt": "subtitle", "vtt": "subtitle", "ass": "s
 
 def cut(blocks: Column, starts: Column) -> Column:
     """Array of segments, each an array of blocks."""
-    return F.transform(starts, lambda s, k: F.slice(
-        blocks, s + 1, F.coalesce(F.get(starts, k + 1), F.size(blocks)) - s))
+    return T.let(starts, lambda at: F.transform(at, lambda s, k: F.slice(
+        blocks, s + 1, F.coalesce(F.get(at, k + 1), F.size(blocks)) - s)))
 
 
 def segment(docs: DataFrame, rule: str, limit: float, **options) -> DataFrame:
@@ -228,8 +228,8 @@ def previous_contexts(docs: DataFrame, texts: str = "translations", chars: int =
                          lambda w: F.slice(seg, (w - 1) * window + 1, F.lit(window)))
     states = F.aggregate(groups, F.array(F.lit("")), lambda acc, g: F.concat(acc, F.array(
         F.aggregate(g, F.element_at(acc, -1), step))))
-    return docs.select("doc_id", F.posexplode(F.transform(
-        seg, lambda _, k: F.get(states, F.floor(k / window).cast("int")))).alias("segment_no", "context"))
+    return docs.select("doc_id", F.posexplode(T.let(states, lambda held: F.transform(
+        seg, lambda _, k: F.get(held, F.floor(k / window).cast("int"))))).alias("segment_no", "context"))
 
 
 @F.pandas_udf(INTS)
@@ -277,7 +277,7 @@ def list_groups(docs: DataFrame) -> DataFrame:
     b = F.col("blocks")
     head = _with_previous(b, lambda x, a: x["translatable"] & a["translatable"] & (x["list_id"] == a["list_id"]))
     starts = F.filter(F.transform(head, lambda glued, i: F.when(~glued, i)), lambda i: i.isNotNull())
-    runs = F.transform(cut(b, starts), lambda run, k: F.struct(F.get(starts, k).alias("at"), run.alias("run")))
+    runs = T.let(starts, lambda at: F.transform(cut(b, at), lambda run, k: F.struct(F.get(at, k).alias("at"), run.alias("run"))))
     return (docs.select("doc_id", F.explode(runs).alias("r"))
             .select("doc_id", F.col("r.at").alias("at"), F.posexplode("r.run").alias("para_index", "b"))
             .where("b.translatable").select(

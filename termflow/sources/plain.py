@@ -21,11 +21,15 @@ def running_count(flags: pd.Series) -> pd.Series:
 
 def _islands(lines: Column, inside: Column, kind: str) -> Column:
     """Maximal runs of lines whose flag in `inside` is true, as array<struct<line, span, text, type>>."""
-    at = lambda i: F.coalesce(F.get(inside, i), F.lit(False))
     index = F.sequence(F.lit(0), F.size(lines))
-    starts = F.filter(index, lambda i: at(i) & ((i == 0) | ~at(i - 1)))
-    ends = F.filter(index, lambda i: at(i) & ~at(i + 1))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(
+
+    def edges(flags):
+        at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+        starts = F.filter(index, lambda i: at(i) & ((i == 0) | ~at(i - 1)))
+        ends = F.filter(index, lambda i: at(i) & ~at(i + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return F.transform(T.let(inside, edges), lambda z: F.struct(
         z["a"].alias("line"), (z["b"] - z["a"] + 1).alias("span"),
         T.strip(F.array_join(F.slice(lines, z["a"] + 1, z["b"] - z["a"] + 1), "\n")).alias("text"), F.lit(kind).alias("type"),
         F.lit("").alias("prefix")))
