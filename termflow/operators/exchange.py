@@ -73,12 +73,12 @@ def match_ratios(read: DataFrame) -> DataFrame:
 
 
 def translations(read: DataFrame) -> DataFrame:
-    return read.select("doc_id", "segment_no", F.explode("parsed").alias("p")).select("doc_id", "segment_no", "p.*")
+    return read.select("doc_id", "segment_no", F.explode_outer("parsed").alias("p")).where("p is not null").select("doc_id", "segment_no", "p.*")
 
 
 def missing_blocks(read: DataFrame) -> DataFrame:
     lost = F.filter("blocks", lambda b: ~F.exists("parsed", lambda p: p["block_id"] == b["block_id"]))
-    return read.select("doc_id", "segment_no", F.explode(lost).alias("b")).select("doc_id", "segment_no", "b.block_id")
+    return read.select("doc_id", "segment_no", F.explode_outer(lost).alias("b")).where("b is not null").select("doc_id", "segment_no", "b.block_id")
 
 
 def call_model(requests: DataFrame, model: Model, needs: list[str]) -> DataFrame:
@@ -126,8 +126,8 @@ def review_changes(read: DataFrame) -> DataFrame:
 
     Blocks need `text` (the draft) and `source_text`."""
     after = lambda b: F.coalesce(F.try_element_at(F.filter("parsed", lambda p: p["block_id"] == b["block_id"]), F.lit(-1))["text"], b["text"])
-    rows = read.select("doc_id", "segment_no", F.explode(F.transform(F.filter("blocks", lambda b: b["text"] != ""), lambda b: F.struct(
-        b["block_id"].alias("block_id"), b["source_text"].alias("source_text"), b["text"].alias("before"), after(b).alias("after")))).alias("c"))
+    rows = read.select("doc_id", "segment_no", F.explode_outer(F.transform(F.filter("blocks", lambda b: b["text"] != ""), lambda b: F.struct(
+        b["block_id"].alias("block_id"), b["source_text"].alias("source_text"), b["text"].alias("before"), after(b).alias("after")))).alias("c")).where("c is not null")
     changed = F.col("before") != F.col("after")
     return (rows.select("doc_id", "segment_no", "c.*").withColumn("changed", changed)
             .withColumn("source_text", F.when(changed, F.col("source_text")).otherwise(""))

@@ -11,7 +11,7 @@ WORDS_PER_LANGUAGE = 300
 def word_profiles(docs: DataFrame, size: int = WORDS_PER_LANGUAGE) -> DataFrame:
     """Most frequent words of every labelled language with their log share, as whole numbers
     so that scores do not depend on the order of summation."""
-    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
+    words = docs.select("lang", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where("word is not null")
     n = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     total = n.groupBy("lang").agg(F.sum("n").alias("total"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= size)
@@ -25,7 +25,7 @@ def detect(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     meets at most one row per language.
     """
     from ..skew import salted_join
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
+    words = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where("word is not null")
     counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     score = (salted_join(counts, profiles, ["word"], ["doc_id"])
              .groupBy("doc_id", "guess").agg(F.sum(F.col("n") * F.col("weight")).alias("score")))

@@ -196,11 +196,11 @@ def segment_by_type(docs: DataFrame, file_type: str = "file_type") -> DataFrame:
 
 def segment_rows(docs: DataFrame) -> DataFrame:
     """One row per segment: (doc_id, segment_no, blocks)."""
-    return docs.select("doc_id", F.posexplode("segments").alias("segment_no", "blocks"))
+    return docs.select("doc_id", F.posexplode_outer("segments").alias("segment_no", "blocks")).where("blocks is not null")
 
 
 def block_rows(segments: DataFrame) -> DataFrame:
-    return segments.select("doc_id", "segment_no", F.explode("blocks").alias("b")).select("doc_id", "segment_no", "b.*")
+    return segments.select("doc_id", "segment_no", F.explode_outer("blocks").alias("b")).select("doc_id", "segment_no", "b.*")
 
 
 def joined_text(blocks: Column, field: str = "text") -> Column:
@@ -211,7 +211,7 @@ def next_previews(docs: DataFrame, chars: int = K.PREVIEW_CHARS) -> DataFrame:
     """(doc_id, segment_no, preview) with the start of the following segment's source."""
     seg = F.col("segments")
     previews = F.transform(seg, lambda s, k: F.when(k + 1 < F.size(seg), F.substring(joined_text(F.get(seg, k + 1)), 1, chars)))
-    return docs.select("doc_id", F.posexplode(previews).alias("segment_no", "preview"))
+    return docs.select("doc_id", F.posexplode_outer(previews).alias("segment_no", "preview")).where("segment_no is not null")
 
 
 def previous_contexts(docs: DataFrame, texts: str = "translations", chars: int = K.CONTEXT_CHARS,
@@ -228,8 +228,8 @@ def previous_contexts(docs: DataFrame, texts: str = "translations", chars: int =
                          lambda w: F.slice(seg, (w - 1) * window + 1, F.lit(window)))
     states = F.aggregate(groups, F.array(F.lit("")), lambda acc, g: F.concat(acc, F.array(
         F.aggregate(g, F.element_at(acc, -1), step))))
-    return docs.select("doc_id", F.posexplode(T.let(states, lambda held: F.transform(
-        seg, lambda _, k: F.get(held, F.floor(k / window).cast("int"))))).alias("segment_no", "context"))
+    return docs.select("doc_id", F.posexplode_outer(T.let(states, lambda held: F.transform(
+        seg, lambda _, k: F.get(held, F.floor(k / window).cast("int"))))).alias("segment_no", "context")).where("segment_no is not null")
 
 
 @F.pandas_udf(INTS)

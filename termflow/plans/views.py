@@ -21,14 +21,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", "lang", F.posexplode("lines").alias("block_no", "source_text"))
+    return docs(spark, sf_dir).select("doc_id", "lang", F.posexplode_outer("lines").alias("block_no", "source_text"))
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("t"))
     grams = lambda p, c: F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)),
                                      lambda x: F.struct(F.lit(c).alias("cls"), x.alias("tok")))
-    counts = (d.select("lang", F.explode(F.concat(grams("[a-z]{3,}", 1), grams("[a-z]{3,} [a-z]{3,}", 2))).alias("g"))
+    counts = (d.select("lang", F.explode_outer(F.concat(grams("[a-z]{3,}", 1), grams("[a-z]{3,} [a-z]{3,}", 2))).alias("g")).where("g is not null")
               .groupBy("lang", "g.cls", "g.tok").agg(F.count("*").alias("n")))
     from pyspark.sql import Window
     ranked = counts.withColumn("r", F.row_number().over(
@@ -70,8 +70,8 @@ def library_long(spark, sf_dir):
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted terms: the ten most frequent words of each document."""
     from pyspark.sql import Window
-    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(
-        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("source"))
+    words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode_outer(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("source")).where("source is not null")
     counts = words.groupBy("doc_id", "lang", "source").agg(F.count("*").alias("frequency"))
     top = counts.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy(
         F.desc("frequency"), "source")).cast("bigint")).where("pos <= 10")

@@ -39,7 +39,7 @@ def txt_blocks(files: DataFrame) -> DataFrame:
     """Paragraphs between blank lines, with their first line and line count."""
     staged = files.select("doc_id", T.file_lines(F.col("text")).alias("lines")).withColumn(
         "filled", F.transform("lines", lambda l: T.strip(l) != ""))
-    rows = staged.select("doc_id", F.explode(_islands(F.col("lines"), F.col("filled"), "paragraph")).alias("p")).select("doc_id", "p.*")
+    rows = staged.select("doc_id", F.explode_outer(_islands(F.col("lines"), F.col("filled"), "paragraph")).alias("p")).select("doc_id", "p.*")
     return rows.where(T.is_translatable(F.col("text"))).select(
         "doc_id", F.concat(F.lit("para_"), "line").alias("block_id"), "line", "span", F.col("text").alias("source_text"))
 
@@ -63,7 +63,7 @@ def md_blocks(files: DataFrame) -> DataFrame:
     ones = F.transform(single, lambda s: F.struct(s["line"].alias("line"), s["span"].alias("span"), F.when(
         s["type"] == "heading", s["h"]).otherwise(s["li"]).alias("text"), s["type"].alias("type"), s["prefix"].alias("prefix")))
     paras = _islands(lines, F.transform("role", lambda r: r == "paragraph"), "paragraph")
-    rows = f.select("doc_id", F.explode(F.concat(ones, paras)).alias("b")).select("doc_id", "b.*").where(T.is_translatable(F.col("text")))
+    rows = f.select("doc_id", F.explode_outer(F.concat(ones, paras)).alias("b")).select("doc_id", "b.*").where(T.is_translatable(F.col("text")))
     head = F.when(F.col("type") == "heading", F.concat(F.lit("h"), F.length("prefix"), F.lit("_"))).when(
         F.col("type") == "list", "li_").otherwise("para_")
     return rows.select("doc_id", F.concat(head, "line").alias("block_id"), "type", "line", "span", "prefix", F.col("text").alias("source_text"))

@@ -25,7 +25,7 @@ def _po_field(entry: Column, name: str) -> Column:
 
 def po_blocks(files: DataFrame) -> DataFrame:
     entries = F.filter(F.split(F.regexp_replace("text", r"\r\n", "\n"), r"\n[ \t]*\n"), lambda e: F.regexp_like(e, F.lit(r"(?m)^msgid\s")))
-    e = files.select("doc_id", F.posexplode(entries).alias("block_no", "e"))
+    e = files.select("doc_id", F.posexplode_outer(entries).alias("block_no", "e"))
     fields = e.select("doc_id", "block_no", T.strip(_po_field(F.col("e"), "msgid")).alias("msgid"), _po_field(F.col("e"), "msgctxt").alias("msgctxt"),
                       _po_field(F.col("e"), "msgid_plural").alias("msgid_plural"),
                       F.array_join(F.regexp_extract_all("e", F.lit(r"(?m)^#,[ \t]*(.*)$"), F.lit(1)), ", ").alias("flags"))
@@ -73,7 +73,7 @@ def value_at(doc: Column, path: str, kind: str = "string") -> Column:
 def xml_elements(files: DataFrame, tag: str, schema: str) -> DataFrame:
     """(doc_id, seq, e) for every element of a name that does not nest in itself."""
     element = rf"(?s)<{tag}(?=[\s>/])(?:[^>]*+(?<=/)>|.*?</{tag}\s*>)"
-    return (files.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(element), F.lit(0))).alias("seq", "x"))
+    return (files.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(element), F.lit(0))).alias("seq", "x"))
             .select("doc_id", "seq", F.from_xml("x", schema, {"valueTag": "value", "ignoreNamespace": "true"}).alias("e")))
 
 

@@ -25,7 +25,7 @@ def _cue(p: Column) -> Column:
 
 def srt_blocks(files: DataFrame) -> DataFrame:
     cues = F.transform(_paragraphs(F.col("text")), _cue)
-    return (files.select("doc_id", F.posexplode(cues).alias("block_no", "c")).where("c.text <> ''")
+    return (files.select("doc_id", F.posexplode_outer(cues).alias("block_no", "c")).where("c.text <> ''")
             .select("doc_id", "block_no", F.concat(F.lit("srt_"), "c.cue").alias("block_id"), "c.cue", "c.start", "c.end",
                     F.col("c.text").alias("source_text")))
 
@@ -34,7 +34,7 @@ def vtt_blocks(files: DataFrame) -> DataFrame:
     """Cues count from zero; the header, notes and styles carry no arrow line and drop out."""
     long_time = lambda c: F.when(c.rlike(r"^\d+:\d+\.\d+$"), F.concat(F.lit("00:"), c)).otherwise(c)
     cues = F.transform(_paragraphs(F.col("text")), _cue)
-    return (files.select("doc_id", F.posexplode(cues).alias("block_no", "c")).where("c.text <> ''")
+    return (files.select("doc_id", F.posexplode_outer(cues).alias("block_no", "c")).where("c.text <> ''")
             .select("doc_id", "block_no", F.concat(F.lit("vtt_"), "block_no").alias("block_id"), F.col("block_no").alias("cue"),
                     long_time(F.col("c.start")).alias("start"), long_time(F.col("c.end")).alias("end"), F.col("c.text").alias("source_text")))
 
@@ -51,7 +51,7 @@ def ass_lines(files: DataFrame) -> DataFrame:
     named = fmt.withColumn("names", F.transform(F.split(F.coalesce("fmt", F.lit(DEFAULT_FORMAT)), ","), lambda n: F.lower(T.strip(n))))
     at = F.array_position("names", F.lit("text"))
     return named.select("doc_id", F.size("names").alias("n_cols"), F.when(at > 0, at).otherwise(F.size("names")).cast("int").alias("text_col"),
-                        F.posexplode(F.filter("rows", lambda l: ~is_format(l))).alias("block_no", "line"))
+                        F.posexplode_outer(F.filter("rows", lambda l: ~is_format(l))).alias("block_no", "line")).where("line is not null")
 
 
 def ass_blocks(files: DataFrame) -> DataFrame:
