@@ -31,10 +31,10 @@ def rebuild_categories(source: DataFrame, output: DataFrame, keys: list[str], ma
     return s.join(o, keys, "full").withColumn("category", cat).groupBy("category").agg(F.count("*").alias("n"))
 
 
-def split_groups(segments: DataFrame) -> DataFrame:
-    """Visual groups that ended up in more than one segment."""
+def group_spans(segments: DataFrame) -> DataFrame:
+    """First and last segment of every visual group; they differ only for a split group."""
     return (segments.where("group_id is not null").groupBy("doc_id", "group_id")
-            .agg(F.min("segment_no").alias("lo"), F.max("segment_no").alias("hi")).where("lo <> hi"))
+            .agg(F.min("segment_no").alias("lo"), F.max("segment_no").alias("hi")))
 
 
 def run_averages(results: DataFrame) -> DataFrame:

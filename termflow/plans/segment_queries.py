@@ -98,15 +98,6 @@ def slide_segments(spark, d):
     return rows(S.segment(with_blocks(spark, d), "slide", TOP))
 
 
-@query("split_groups", "Q5", "select 0::bigint doc_id, '' group_id, 0::bigint lo, 0::bigint hi where false")
-def split_groups(spark, d):
-    """Groups of consecutive blocks never span segments, whatever the budget."""
-    seg = S.block_rows(S.segment_rows(S.segment(with_blocks(spark, d), "general", TOP)))
-    runs = seg.withColumn("group_id", F.when(F.col("group_id").isNotNull() & (F.col("block_no") % 7 < 5), F.concat(
-        "group_id", F.lit("/"), F.floor(F.col("block_no") / 7))))
-    return ints(Q.split_groups(runs))
-
-
 @query("segments_by_type", "W6", None)
 def segments_by_type(spark, d):
     types = F.array(*[F.lit(x) for x in ("pptx", "srt", "json", "docx", "md", "odt")])
@@ -126,6 +117,18 @@ def general(spark, d):
     return S.segment(with_blocks(spark, d), "general", TOP)
 
 
+@query("split_groups", "Q5", sql("""
+    select count(*) n_groups, count(*) filter (lo <> hi) n_split from (
+      select gen.doc_id, g, gen.i // 7, min(sn) lo, max(sn) hi from gen join tb on tb.doc_id = gen.doc_id and tb.i = gen.i
+      where g is not null group by all)""", "blocks", **GEN_CTE))
+def split_groups(spark, d):
+    """Groups of consecutive blocks never span segments, whatever the budget."""
+    seg = S.block_rows(S.segment_rows(general(spark, d)))
+    runs = seg.withColumn("group_id", F.concat("group_id", F.lit("/"), F.floor(F.col("block_no") / 7)))
+    per = Q.group_spans(runs)
+    return per.agg(F.count("*").alias("n_groups"), F.count_if(F.col("lo") != F.col("hi")).alias("n_split"))
+
+
 @query("next_previews", "W7", sql("""
     select doc_id, sn segment_no, substr(lead(tx) over (partition by doc_id order by sn), 1, 350) preview from (
       select doc_id, sn, string_agg(t, chr(10) order by i) tx from gen group by all)""", "blocks", **GEN_CTE))
