@@ -9,11 +9,11 @@ from .job_queries import STG
 from .registry import ints, query, table
 from .views import shape_progress, sql
 
-TS = F.col("ts").cast("timestamp")
+TS = "CAST(ts AS TIMESTAMP)"
 
 
 def events(spark, d):
-    return S.source(spark, d, "events").withColumn("ts", TS)
+    return S.source(spark, d, "events").withColumn("ts", F.expr(TS))
 
 
 def runs(e):
@@ -64,7 +64,7 @@ LAGS = """select user_id, ts, event_id, case when lag(ts + value * interval 1 se
     select key, cast(k as bigint) session_no, strftime(min(ts), '%Y-%m-%d %H:%M:%S') session_start, count(*) n_cues from (
       select user_id key, ts, sum(nw) over (partition by user_id order by ts, event_id) k from lags) group by key, k""", lags=LAGS))
 def cue_sessions(spark, d):
-    c = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", TS.alias("start_at"), F.col("value").alias("seconds")).withColumnRenamed("event_id", "cue_id")
+    c = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.expr(TS).alias("start_at"), F.col("value").alias("seconds")).withColumnRenamed("event_id", "cue_id")
     s = S.batch_cue_sessions(c, 3600, F.date_trunc("day", F.col("start_at")))
     return ints(s.select("key", "session_no", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_cues"))
 
