@@ -26,7 +26,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 #: Elements that never hold main text.
-ASIDE = set("head script style title nav footer aside form button select option textarea noscript iframe template "
+ASIDE = set("head script style title nav header footer aside form button select option textarea noscript iframe template "
             "svg canvas object embed audio video dialog menu label input".split())
 #: Elements that start a new block of text.
 BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure "
@@ -44,7 +44,6 @@ AROUND = set("ad ads adv advert adverts advertisement advertising banner breadcr
              "nav navbar navigation newsletter notice notices notification pager pagination popup promo related "
              "recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
              "toolbar topbar widget contentinfo complementary".split())
-#: Those that a header inside the article may carry.
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -58,13 +57,20 @@ CONSTANT = 0.5
 class Node:
     tag: str
     label: str
-    around: bool
+    aside: bool  # an element that never holds main text, or hidden
+    named: bool  # its names say that it stands around an article
+    holds: bool = False  # an article or a main heading stands below
     children: list = field(default_factory=list)  # nodes and texts in order
 
+    @property
+    def around(self) -> bool:
+        """What holds the article is not around it, whatever its names; so a form over a whole page."""
+        return self.aside and not (self.holds and self.tag == "form") or self.named and not self.holds
+
 
 def parse(page: str) -> Node:
     """A forgiving tree of a page: elements left open are closed by what follows or at the end."""
-    root = Node("#page", "#page", False)
+    root = Node("#page", "#page", False, False)
     stack = [root]
     at = 0
     while at < len(page):
@@ -94,6 +100,11 @@ def parse(page: str) -> Node:
             _close(stack, SIBLINGS[tag], SCOPES[tag])
         node = Node(tag, *_label(tag, m[4] or ""))
         stack[-1].children.append(node)
+        if tag in ("article", "main", "h1"):
+            for n in reversed(stack):
+                if n.holds:
+                    break
+                n.holds = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -111,8 +122,8 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its class and id, and whether it names something around an article."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Tag with its class and id, whether it is never main text, and whether it names something around."""
     names, hidden = [], False
     if attributes:
         for name, value in _NAMES.findall(attributes):
@@ -122,8 +133,8 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
                 hidden = True
             elif name in ("class", "id", "role"):
                 names += _WORDS.findall(_CAMEL.sub(" ", value).lower())
-    around = tag in ASIDE or hidden or (bool(AROUND & set(names)) and tag not in ("html", "body", "article", "main"))
-    return " ".join([tag, *sorted(set(names))]), around
+    named = bool(AROUND & set(names)) and tag not in ("html", "body", "article", "main")
+    return " ".join([tag, *sorted(set(names))]), tag in ASIDE or hidden, named
 
 
 def text_of(node: Node) -> str:
