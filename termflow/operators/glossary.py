@@ -21,11 +21,16 @@ def _regex_quote(c: Column) -> Column:
 def keep_first_annotation(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """Keep `target (source)` at its first place in a document and write plain `target` later.
 
-    blocks: doc_id, block_no, text. terms: doc_id, pos, source, target. Where a term first stands
-    is decided on the text as it came in.
+    blocks: doc_id, block_no, text. terms: doc_id, pos, source, target, if wanted do_not_translate.
+    Case is ignored in all scripts; terms of a document that are equal but for case are one, and terms
+    that are not translated carry no note. Where a term first stands is decided on the text as it came in.
     """
     t = terms.where("target <> ''")
-    pattern = F.concat(F.lit("(?i)"), _regex_quote(F.col("target")), F.lit(r"\s*[(（]\s*"),
+    if "do_not_translate" in terms.columns:
+        t = t.where(~F.coalesce("do_not_translate", F.lit(False)))
+    t = (t.groupBy("doc_id", F.lower("source").alias("_s"), F.lower("target").alias("_t"))
+         .agg(F.min(F.struct("pos", "source", "target")).alias("_x")).select("doc_id", "_x.*"))
+    pattern = F.concat(F.lit("(?iU)"), _regex_quote(F.col("target")), F.lit(r"\s*[(（]\s*"),
                        _regex_quote(F.col("source")), F.lit(r"\s*[)）]"))
     plain = F.regexp_replace("target", r"([\\$])", r"\\$1")
     packed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import labels as L
 from ..functions import text as T
-from ..skew import lag_by_chunk, running_sum_by_chunk, salted_join
+from ..skew import global_rank, lag_by_chunk, running_sum_by_chunk, salted_join
 
 
 def fan_out(requests: DataFrame, languages: str) -> DataFrame:
@@ -95,12 +95,13 @@ def group_counts(labelled: DataFrame, primary: str, secondary: str) -> DataFrame
 
 
 def newest_first(labelled: DataFrame) -> DataFrame:
-    return labelled.orderBy(F.col("sort_time").desc_nulls_last(), "job_id")
+    """All jobs with their place, newest first."""
+    return global_rank(labelled, [F.col("sort_time").desc_nulls_last(), F.col("job_id")])
 
 
 def listing(labelled: DataFrame) -> DataFrame:
-    """Active, failed, finished; newest first inside each."""
-    return labelled.orderBy("category_order", F.col("sort_time").desc_nulls_last(), "job_id")
+    """All jobs with their place: active, failed, finished; newest first inside each."""
+    return global_rank(labelled, [F.col("category_order"), F.col("sort_time").desc_nulls_last(), F.col("job_id")])
 
 
 def file_types(labelled: DataFrame) -> DataFrame:

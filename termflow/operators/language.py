@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS_PER_LANGUAGE = 300
 
-
-def word_profiles(docs: DataFrame, size: int = WORDS_PER_LANGUAGE) -> DataFrame:
-    """Most frequent words of every labelled language with their log share, as whole numbers
-    so that scores do not depend on the order of summation."""
+def word_profiles(docs: DataFrame) -> DataFrame:
+    """All words of every labelled language with their log share, as whole numbers so that scores do
+    not depend on the order of summation."""
     words = docs.select("lang", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where("word is not null")
     n = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     total = n.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = n.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= size)
-    return top.join(total, "lang").select(F.col("lang").alias("guess"), "word", (F.round(F.log(F.col("n") / F.col("total")) * 1000) + 12000).cast("bigint").alias("weight"))
+    return n.join(total, "lang").select(F.col("lang").alias("guess"), "word", (F.round(F.log(F.col("n") / F.col("total")) * 1000) + 12000).cast("bigint").alias("weight"))
 
 
 def detect(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, guess): the language whose profile words weigh most; texts without any are `en`.
 
-    A profile holds a few hundred words per language, so each distinct word of a document
-    meets at most one row per language.
+    Each distinct word of a document meets at most one row per language.
     """
     from ..skew import salted_join
     words = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).where("word is not null")

@@ -16,7 +16,7 @@ from ..functions import constants as K
 from ..functions import maps as M
 from ..functions import text as T
 from ..session import written
-from ..skew import running_sum_by_chunk, salted_join
+from ..skew import global_rank, running_sum_by_chunk, salted_join
 from . import matching as X
 from .extraction import count_in_own_document
 
@@ -50,7 +50,8 @@ def match_any_value(terms: DataFrame, library: DataFrame, how: str = "left") ->
 
 
 def longest_first(library: DataFrame, domains: list[int]) -> DataFrame:
-    return library.where(F.col("domain_id").isin(domains)).orderBy(F.desc(F.length("source")), "domain_id", "id")
+    """Terms of the given domains with their place, longest first."""
+    return global_rank(library.where(F.col("domain_id").isin(domains)), [F.desc(F.length("source")), F.col("domain_id"), F.col("id")])
 
 
 def page(library: DataFrame, domain_id: int, search: str = "", offset: int = 0, limit: int = 100) -> DataFrame:
@@ -206,10 +207,10 @@ def touch(library: DataFrame, used: DataFrame, at: Column) -> DataFrame:
 
 
 def ensure_domains(domains: DataFrame, names: DataFrame) -> DataFrame:
-    """Get-or-create by name; new ids follow the largest existing one. Domains are a short list."""
+    """Get-or-create by name; new ids follow the largest existing one, in the order of the names."""
     wanted = names.select(T.strip(F.col("name")).alias("name")).distinct().join(domains.select("name"), "name", "left_anti")
     top = domains.agg(F.coalesce(F.max("domain_id"), F.lit(0)).alias("top")).select("top").scalar()
-    numbered = wanted.withColumn("domain_id", F.row_number().over(Window.orderBy("name")) + top)
+    numbered = global_rank(wanted, [F.col("name")], "_new").withColumn("domain_id", F.col("_new") + top)
     return domains.select("domain_id", "name").unionByName(numbered.select("domain_id", "name"))
 
 

@@ -117,8 +117,8 @@ def _with_previous(blocks: Column, test) -> Column:
         test(b, F.get(blocks, i - 1)), F.lit(False))))
 
 
-def _tenths(limit: float) -> Column:
-    return F.lit(int(round(limit * 10)))
+def _tenths(limit: float | Column) -> Column:
+    return limit if isinstance(limit, Column) else F.lit(int(round(limit * 10)))
 
 
 def general_starts(blocks: Column, limit: float, size: int = K.BLOCKS_PER_SEGMENT) -> Column:
@@ -158,8 +158,9 @@ def group_starts(blocks: Column, limit: float) -> Column:
 
 
 def slide_starts(blocks: Column, limit: float, slides: int = K.SLIDES_PER_SEGMENT) -> Column:
-    """Pack slides; a slide over budget is packed by its groups. Blocks must be in slide order."""
-    return _slides(_tokens(blocks), F.transform(blocks, lambda b: b["slide"].cast("int")),
+    """Pack slides; a slide over budget is packed by its groups. Blocks must be in slide order, see
+    in_slide_order()."""
+    return _slides(_tokens(blocks), F.transform(blocks, lambda b: F.coalesce(b["slide"].cast("int"), F.lit(0))),
                    _with_previous(blocks, lambda b, a: b["group_id"] == a["group_id"]), _tenths(limit), F.lit(slides))
 
 
@@ -169,6 +170,16 @@ RULE_BY_TYPE = {"pptx": "slide", "srt": "subtitle", "vtt": "subtitle", "ass": "s
                 **{t: "key_value" for t in ("json", "yaml", "yml", "po", "pot", "xliff", "xlf", "xml")}}
 
 
+def in_slide_order(docs: DataFrame) -> Column:
+    """The blocks of `docs` sorted by slide, keeping their order inside one. A block without a slide
+    number takes it from `slide<number>` in its id, else it stands on slide 0; the number is filled in."""
+    block = docs.schema["blocks"].dataType.elementType
+    from_id = lambda b: F.try_element_at(F.regexp_extract_all(b["block_id"], F.lit(r"slide(\d+)"), F.lit(1)), F.lit(1)).cast("int")
+    slide = lambda b: F.coalesce(b["slide"].cast("int"), *([from_id(b)] if "block_id" in block.names else []), F.lit(0))
+    keyed = F.array_sort(F.transform("blocks", lambda b, i: F.struct(slide(b).alias("slide"), i.alias("i"), b.alias("b"))))
+    return F.transform(keyed, lambda k: k["b"].withField("slide", k["slide"].cast(block["slide"].dataType)))
+
+
 def cut(blocks: Column, starts: Column) -> Column:
     """Array of segments, each an array of blocks."""
     return T.let(starts, lambda at: F.transform(at, lambda s, k: F.slice(
@@ -177,21 +188,26 @@ def cut(blocks: Column, starts: Column) -> Column:
 
 def segment(docs: DataFrame, rule: str, limit: float, **options) -> DataFrame:
     """Add `segments` to documents with a `blocks` array."""
+    docs = docs.withColumn("blocks", in_slide_order(docs)) if rule == "slide" else docs
     with_starts = docs.withColumn("_starts", RULES[rule](F.col("blocks"), limit, **options))
     return with_starts.withColumn("segments", cut(F.col("blocks"), F.col("_starts"))).drop("_starts")
 
 
 def segment_by_type(docs: DataFrame, file_type: str = "file_type") -> DataFrame:
-    """Choose rule and budget by file type; unknown types follow the general rule."""
-    kind = F.lower(F.col(file_type))
-    known = sorted(set(RULE_BY_TYPE) | (set(K.SEGMENT_TOKENS) - {"default"}))
-    parts = [segment(docs.where(kind == t), RULE_BY_TYPE.get(t, "general"), K.SEGMENT_TOKENS.get(t, K.SEGMENT_TOKENS["default"]))
-             for t in known]
-    rest = segment(docs.where(~kind.isin(known)), "general", K.SEGMENT_TOKENS["default"])
-    out = rest
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    """Choose rule and budget by file type in one pass; unknown types follow the general rule.
+
+    Each rule sees the blocks of its own file types only, so no walk runs twice.
+    """
+    kind = F.lower(F.coalesce(F.col(file_type), F.lit("")))
+    tenths = {t: int(round(n * 10)) for t, n in K.SEGMENT_TOKENS.items()}
+    budget = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in tenths.items() for x in kv]), kind),
+                        F.lit(tenths["default"]))
+    rule = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RULE_BY_TYPE.items() for x in kv]), kind), F.lit("general"))
+    out = (docs.withColumn("_rule", rule).withColumn("_budget", budget)
+           .withColumn("blocks", F.when(F.col("_rule") == "slide", in_slide_order(docs)).otherwise(F.col("blocks"))))
+    own = lambda name: F.when(F.col("_rule") == name, F.col("blocks")).otherwise(F.slice("blocks", 1, 0))
+    starts = F.coalesce(*[F.when(F.col("_rule") == name, walk(own(name), F.col("_budget"))) for name, walk in RULES.items()])
+    return out.withColumn("_starts", starts).withColumn("segments", cut(F.col("blocks"), F.col("_starts"))).drop("_starts", "_rule", "_budget")
 
 
 def segment_rows(docs: DataFrame) -> DataFrame:

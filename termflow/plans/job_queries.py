@@ -68,23 +68,17 @@ def filtered_jobs(spark, d):
 
 @query("newest_jobs", "T4 SRC15", sql("""
     select job_id, strftime(sort_time, '%Y-%m-%d %H:%M:%S') sort_time, row_number() over (order by l.sort_time desc nulls last, job_id) rank
-    from lab l order by l.sort_time desc nulls last, job_id limit 50""", "jobs", lab=LAB))
+    from lab l""", "jobs", lab=LAB))
 def newest_jobs(spark, d):
-    return ranked(J.newest_first(labelled(spark, d)).limit(50), ["job_id", "sort_time"], [F.col("sort_time").desc_nulls_last(), F.col("job_id")])
-
-
-def ranked(top, cols, order):
-    from pyspark.sql import Window
-    r = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ints(r.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "sort_time" else c for c in cols], "rank"))
+    r = J.newest_first(labelled(spark, d))
+    return r.select("job_id", F.date_format("sort_time", "yyyy-MM-dd HH:mm:ss").alias("sort_time"), "rank")
 
 
 @query("job_listing", "T5", sql("""
     select job_id, category, row_number() over (order by case category when 'active' then 0 when 'error' then 1 else 2 end, l.sort_time desc nulls last, job_id) rank
-    from lab l order by 3 limit 200""", "jobs", lab=LAB))
+    from lab l""", "jobs", lab=LAB))
 def job_listing(spark, d):
-    return ranked(J.listing(labelled(spark, d)).limit(200), ["job_id", "category"],
-                  [F.col("category_order"), F.col("sort_time").desc_nulls_last(), F.col("job_id")])
+    return J.listing(labelled(spark, d)).select("job_id", "category", "rank")
 
 
 @query("job_file_types", "A11", sql("select distinct extension from lab where extension <> ''", "jobs", lab=LAB))

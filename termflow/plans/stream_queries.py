@@ -37,7 +37,7 @@ def live_job_rollup(spark, d):
       select *, (epoch_us(ts) - epoch_us(min(case when nw=1 then ts end) over (partition by run_id, stage))) / 1e6::double el,
         status = 'translating' and segments_done > 0 and nw = 0 ok from stg)""", "progress", stg=STG))
 def live_stage_timing(spark, d):
-    t = S.live_timing(runs(events(spark, d)), F.lit(100), F.date_trunc("day", F.col("ts")))
+    t = S.live_timing(runs(events(spark, d)), F.lit(100))
     return t.select("run_id", "event_id", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 3).alias("eta"))
 
 
@@ -71,7 +71,7 @@ def cue_sessions(spark, d):
 
 @query("live_daily_status", "S4", sql("""
     select strftime(ts, '%Y-%m-%d') as day, case when status='error' then 'error' when status='done' then 'completed' else 'active' end category, count(*) n from progress
-    where date_trunc('day', ts) + interval 1 day <= (select max(ts) from progress) - interval 1 day group by all""", "progress"))
+    group by all""", "progress"))
 def live_daily_status(spark, d):
     return S.daily_status(runs(events(spark, d)), "1 day")
 

@@ -18,17 +18,15 @@ def langs():
 
 @query("term_coverage", "J6 P1 A1", sql("""
     select d.lang, h.source, cast(sum(n) as bigint) occurrences, count(distinct h.doc_id) n_docs
-    from lib_hits h join documents d on d.doc_id = h.doc_id where length(trim(source_text)) >= 2 group by all
-    order by occurrences desc, d.lang, h.source limit 100""", "lib_hits"))
+    from lib_hits h join documents d on d.doc_id = h.doc_id where length(trim(source_text)) >= 2 group by all""", "lib_hits"))
 def term_coverage(spark, d):
-    """Where the library's terms occur: lines, substring join, counts per language, top rows."""
+    """Where the library's terms occur: lines, substring join, counts per language."""
     b = blocks(spark, d).where(T.is_translatable(F.col("source_text")))
     terms = library(spark, d).select(F.col("norm").alias("term"))
     per_doc = X.term_frequency(X.term_hits(b, terms))
     lang = docs(spark, d).select("doc_id", "lang")
     return (per_doc.join(lang, "doc_id").groupBy("lang", F.col("term").alias("source"))
-            .agg(F.sum("frequency").alias("occurrences"), F.count("*").alias("n_docs"))
-            .orderBy(F.desc("occurrences"), "lang", "source").limit(100))
+            .agg(F.sum("frequency").alias("occurrences"), F.count("*").alias("n_docs")))
 
 
 @query("term_frequency", "J6", sql("""
@@ -208,8 +206,7 @@ def assistant_texts(spark, d):
 @query("language_detection", "ML1", """
     with w as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) word from documents),
     c as (select lang guess, word, count(*) n from w group by all), t as (select guess, sum(n) total from c group by guess),
-    p as (select guess, word, cast(round(ln(n / cast(total as double)) * 1000) + 12000 as bigint) weight from
-      (select *, row_number() over (partition by guess order by n desc, word) r from c) join t using (guess) where r <= 300),
+    p as (select guess, word, cast(round(ln(n / cast(total as double)) * 1000) + 12000 as bigint) weight from c join t using (guess)),
     s as (select doc_id, guess, sum(n * weight) score from (select doc_id, word, count(*) n from w group by all) join p using (word) group by all),
     b as (select doc_id, guess, row_number() over (partition by doc_id order by score desc, guess desc) r from s)
     select lang, coalesce(guess, 'en') guess, count(*) n from documents left join (select * from b where r = 1) using (doc_id) group by all""")

@@ -52,12 +52,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a small table arrives in few pieces. Large tables already come in
-    many pieces and are left as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    piece = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(4 * cores, key) if size < cores * piece else df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import written
+
 SALTS = 16
 
 
@@ -31,6 +33,21 @@ def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], spread: list[
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+    """Place of every row in one total order, without a task that sees all rows.
+
+    Rows are dealt out by ranges of the order and stored with the number of their range, so counting
+    and numbering see the same ranges; the offsets have one row per range.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (dealt.withColumn("_inside", inside).join(offsets, "_range")
+            .withColumn(out, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before", "_range"))
+
+
 def _chunk_window(keys, chunk):
     return Window.partitionBy(*keys, chunk)
 

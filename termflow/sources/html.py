@@ -44,46 +44,68 @@ class _Tree(HTMLParser):
 
 
 def _words(node) -> list[str]:
-    if isinstance(node, str):
-        return [node.strip()] if node.strip() else []
-    return [] if node["tag"] in SKIP else [w for k in node["kids"] for w in _words(k)]
-
-
-def _has_block(node) -> bool:
-    return any(not isinstance(k, str) and k["tag"] not in SKIP and (k["tag"] in BLOCK or k["tag"] in HEAD or _has_block(k))
-               for k in node["kids"])
-
-
-def _body(node):
-    for k in node["kids"]:
-        if not isinstance(k, str):
-            found = k if k["tag"] == "body" else _body(k)
-            if found:
-                return found
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if n.strip():
+                out.append(n.strip())
+        elif n["tag"] not in SKIP:
+            stack += reversed(n["kids"])
+    return out
+
+
+def _in_order(root) -> list[dict]:
+    """All elements outside skipped ones, parents first."""
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        stack += [k for k in reversed(n["kids"]) if not isinstance(k, str) and k["tag"] not in SKIP]
+    return out
+
+
+def _mark_blocks(root) -> None:
+    """Note on every element whether a heading or block element stands below it."""
+    for n in reversed(_in_order(root)):
+        n["has_block"] = any(not isinstance(k, str) and k["tag"] not in SKIP and (
+            k["tag"] in BLOCK or k["tag"] in HEAD or k["has_block"]) for k in n["kids"])
+
+
+def _body(root):
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n["tag"] == "body":
+            return n
+        stack += [k for k in reversed(n["kids"]) if not isinstance(k, str)]
     return None
 
 
-def _visit(node, out):
-    if isinstance(node, str) or node["tag"] in SKIP or node["attrs"].get("translate") == "no":
-        return
-    tag = node["tag"]
-    if tag in HEAD:
-        out.append(("heading", tag, "", " ".join(_words(node))))
-        return
-    leaf = tag in BLOCK and not _has_block(node)
-    if leaf:
-        out.append(("paragraph", tag, "", " ".join(_words(node))))
-    for a in K.HTML_TEXT_ATTRS:
-        out.append(("paragraph", tag, a, (node["attrs"].get(a) or "").strip()))
-    if not leaf:
-        for k in node["kids"]:
-            _visit(k, out)
+def _visit(top, out) -> None:
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node["tag"] in SKIP or node["attrs"].get("translate") == "no":
+            continue
+        tag = node["tag"]
+        if tag in HEAD:
+            out.append(("heading", tag, "", " ".join(_words(node))))
+            continue
+        leaf = tag in BLOCK and not node["has_block"]
+        if leaf:
+            out.append(("paragraph", tag, "", " ".join(_words(node))))
+        for a in K.HTML_TEXT_ATTRS:
+            out.append(("paragraph", tag, a, (node["attrs"].get(a) or "").strip()))
+        if not leaf:
+            stack += reversed(node["kids"])
 
 
 def _blocks(html: str):
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(html or "")
     tree.close()
+    _mark_blocks(tree.root)
     out: list[tuple] = []
     for k in (_body(tree.root) or tree.root)["kids"]:
         _visit(k, out)

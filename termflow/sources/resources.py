@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,11 @@ def _po_field(entry: Column, name: str) -> Column:
 
 
 def po_blocks(files: DataFrame) -> DataFrame:
-    entries = F.filter(F.split(F.regexp_replace("text", r"\r\n", "\n"), r"\n[ \t]*\n"), lambda e: F.regexp_like(e, F.lit(r"(?m)^msgid\s")))
+    # The strings of an entry end it, with or without a blank line before the next one.
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[ \t]*+'
+    ends = rf"(?m)^(msgstr(?:\[\d+\])?[ \t]+{quoted}(?:\n[ \t]*{quoted})*+)\n(?=[ \t]*(?:#|msgctxt\s|msgid\s))"
+    apart = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), ends, "$1\n\n")
+    entries = F.filter(F.split(apart, r"\n[ \t]*\n"), lambda e: F.regexp_like(e, F.lit(r"(?m)^msgid\s")))
     e = files.select("doc_id", F.posexplode_outer(entries).alias("block_no", "e"))
     fields = e.select("doc_id", "block_no", T.strip(_po_field(F.col("e"), "msgid")).alias("msgid"), _po_field(F.col("e"), "msgctxt").alias("msgctxt"),
                       _po_field(F.col("e"), "msgid_plural").alias("msgid_plural"),
@@ -37,23 +44,53 @@ def po_blocks(files: DataFrame) -> DataFrame:
 
 # --- JSON -------------------------------------------------------------------------------------
 
-def json_leaves(files: DataFrame, depth: int = 64) -> DataFrame:
+def _unique(pairs):
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("an object names a key twice")
+    return out
+
+
+def _no_number(name):
+    raise ValueError(name)
+
+
+def _leaves(text: str | None, skip: frozenset) -> list[tuple[str, str]]:
+    """Text leaves of one file in file order, with their paths. A file that is not valid JSON, names a
+    key twice or nests deeper than the parser goes (about a thousand levels) has none."""
+    try:
+        root = json.loads(text, object_pairs_hook=_unique, parse_constant=_no_number) if text else None
+    except (ValueError, RecursionError):
+        return []
+    out, stack = [], [("", root)]
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, str):
+            out.append((path, node))
+            continue
+        items = [(k, v) for k, v in node.items() if k not in skip] if isinstance(node, dict) else (
+            enumerate(node) if isinstance(node, list) else ())
+        stack += reversed([(f"{path}.{k}" if path else str(k), v) for k, v in items])
+    return out
+
+
+def json_leaves(files: DataFrame) -> DataFrame:
     """(doc_id, key_path, value) of every text leaf; values under skipped keys are not visited.
 
-    One level of the tree per step of a recursive query; invalid files give no rows.
+    The tree of a file is walked inside its row, so neither depth nor the number of leaves of all files
+    together is limited.
     """
-    spark = files.sparkSession
-    files.select("doc_id", F.try_parse_json("text").alias("v")).createOrReplaceTempView("json_files")
-    skip = ", ".join(f"'{k}'" for k in K.JSON_SKIP_KEYS)
-    return spark.sql(f"""
-        with recursive tree(doc_id, path, v, kind) max recursion level {depth} as (
-          select doc_id, cast('' as string), v, schema_of_variant(v) from json_files where v is not null
-          union all
-          select t.doc_id, case when t.path = '' then coalesce(e.key, cast(e.pos as string))
-              else concat(t.path, '.', coalesce(e.key, cast(e.pos as string))) end, e.value, schema_of_variant(e.value)
-          from tree t, lateral variant_explode(t.v) e
-          where (t.kind like 'OBJECT%' or t.kind like 'ARRAY%') and coalesce(e.key, '') not in ({skip}))
-        select doc_id, path key_path, cast(v as string) value from tree where kind = 'STRING'""").where(T.strip(F.col("value")) != "")
+    skip = frozenset(K.JSON_SKIP_KEYS)
+    columns = ["doc_id", "key_path", "value"]
+
+    def walk(frames):
+        for f in frames:
+            rows = [(d, *leaf) for d, t in zip(f["doc_id"], f["text"], strict=True) for leaf in _leaves(t, skip)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    kind = files.schema["doc_id"].dataType.simpleString()
+    leaves = files.select("doc_id", "text").mapInPandas(walk, f"doc_id {kind}, key_path string, value string")
+    return leaves.where(T.strip(F.col("value")) != "")
 
 
 def json_blocks(files: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Streaming twins of the progress, session and intake jobs.
 
-Each run processes what is available and stops; the same queries run continuously with another
-trigger. Tables kept across micro-batches are snapshots named by batch number, so a batch that is
-repeated after a failure writes the same folder again.
+Each run processes what is available and stops; the same queries run continuously with another trigger.
+What must be remembered between micro-batches is in Spark's state store, under the checkpoint of the
+query, so a run that starts again with the same folder goes on where the last one ended. Results that
+change are written as versions, one folder per batch; a repeated batch writes its folder again, and a
+reader takes the last version of each key.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import constants as K
 from ..operators import jobs as J
@@ -23,77 +27,71 @@ def source(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int =
             .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
 
 
-def _drain(stream: DataFrame, name: str, each, mode: str = "append") -> None:
-    q = (stream.writeStream.outputMode(mode).foreachBatch(each).trigger(availableNow=True)
-         .option("checkpointLocation", new_path(stream.sparkSession, f"{name}-state")).start())
-    q.awaitTermination()
+def _written(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, work=lambda df: df,
+             schema=None) -> DataFrame:
+    """All rows that a query emits, with the number of their batch; no row for an empty stream."""
+    spark = stream.sparkSession
+    schema = schema or stream.schema
+    folder = folder or new_path(spark, name)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")
+    (stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+     .foreachBatch(lambda df, n: work(df).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+     .start().awaitTermination())
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/out")
 
 
-def _append(stream: DataFrame, name: str) -> DataFrame:
-    """Rows that an append-mode query emits, one folder per batch."""
-    spark, path, schema = stream.sparkSession, new_path(stream.sparkSession, name), stream.schema
-    _drain(stream, name, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of every key."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
 
 
-def _fold(stream: DataFrame, name: str, step) -> DataFrame | None:
-    """Fold batches into a snapshot: step(rows of the batch, snapshot or None) -> next snapshot."""
-    path = new_path(stream.sparkSession, name)
-    last: dict[str, DataFrame] = {}
-
-    def each(df, n):
-        nxt = step(df, last.get("snapshot"))
-        nxt.write.mode("overwrite").parquet(f"{path}/version={n}")
-        last["snapshot"] = df.sparkSession.read.schema(nxt.schema).parquet(f"{path}/version={n}")
-    _drain(stream, name, each)
-    return last.get("snapshot")
-
-
-def latest_runs(events: DataFrame) -> DataFrame:
+def latest_runs(events: DataFrame, folder: str | None = None) -> DataFrame:
     """Newest event of every run over a stream of (run_id, job_id, ts, event_id, ...)."""
     cols = events.columns
-
-    def step(df, old):
-        rows = df.select(cols) if old is None else df.select(cols).unionByName(old)
-        newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in cols if c != "run_id"]), F.struct("ts", "event_id")).alias("e"))
-        return newest.select("run_id", "e.*").select(cols)
-    return _fold(events, "latest-runs", step)
+    rest = [c for c in cols if c != "run_id"]
+    newest = (events.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("e"))
+              .select("run_id", "e.*").select(cols))
+    return _last(_written(newest, "latest-runs", "update", folder), ["run_id"]).select(cols)
 
 
-def live_rollup(events: DataFrame) -> DataFrame:
+def live_rollup(events: DataFrame, folder: str | None = None) -> DataFrame:
     """Job state from the newest event of every run."""
-    return J.rollup_runs(latest_runs(events), ["run_id"])
-
-
-def live_timing(events: DataFrame, total: Column, chunk: Column) -> DataFrame:
-    """Stage timing of every event as it arrives, carrying stage starts between batches.
-
-    The carried state of a run is the start of its current stage and, once it ended, its end. Both
-    re-enter the next batch as rows with a negative event id, so a batch runs the same job as the
-    offline version and one busy run is split over chunks.
-    """
-    spark, path = events.sparkSession, new_path(events.sparkSession, "timing")
-    carry_schema = events.select("run_id", "ts", "event_id", "status", "segments_done").schema
-    held: dict[str, DataFrame] = {}
-    cols = carry_schema.names
-
-    def each(df, n):
-        rows = df.select(cols)
-        if "state" in held:
-            rows = rows.unionByName(held["state"])
-        out = J.stage_timing(rows, total, chunk)
-        out.where("event_id >= 0").write.mode("overwrite").parquet(f"{path}/out/batch={n}")
-        lagged = lag_by_chunk(rows, ["run_id"], ["ts", "event_id"], chunk, F.col("status"), "before")
-        terminal = F.col("status").isin(K.TERMINAL_STATUSES)
-        starts = lagged.where(~terminal & ~F.col("status").eqNullSafe(F.col("before")))
-        pick = lambda d, no: d.groupBy("run_id").agg(F.max_by(F.struct("ts", "status", "segments_done"), F.struct("ts", "event_id")).alias("e")).select(
-            "run_id", "e.ts", F.lit(no).cast("bigint").alias("event_id"), "e.status", "e.segments_done")
-        ended = pick(rows, -1).where(terminal)
-        pick(starts, -2).unionByName(ended).select(cols).write.mode("overwrite").parquet(f"{path}/state/version={n}")
-        held["state"] = spark.read.schema(carry_schema).parquet(f"{path}/state/version={n}")
-    _drain(events, "timing", each)
-    schema = "run_id bigint, event_id bigint, status string, elapsed double, per_segment double, eta double"
-    return spark.read.schema(schema).parquet(f"{path}/out/batch=*")
+    return J.rollup_runs(latest_runs(events, folder), ["run_id"])
+
+
+TIMING = "run_id bigint, event_id bigint, status string, elapsed double, per_segment double, eta double"
+
+
+def _timed(key, frames, state):
+    """Timing of the events of one run in this batch; the state is the status of the event before and
+    the start of the stage in microseconds."""
+    before, start = state.get if state.exists else (None, None)
+    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+    out = []
+    micros = rows["ts"].astype("datetime64[us]").astype("int64")
+    for event, at, status, done, total in zip(rows["event_id"], micros, rows["status"], rows["segments_done"], rows["total"], strict=True):
+        final = status in K.TERMINAL_STATUSES
+        new = not final and status != before
+        if new:
+            start = at
+        elapsed = None if start is None else (at - start) / 1e6
+        per = elapsed / done if elapsed is not None and not new and not final and status in (
+            "translating", "reviewing") and done > 0 and total > 0 else None
+        eta = 0.0 if status == "done" else None if per is None else max(0, total - done) * per
+        out.append((key[0], event, status, elapsed, per, eta))
+        before = status
+    state.update((before, start))
+    yield pd.DataFrame(out, columns=["run_id", "event_id", "status", "elapsed", "per_segment", "eta"]).astype(
+        {"elapsed": "float64", "per_segment": "float64", "eta": "float64"})
+
+
+def live_timing(events: DataFrame, total: Column, folder: str | None = None) -> DataFrame:
+    """Stage timing of every event as it arrives. State is kept by run; stage_timing() is the form for
+    stored events, which splits a busy run over chunks."""
+    rows = events.select("run_id", "ts", "event_id", "status", "segments_done", total.cast("long").alias("total"))
+    timed = rows.groupBy("run_id").applyInPandasWithState(_timed, TIMING, "before string, start long", "append", "NoTimeout")
+    return _written(timed, "timing", "append", folder).drop("batch")
 
 
 def cue_sessions(cues: DataFrame, gap_seconds: float, late: str) -> DataFrame:
@@ -103,7 +101,7 @@ def cue_sessions(cues: DataFrame, gap_seconds: float, late: str) -> DataFrame:
     gap = F.format_string("%.6f seconds", F.col("seconds") + gap_seconds)
     s = (cues.withWatermark("start_at", late).groupBy("key", F.session_window("start_at", gap).alias("w"))
          .agg(F.count("*").alias("n_cues")))
-    return _append(s.select("key", F.col("w.start").alias("session_start"), "n_cues"), "sessions")
+    return _written(s.select("key", F.col("w.start").alias("session_start"), "n_cues"), "sessions").drop("batch")
 
 
 def batch_cue_sessions(cues: DataFrame, gap_seconds: float, chunk: Column) -> DataFrame:
@@ -116,23 +114,26 @@ def batch_cue_sessions(cues: DataFrame, gap_seconds: float, chunk: Column) -> Da
     return n.groupBy("key", "session_no").agg(F.min("start_at").alias("session_start"), F.count("*").alias("n_cues"))
 
 
-def daily_status(events: DataFrame, late: str) -> DataFrame:
-    """Closed days: events per day and status category."""
+def daily_status(events: DataFrame, late: str, folder: str | None = None) -> DataFrame:
+    """Events per day and status category, days that are still open included."""
     from ..functions import labels as L
     c = (events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), L.status_category(F.col("status")).alias("category"))
          .agg(F.count("*").alias("n")))
-    return _append(c.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "category", "n"), "daily-status")
+    rows = _written(c.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "category", "n"), "daily-status", "update", folder)
+    return _last(rows, ["day", "category"])
 
 
-def intake(files: DataFrame, to_blocks) -> DataFrame:
-    """Blocks of arriving (doc_id, text) files; a file that comes again replaces its blocks."""
-    def step(df, old):
-        newest = df.groupBy("doc_id").agg(F.max("text").alias("text"))
-        new = to_blocks(newest)
-        return new if old is None else new.unionByName(old.join(newest.select("doc_id"), "doc_id", "left_anti"))
-    return _fold(files, "intake", step)
+def intake(files: DataFrame, to_blocks, folder: str | None = None) -> DataFrame:
+    """Blocks of arriving (doc_id, text) files; a file that comes again replaces its blocks. Batches are
+    only added; a reader takes the blocks of the last batch that had the file."""
+    def work(df):
+        return to_blocks(df.groupBy("doc_id").agg(F.max("text").alias("text")))
+    schema = work(files.sparkSession.createDataFrame([], files.schema)).schema
+    rows = _written(files, "intake", "append", folder, work, schema)
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"]).drop("batch")
 
 
 def unique_requests(events: DataFrame, late: str) -> DataFrame:
     """One row per request key while its watermark window is open."""
-    return _append(events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_key"]).select("request_key"), "requests")
+    return _written(events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_key"]).select("request_key"), "requests").drop("batch")
