@@ -32,7 +32,11 @@ def compare(spark, con, q, sf_dir):
     spark_s = time.time() - t
     kinds = {c: k for c, k in df.dtypes}
     if not q.sql:
-        return f"rows-only {len(got)} rows {spark_s:.1f}s", True
+        from invariants import INVARIANTS
+        if q.name not in INVARIANTS:
+            return "neither an SQL twin nor an invariant", False
+        wrong = INVARIANTS[q.name](spark, sf_dir, df.columns, got)
+        return wrong or f"ok {len(got)} rows {spark_s:.1f}s, by its invariant", not wrong
     t = time.time()
     cur = con.execute(q.sql)
     names = [d[0] for d in cur.description]

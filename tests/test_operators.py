@@ -9,8 +9,13 @@ from termflow.operators import exchange as X
 from termflow.operators import extraction as E
 from termflow.operators import matching as MT
 from termflow.operators import segments as S
-from termflow.skew import lag_by_chunk, running_sum_by_chunk
+from termflow.operators import glossary as G
+from termflow.operators import jobs as J
+from termflow.skew import global_rank, lag_by_chunk, running_sum_by_chunk
 from termflow.sources import html as H
+from termflow.sources import plain as PL
+from termflow.sources import resources as R
+from termflow.streaming import progress as P
 
 
 def one(spark, expr):
@@ -167,3 +172,94 @@ def test_file_scan(spark, tmp_path):
     good, bad = scan(spark, str(tmp_path))
     assert sorted(r.text for r in documents(good, "txt").collect()) == ["café", "hello there"]
     assert [r.verdict for r in bad.collect()] == ["unsupported"]
+
+
+def test_terms_across_window_borders(spark):
+    """A term of 600 and one of 3,000 characters inside tokens that are cut into windows."""
+    short, long = "".join(chr(0x4E00 + i * 7 % 900) for i in range(600)), "".join(chr(0x5E00 + i * 11 % 2000) for i in range(3000))
+    b = spark.createDataFrame([(1, 0, "x" * 1700 + short + "y" * 900), (2, 0, "x" * 1201 + long)], "doc_id long, block_no int, source_text string")
+    t = spark.createDataFrame([(short,), (long,)], "term string")
+    assert {(r.doc_id, r.term, r.n) for r in MT.term_hits(b, t).collect()} == {(1, short, 1), (2, long, 1)}
+
+
+def test_json_walk(spark):
+    import json
+    deep = '{"a": ' * 200 + '"leaf text"' + "}" * 200
+    files = [(1, deep), (2, '{"k": ["a b", {"x": "c"}, 1, null, ""], "url": "skip"}'), (3, "{broken"), (4, None), (5, '"top"'), (6, '{"a": "x", "a": "y"}'),
+             (7, "[" * 100_000)]
+    got = {(r.doc_id, r.key_path[-5:], r.value) for r in R.json_leaves(spark.createDataFrame(files, "doc_id long, text string")).collect()}
+    assert got == {(1, "a.a.a", "leaf text"), (2, "k.0", "a b"), (2, "k.1.x", "c"), (5, "", "top")}
+    assert json.loads(deep)
+
+
+def test_po_entries_without_blank_lines(spark):
+    text = 'msgid ""\nmsgstr "h"\n#, fuzzy\nmsgctxt "menu"\nmsgid "first one"\nmsgstr ""\nmsgid "second "\n"one"\nmsgid_plural "seconds"\nmsgstr[0] "a"\nmsgstr[1] "b"\n# note\nmsgid "third"\nmsgstr "c"\n'
+    rows = R.po_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block_no").collect()
+    assert [(r.source_text, r.msgctxt, r.msgid_plural, r.flags) for r in rows] == [
+        ("first one", "menu", None, "fuzzy"), ("second one", None, "seconds", ""), ("third", None, None, "")]
+
+
+def test_deep_and_null_pages(spark):
+    pages = spark.createDataFrame([(1, "<div>" * 1200 + "<p>deep text</p>" + "</div>" * 1200), (2, None), (3, "<p>one two</p>")], "page_id long, html string")
+    assert {(r.page_id, r.source_text) for r in H.html_blocks(pages).collect()} == {(1, "deep text"), (3, "one two")}
+
+
+def test_slides_sorted_and_filled(spark):
+    schema = "doc_id long, blocks array<struct<text:string,slide:int,group_id:string,block_id:string>>"
+    blocks = [("c", 2, None, "x"), ("a", None, None, "x"), ("b", None, None, "slide1_p"), ("a2", None, None, "x")]
+    got = S.segment(spark.createDataFrame([(1, blocks)], schema), "slide", 100.0).first().segments
+    assert [[b.text for b in s] for s in got] == [["a", "a2", "b"], ["c"]]
+
+
+def test_bilingual_notes(spark):
+    b = spark.createDataFrame([(1, 0, "École (ÉCOLE) et mot (word)"), (1, 1, "école (école) puis MOT (Word), logo (logo)")], "doc_id long, block_no int, text string")
+    t = spark.createDataFrame([(1, 0, "école", "École", False), (1, 1, "ÉCOLE", "école", False), (1, 2, "word", "mot", False), (1, 3, "logo", "logo", True)],
+                              "doc_id long, pos int, source string, target string, do_not_translate boolean")
+    got = [r.text for r in G.keep_first_annotation(b, t).orderBy("block_no").collect()]
+    assert got == ["École (ÉCOLE) et mot (word)", "École puis mot, logo (logo)"]
+
+
+def test_global_rank(spark):
+    rows = [(i * 7919 % 1000 // 3, i) for i in range(1000)]
+    got = global_rank(spark.createDataFrame(rows, "k long, i long"), [F.desc("k"), F.col("i")]).collect()
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    assert all(want[(r.k, r.i)] == r.rank for r in got) and len(got) == 1000
+
+
+def test_streams_over_batches_and_restarts(spark, tmp_path):
+    from datetime import datetime, timedelta
+    rows = [(i % 5, i % 3, datetime(2024, 1, 1) + timedelta(minutes=i), i, ["translating", "reviewing", "done"][i // 40], i % 40) for i in range(120)]
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    write = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    for a in (0, 30, 60):
+        write(rows[a:a + 30])
+    P.latest_runs(stream(), f"{state}/latest")
+    P.live_timing(stream(), F.lit(40), f"{state}/timing")
+    P.daily_status(stream(), "1 hour", f"{state}/days")
+    write(rows[90:])  # the second run goes on from the folders of the first
+    got = {r.run_id: r.event_id for r in P.latest_runs(stream(), f"{state}/latest").collect()}
+    assert got == {k: max(r[3] for r in rows if r[0] == k) for k in range(5)}
+    timing = P.live_timing(stream(), F.lit(40), f"{state}/timing")
+    batch = J.stage_timing(spark.createDataFrame(rows, schema), F.lit(40), F.date_trunc("day", F.col("ts")))
+    assert sorted(map(str, timing.collect())) == sorted(map(str, batch.select(timing.columns).collect()))
+    assert sum(r.n for r in P.daily_status(stream(), "1 hour", f"{state}/days").collect()) == 120
+
+
+def test_empty_streams(spark, tmp_path):
+    schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    assert P.latest_runs(stream).collect() == [] and P.live_timing(stream, F.lit(1)).collect() == []
+    assert P.daily_status(stream, "1 hour").collect() == []
+
+
+def test_intake_replaces_files(spark, tmp_path):
+    write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    write([(1, "old text\n\nmore old"), (2, "stays here")])
+    P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state")
+    write([(1, "new text")])
+    got = {(r.doc_id, r.source_text) for r in P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state").collect()}
+    assert got == {(1, "new text"), (2, "stays here")}
