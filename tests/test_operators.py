@@ -263,3 +263,16 @@ def test_intake_replaces_files(spark, tmp_path):
     write([(1, "new text")])
     got = {(r.doc_id, r.source_text) for r in P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state").collect()}
     assert got == {(1, "new text"), (2, "stays here")}
+
+
+def test_held_and_joined_search_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    alphabet = ["ab", "Ab", "b", "C++", "c", "é", "-", "_", "1", "语", " ", " ", "\t", ".", "a-b"]
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    blocks = spark.createDataFrame([(i, j, text(rng.randrange(60))) for i in range(30) for j in range(4)] + [(99, 0, None), (99, 1, "")],
+                                   "doc_id long, block_no int, source_text string")
+    terms = spark.createDataFrame([(t,) for t in {text(rng.randrange(1, 5)) for _ in range(150)} | {"AB", "ab", "c++", "b b", " b", ""}], "term string")
+    held = sorted(tuple(r) for r in MT.term_hits(blocks, terms).select("doc_id", "block_no", "term", "n", "bounded").collect())
+    monkeypatch.setattr(MT, "HELD_BYTES", -1)
+    joined = sorted(tuple(r) for r in MT.term_hits(blocks, terms).select("doc_id", "block_no", "term", "n", "bounded").collect())
+    assert held == joined and len(held) > 500
