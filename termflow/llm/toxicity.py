@@ -15,7 +15,7 @@ BITS = 20
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 20_000
 #: Features kept for the linear model, those that say most about the label.
-FEATURES = 20_000
+FEATURES = 8_000
 THRESHOLD = 0.7
 SMOOTHING = 0.5
 SLICE = 1 << 19
@@ -151,28 +151,40 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
             for text, feature in _distinct(frame["text"].tolist(), known.value >= 0):
                 edges = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    out[text[a]] = known.value[feature[a:b]].astype("<i4").tobytes()
+                    out[text[a]] = known.value[feature[a:b]].astype("<u2").tobytes()
             yield pd.DataFrame({"y": frame["y"], "x": out})
 
     data = sample.mapInPandas(rows_of, "y int, x binary").toPandas()
     known.unpersist()
-    x = [np.frombuffer(b, "<i4") for b in data["x"]]
-    weights, intercept = _logistic(x, data["y"].to_numpy(float), ratio, prior)
+    lengths = data["x"].map(len).to_numpy() // 2
+    column = np.frombuffer(b"".join(data["x"]), "<u2")
+    y = data["y"].to_numpy(float)
+    del data
+    weights, intercept = _logistic(column, lengths, y, ratio, prior)
     return Model(features, weights * ratio, intercept)
 
 
-def _logistic(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, start: float,
-              rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on present features scaled by `scale`, by Adam on the whole sample."""
-    column = np.concatenate(x) if len(x) else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    value = scale[column].astype(np.float32)
+def _logistic(column: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, start: float,
+              rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4, part: int = 1000) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features scaled by `scale`, by Adam on the whole sample.
+
+    `column` holds the features of all rows end to end; they are worked off `part` rows at a time."""
+    ends = np.cumsum(lengths)
+    blocks = [(i, min(i + part, len(y))) for i in range(0, len(y), part)]
     w, b = np.zeros(len(scale)), start
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[column] * value, minlength=len(y)) + b
-        gap = _sigmoid(z) - y
-        g = np.append(np.bincount(column, gap[row] * value, minlength=len(w)) / len(y) + penalty * w, gap.mean())
+        g = np.zeros(len(scale) + 1)
+        weight = w * scale
+        for lo, hi in blocks:
+            features = column[ends[lo] - lengths[lo]:ends[hi - 1]]
+            row = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            gap = _sigmoid(np.bincount(row, weight[features], minlength=hi - lo) + b) - y[lo:hi]
+            g[:-1] += np.bincount(features, gap[row], minlength=len(w))
+            g[-1] += gap.sum()
+        g[:-1] *= scale
+        g /= len(y)
+        g[:-1] += penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
