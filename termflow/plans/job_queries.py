@@ -118,18 +118,18 @@ def durations(spark, d):
 
 
 @query("live_over_history", "J12 U1", sql("""
-    select job_id, 'live' origin from jobs where job_id % 3 = 0 union all select job_id, 'stored' from jobs where job_id % 2 = 0 and job_id % 3 <> 0""", "jobs"))
+    select job_id, 'live' origin from jobs where job_id % 3 = 0 union all select job_id, 'stored' from jobs where job_id % 3 <> 0""", "jobs"))
 def live_over_history(spark, d):
     j = jobs(spark, d)
     live = j.where("job_id % 3 = 0").withColumn("origin", F.lit("live"))
-    return J.live_over_history(live, j.where("job_id % 2 = 0").withColumn("origin", F.lit("stored"))).select("job_id", "origin")
+    return J.live_over_history(live, j.where("job_id % 3 <> 0 or job_id % 2 = 0").withColumn("origin", F.lit("stored"))).select("job_id", "origin")
 
 
 @query("saved_jobs", "SNK9", sql("""
-    select job_id, case when job_id % 5 = 0 then 'cancelled' else status end status from jobs where job_id % 2 = 0 or job_id % 5 = 0""", "jobs"))
+    select job_id, case when job_id % 5 = 0 then 'cancelled' else status end status from jobs""", "jobs"))
 def saved_jobs(spark, d):
     j = jobs(spark, d)
-    return J.save_jobs(j.where("job_id % 2 = 0"), j.where("job_id % 5 = 0").withColumn("status", F.lit("cancelled"))).select("job_id", "status")
+    return J.save_jobs(j.where("job_id % 5 <> 0 or job_id % 2 = 0"), j.where("job_id % 5 = 0").withColumn("status", F.lit("cancelled"))).select("job_id", "status")
 
 
 def run_files(spark, d):

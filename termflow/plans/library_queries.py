@@ -95,12 +95,12 @@ def merged_glossary(spark, d):
 def import_batch(spark, d):
     """Every extracted term as an import row: many documents bring the same term."""
     t = doc_terms(spark, d)
-    return t.select((F.col("doc_id") * 10 + F.col("pos")).alias("row_no"), (F.col("doc_id") % 5).alias("domain_id"),
+    return t.select((F.col("doc_id") * 100 + F.col("pos")).alias("row_no"), (F.col("doc_id") % 5).alias("domain_id"),
                     F.concat(F.lit(" "), "source").alias("source"), language_map("t_fr", "t_de").alias("targets"),
                     "strategy", F.lit("").alias("ai_category"), F.col("lang").alias("context"))
 
 
-BATCH = "select doc_id*10+pos row_no, doc_id%5 domain_id, source, t_fr, t_de, strategy, lang context from doc_terms"
+BATCH = "select doc_id*100+pos row_no, doc_id%5 domain_id, source, t_fr, t_de, strategy, lang context from doc_terms"
 PRE = """select domain_id, source norm, arg_max(strategy, row_no) strategy, arg_max(context, row_no) context, count(*) n_rows, min(row_no) first_row,
     arg_max(t_fr, row_no) filter (t_fr <> '') fr, arg_max(t_de, row_no) filter (t_de <> '') de from batch group by all"""
 UPS = """select coalesce(l.domain_id, p.domain_id) domain_id, coalesce(l.norm, p.norm) norm, l.id, coalesce(p.strategy, l.strategy) strategy,
@@ -223,14 +223,14 @@ def save_docs(spark, d):
 
 
 def seeded(spark, d):
-    return ints(L.default_domains(nations(spark, d).where("domain_id < 0")))
+    return ints(L.default_domains(nations(spark, d)))
 
 
 ROUTES = """select doc_id, unnest([doc_id%5, (doc_id+1)%5]) domain_id from documents where doc_id%3=0 union all
     select doc_id, unnest([row_economics, row_it]) from documents, dom where doc_id%3=1 union all
     select doc_id, row_general from documents, dom where doc_id%3=2"""
 DOM = """select cast(max(r) filter (name='economics_finance') as bigint) row_economics, cast(max(r) filter (name='information_technology') as bigint) row_it,
-    cast(max(r) filter (name='general') as bigint) row_general from (select name, row_number() over (order by name) r from (select unnest(['%s']) as name))""" % "','".join(
+    cast(max(r) filter (name='general') as bigint) row_general from (select name, row_number() over (order by name) + (select max(n_nationkey) from nation) r from (select unnest(['%s']) as name))""" % "','".join(
     __import__("termflow.functions.constants", fromlist=["DOMAINS"]).DOMAINS)
 
 

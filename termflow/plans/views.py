@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..skew import global_rank
 from .registry import table
 
 TARGET_LANGS = ["fr", "de", "es"]
+LIBRARY_COUNT = 50
+#: A word is a term of its document from this share of the document's words on, as 1 / TERM_SHARE.
+TERM_SHARE = 60
 _LIBRARY: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -29,16 +33,17 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = lambda p, c: F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)),
                                      lambda x: F.struct(F.lit(c).alias("cls"), x.alias("tok")))
     counts = (d.select("lang", F.explode_outer(F.concat(grams("[a-z]{3,}", 1), grams("[a-z]{3,} [a-z]{3,}", 2))).alias("g")).where("g is not null")
-              .groupBy("lang", "g.cls", "g.tok").agg(F.count("*").alias("n")))
-    from pyspark.sql import Window
-    ranked = counts.withColumn("r", F.row_number().over(
-        Window.partitionBy("lang", "cls").orderBy(F.desc("n"), "tok"))).where("r <= 160").where(
-        "cls = 1 or r <= 40")
+              .groupBy("lang", "g.cls", "g.tok").agg(F.count("*").alias("n")).where(F.col("n") >= LIBRARY_COUNT))
+    order = [F.col("lang").asc_nulls_first(), F.col("cls"), F.desc("n"), F.col("tok")]
+    placed = global_rank(counts, order, "place")
+    first = placed.groupBy("lang", "cls").agg(F.min("place").alias("first"))  # one row per language and class
+    ranked = (placed.alias("p").join(F.broadcast(first).alias("f"), F.col("p.lang").eqNullSafe(F.col("f.lang")) & (F.col("p.cls") == F.col("f.cls")))
+              .select("p.lang", "p.cls", "tok", (F.col("place") - F.col("first") + 1).alias("r")))
     by = lambda l: F.max(F.when(F.col("lang") == l, F.col("tok")))
     wide = ranked.groupBy("cls", "r").agg(*[by(l).alias(l) for l in ["en", *TARGET_LANGS]]).where("en is not null")
     r = F.col("r")
     out = wide.select(
-        F.when(F.col("cls") == 1, r).otherwise(r + 160).cast("bigint").alias("id"),
+        (2 * r - F.when(F.col("cls") == 1, 1).otherwise(0)).cast("bigint").alias("id"),
         (r % 5).cast("bigint").alias("domain_id"), F.col("en").alias("source"),
         T.normalize_term(F.col("en")).alias("norm"), F.col("fr").alias("t_fr"),
         F.when(r % 7 == 0, "").otherwise(F.col("de")).alias("t_de"),
@@ -50,11 +55,12 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored term library: at most 200 terms, written once per session."""
+    """The stored term library, written once per session: all words and pairs of words that stand at
+    least LIBRARY_COUNT times in the texts of a language, matched over languages by their place."""
     from ..session import written
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LIBRARY:
-        _LIBRARY[key] = written(_library(spark, sf_dir).coalesce(1), "library")
+        _LIBRARY[key] = written(_library(spark, sf_dir), "library")
     return _LIBRARY[key].withColumn("targets", language_map("t_fr", "t_de", "t_es"))
 
 
@@ -68,13 +74,15 @@ def library_long(spark, sf_dir):
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted terms: the ten most frequent words of each document."""
+    """Extracted terms: the words that make up at least 1 / TERM_SHARE of a document's words. So there are
+    TERM_SHARE of them at most, in a window of one document."""
     from pyspark.sql import Window
     words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode_outer(
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("source")).where("source is not null")
     counts = words.groupBy("doc_id", "lang", "source").agg(F.count("*").alias("frequency"))
-    top = counts.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy(
-        F.desc("frequency"), "source")).cast("bigint")).where("pos <= 10")
+    total = F.sum("frequency").over(Window.partitionBy("doc_id", "lang"))
+    top = counts.withColumn("_total", total).where(F.col("frequency") * TERM_SHARE >= F.col("_total")).withColumn(
+        "pos", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy(F.desc("frequency"), "source")).cast("bigint"))
     p = F.col("pos")
     return top.select(
         "doc_id", "lang", "pos", "source", "frequency",
@@ -143,12 +151,12 @@ SQL = {
                generate_subscripts(string_split(text, chr(10)), 1) pos from documents)""",
     "lib_tok": """select lang, 1 cls, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) tok from documents
         union all select lang, 2, unnest(regexp_extract_all(lower(text), '[a-z]{3,} [a-z]{3,}')) from documents""",
-    "lib_rank": """select *, row_number() over (partition by lang, cls order by n desc, tok) r
-        from (select lang, cls, tok, count(*) n from lib_tok group by all)""",
+    "lib_rank": f"""select *, row_number() over (partition by lang, cls order by n desc, tok) r
+        from (select lang, cls, tok, count(*) n from lib_tok group by all) where n >= {LIBRARY_COUNT}""",
     "lib_wide": """select cls, cast(r as bigint) r, max(case when lang='en' then tok end) en, max(case when lang='fr' then tok end) fr,
         max(case when lang='de' then tok end) de, max(case when lang='es' then tok end) es
-        from lib_rank where r <= 160 and (cls = 1 or r <= 40) group by cls, r""",
-    "library": """select case when cls=1 then r else r+160 end id, r%5 domain_id, en source, lower(trim(en)) norm,
+        from lib_rank group by cls, r""",
+    "library": """select 2*r - case when cls=1 then 1 else 0 end id, r%5 domain_id, en source, lower(trim(en)) norm,
         fr t_fr, case when r%7=0 then '' else de end t_de, case when r%4<>0 then es end t_es,
         case when r%10=0 then 'skip' when r%10=1 then 'keep_original' else 'hard' end strategy,
         case when r%3=0 then 'domain_term' else '' end ai_category,
@@ -157,14 +165,14 @@ SQL = {
     "library_long": """select id, domain_id, source, 'fr' lang, t_fr target from library where t_fr is not null
         union all select id, domain_id, source, 'de', t_de from library where t_de is not null
         union all select id, domain_id, source, 'es', t_es from library where t_es is not null""",
-    "doc_terms": """select doc_id, lang, pos, source, frequency,
+    "doc_terms": f"""select doc_id, lang, pos, source, frequency,
         case when pos%4<>0 then source || '_fr' end t_fr, case when pos%2=0 then source || '_de' else '' end t_de,
         cast(null as varchar) t_es,
         case when pos%5=0 then 'skip' when pos%5=1 then 'keep_original' else 'hard' end strategy, pos%3=0 confirmed
-        from (select *, row_number() over (partition by doc_id order by frequency desc, source) pos
-              from (select doc_id, lang, source, count(*) frequency from (
-                  select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) source from documents)
-              group by all)) where pos <= 10""",
+        from (select *, row_number() over (partition by doc_id order by frequency desc, source) pos from (
+              select *, sum(frequency) over (partition by doc_id) total from (select doc_id, lang, source, count(*) frequency from (
+                  select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) source from documents)
+              group by all)) where frequency * {TERM_SHARE} >= total)""",
     "job_runs": """select l_orderkey job_id, l_linenumber, l_partkey, l_suppkey,
         (['de','es','fr','ja','ko','ru','zh-CN'])[l_linenumber % 7 + 1] target_lang,
         cast(l_quantity as bigint) segments_total,
