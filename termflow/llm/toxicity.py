@@ -10,32 +10,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERS = (3, 4, 5)
-BITS = 20
+ORDERS = (3, 4, 5, 6)
+BITS = 21
 #: Bound of the labelled sample that the model is fitted on, in rows.
 SAMPLE_ROWS = 20_000
 #: Features kept for the linear model, those that say most about the label.
 FEATURES = 8_000
+#: Chi-square of label and n-gram from which a feature may be kept: a few chance meetings in a small
+#: sample do not reach it.
+SURE = 15.0
 THRESHOLD = 0.7
 SMOOTHING = 0.5
-SLICE = 1 << 19
+#: Characters handled at once.
+SLICE = 1 << 18
 
 
 def grams(texts: list[str | None], table: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of the text, feature) of the n-grams of all whole texts, in slices. A feature that
     occurs again in the same slice comes once; `table`, if given, holds a true value for each feature
-    wanted. n-grams are taken over bytes in lower case, with white space as one kind of blank."""
-    parts: list[bytes] = []
+    wanted. n-grams are taken over characters in lower case, with white space as one kind of blank."""
+    parts: list[np.ndarray] = []
     owner: list[int] = []
     size = 0
     reach = max(ORDERS) - 1
     for number, text in enumerate(texts):
-        data = b" " + text.lower().encode("utf-8", "replace").translate(_BLANKS) + b" " if text else b""
+        data = np.frombuffer(f" {text.lower().translate(_BLANKS)} ".encode("utf-32-le", "replace"), "<u4") if text else ()
         for at in range(0, len(data), SLICE - reach):  # a long text goes on, with an overlap
             if at and len(data) - at <= reach:
                 break
             piece = data[at:at + SLICE]
-            parts.append(piece + b"\0" * reach)
+            parts += [piece, np.zeros(reach, "<u4")]
             owner.append(number)
             size += len(piece) + reach
             if size >= SLICE:
@@ -45,23 +49,25 @@ def grams(texts: list[str | None], table: np.ndarray | None = None) -> Iterator[
         yield _grams(parts, owner, table)
 
 
-_BLANKS = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
+_BLANKS = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
 
 
-def _grams(parts: list[bytes], owner: list[int], table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = np.cumsum([len(p) for p in parts])
-    rolled = data.astype(np.uint32) + np.uint32(1)
+def _grams(parts: list[np.ndarray], owner: list[int], table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    data = np.concatenate(parts)
+    ends = np.cumsum([len(a) + len(b) for a, b in zip(parts[::2], parts[1::2], strict=True)])
+    rolled = data + np.uint32(1)
     found = []
     for n in range(2, max(ORDERS) + 1):
         rolled = rolled[:-1] * np.uint32(0x01000193) + data[n - 1:]
         if n not in ORDERS:
             continue
-        feature = (rolled * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
-        at = np.flatnonzero(data[n - 1:] != 0) if table is None else np.flatnonzero(table[feature] & (data[n - 1:] != 0))
+        feature = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
+        keep = data[n - 1:] != 0
+        if table is not None:
+            keep &= table[feature]
+        at = np.flatnonzero(keep)
         at = at[data[at] != 0]
-        which = np.searchsorted(ends, at, "right")
-        found.append(which.astype(np.int64) << BITS | feature[at])
+        found.append(np.searchsorted(ends, at, "right").astype(np.int64) << BITS | feature[at])
     both = np.unique(np.concatenate(found))
     return np.asarray(owner)[both >> BITS], both & ((1 << BITS) - 1)
 
@@ -135,9 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
         return Model(empty, np.zeros(0), prior)
     p = (F.col("toxic") + SMOOTHING) / (toxic + 2 * SMOOTHING)
     q = (F.col("clean") + SMOOTHING) / (clean + 2 * SMOOTHING)
+    share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    gap = F.col("toxic") / toxic - F.col("clean") / clean
+    sure = gap * gap >= SURE * share * (1 - share) * (1 / toxic + 1 / clean)
     ratios = (sample.mapInPandas(_count, "feature long, clean long, toxic long")
               .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where("clean + toxic >= 3").withColumn("ratio", F.log(p / q))
+              .where(sure).withColumn("ratio", F.log(p / q))
               .withColumn("gain", F.abs("ratio") * F.sqrt(F.col("clean") + F.col("toxic")))
               .orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature", "ratio").toPandas())
     features, ratio = ratios["feature"].to_numpy(), ratios["ratio"].to_numpy()
@@ -165,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE_R
 
 
 def _logistic(column: np.ndarray, lengths: np.ndarray, y: np.ndarray, scale: np.ndarray, start: float,
-              rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4, part: int = 1000) -> tuple[np.ndarray, float]:
+              rounds: int = 200, rate: float = 0.05, penalty: float = 1e-4, part: int = 1000) -> tuple[np.ndarray, float]:
     """Logistic regression on present features scaled by `scale`, by Adam on the whole sample.
 
     `column` holds the features of all rows end to end; they are worked off `part` rows at a time."""
