@@ -39,10 +39,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "option": {"select"}}
 #: Words in class, id and role that name what stands around an article.
-AROUND = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-             "commentlist cookie cookies consent disclaimer discussion disqus footer gdpr header masthead menu modal "
+AROUND = set("ad ads adsbygoogle adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments "
+             "commentlist cookie cookies consent disclaimer discussion disqus feedback footer gdpr header login masthead menu modal "
              "nav navbar navigation newsletter notice notices notification pager pagination popup promo related "
-             "recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+             "recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe survey "
              "toolbar topbar widget contentinfo complementary".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -51,6 +51,8 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\
 _SPACE = re.compile(r"\s+")
 #: Share of aligned pages on which the text of a template node stays the same.
 CONSTANT = 0.5
+#: Different pages of a host that must have a text in one place before it can be template.
+PAGES = 3
 
 
 @dataclass
@@ -276,6 +278,7 @@ def _articles(page: Node) -> list[Node]:
 
 def _blocks(root: Node, template: set[int], out: list[str]) -> None:
     held: list[str] = []
+    inside = root.tag in ("article", "main")  # a header with the heading of the article belongs to it
 
     def end() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
@@ -290,7 +293,7 @@ def _blocks(root: Node, template: set[int], out: list[str]) -> None:
             end()
         elif isinstance(n, str):
             held.append(n)
-        elif n.around or id(n) in template:
+        elif (n.around and not (n.tag == "header" and n.holds and inside)) or id(n) in template:
             if n.tag in BLOCK:
                 end()
         elif n.tag == "br":
@@ -309,9 +312,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text) of every row of `pages`.
 
     1. Every page is parsed and folded to a skeleton of labels and text digests, which is stored.
-    2. The reference of a host is a page of middling shape: the smallest by a hash of its skeleton, so
-       one that many pages share. Pages are aligned with it; a node whose text is the reference's on
-       more than `constant` of the aligned pages is template.
+    2. The reference of a host is a page of its most frequent shape. Different pages are aligned with it;
+       a node whose text is the reference's on more than `constant` of the aligned pages, and on PAGES at
+       least, is template. Copies of a page count once, so what is copied does not become template.
     3. Pages are aligned again, template and what stands around the article are dropped, and the rest
        is cut into blocks.
     Votes of a hot host are summed before they are moved. A null or empty html gives an empty text, a
@@ -324,15 +327,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"host": frame["host"], "page_id": frame["page_id"], "tree": [
+            yield pd.DataFrame({"host": frame["host"], "tree": [
                 json.dumps(skeleton(fold([parse(h or "")]))) for h in frame["html"]]})
 
     id_type = narrow.schema["page_id"].dataType.simpleString()
-    trees = written(narrow.select("host", "page_id", "html").mapInPandas(
-        skeletons, f"host string, page_id {id_type}, tree string"), "page-trees")
+    trees = written(narrow.select("host", "html").mapInPandas(skeletons, "host string, tree string"), "page-trees")
+    trees = written(trees.distinct(), "different-trees")
     shape = F.regexp_replace("tree", ", [0-9]+, ", ",")
     shapes = trees.groupBy("host", F.xxhash64(shape).alias("shape")).agg(
-        F.count("*").alias("n"), F.min_by("tree", F.struct(F.xxhash64("page_id"), "tree")).alias("tree"))
+        F.count("*").alias("n"), F.min_by("tree", F.struct(F.xxhash64("tree"), "tree")).alias("tree"))
     references = written(shapes.groupBy("host").agg(
         F.max_by("tree", F.struct("n", "shape")).alias("reference"), F.sum("n").alias("pages")), "page-references")
 
@@ -345,7 +348,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     counted = (trees.select("host", "tree").join(references.where("pages > 1").select("host", "reference"), "host")
                .mapInPandas(vote, "host string, node int, same int")
                .groupBy("host", "node").agg(F.sum("same").alias("same"), F.count("*").alias("n")))
-    fixed = (counted.where((F.col("n") > 1) & (F.col("same") > 1) & (F.col("same") > F.col("n") * constant))
+    fixed = (counted.where((F.col("same") >= PAGES) & (F.col("same") > F.col("n") * constant))
              .groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("fixed")))
     wrappers = written(references.where("pages > 1").join(fixed, "host", "left").select("host", "reference", "fixed"),
                        "page-wrappers")

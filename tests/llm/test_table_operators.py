@@ -117,13 +117,17 @@ def test_wrapper_induction(spark):
              (53, "http://h.example/q", "<article><header>x</header><p>A<br>b</p><footer>f</footer>tail</article><p>out"),
              (3, rows[3][1], rows[3][2]), (54, "u", "<" * 50 + "<p <a href='x"), (55, "u", "<div>" * 3000 + "deep"),
              (56, "u2", "<form><div class='page with-sidebar'><nav>n</nav><h1>T</h1><p>body<div class='sidebar'>s</div></div></form>")]
+    rows += [(57, "u3", "<article><header><h1>Head</h1></header><div class=ad>z</div><p>x\n y</article>")]
+    rows += [(70 + i, "http://copies.example/", "<h1>Copied page</h1><p>with one text") for i in range(6)]
+    rows += [(80, "http://copies.example/", "<h1>Other page</h1><p>with another text")]
     pages = spark.createDataFrame([(*r, "h", "r") for r in rows], "page_id long, url string, html string, host string, reference string")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     assert html_extract.extract(pages).count() == len(rows)
     for i in range(12):
         assert got[i] == f"Title {i}\nBody & more {i}\nSecond para bold {i}"
     assert got[50] == "" and got[51] == "" and got[52] == "only page" and got[53] == "A b\ntail" and got[55] == "deep"
-    assert got[56] == "T\nbody"
+    assert got[56] == "T\nbody" and got[57] == "Head\nx y"
+    assert got[70] == got[75] == "Copied page\nwith one text"  # copies are no template
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
