@@ -21,17 +21,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def in_blocks(keyed: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def in_blocks(keyed: DataFrame, key: str, member: str, block: int, heavy: bool = False) -> DataFrame:
     """Rows of every bucket with at least two members, cut into groups of bounded size.
 
+    With `heavy`, rows are wide and few stand alone: only the sizes of large buckets are looked up, so
+    that rows move once, and those that stand alone come along.
+
     A bucket of up to `block` rows is one group. A larger one is cut into n blocks by a hash of the
     member, and every pair of blocks is a group, so any two rows of a bucket meet in exactly one
     group: in (b, b) if their block is the same, else in (b, c). Adds `lo`, `hi` (the blocks of the
     group) and `own` (the block of the row); rows arrive partitioned and sorted by group.
     """
-    sizes = keyed.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    n = F.ceil(F.col("_n") / F.lit(float(block))).cast("int")
-    cut = (keyed.join(sizes, key)
+    sizes = keyed.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > (block if heavy else 1))
+    n = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(float(block))).cast("int")
+    cut = (keyed.join(written(sizes, "large-buckets") if heavy else sizes, key, "left" if heavy else "inner")
            .withColumn("_blocks", n)
            .withColumn("own", F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_blocks")).cast("int"))
            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

@@ -21,20 +21,25 @@ from .common import Forest, components, in_blocks, whole_groups
 
 COSINE = 0.95
 #: Nearest pivots that describe a vector.
-NEAREST = 7
+NEAREST = 5
 #: Pivots: about the square root of the number of vectors, within these bounds, taken from the vectors.
 MIN_PIVOTS, MAX_PIVOTS = 32, 4096
+#: Cosine from which a sampled vector is no further pivot.
+APART = 0.8
 BLOCK = 1000
 
 
 def pivots_for(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Reference points by dimension: n vectors chosen by a hash of their id, a bounded sample. A
-    dimension with too few of them gets fixed random directions as well."""
-    chosen = vectors.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(n).select("embedding").collect()
+    """Reference points by dimension, out of a bounded sample of 2n vectors chosen by a hash of their id.
+    Of points within APART of each other one is taken, so a crowd of near copies is one reference and
+    its members agree on the others. A dimension with too few gets fixed random directions as well."""
+    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(17)), "vec_id").limit(2 * n).select("embedding").collect()
     out: dict[int, list] = {}
-    for r in chosen:
-        v = np.asarray(r.embedding, float)
-        out.setdefault(len(v), []).append(v / np.linalg.norm(v))
+    for r in sample:
+        v = _unit(np.asarray(r.embedding)[None])[0]
+        taken = out.setdefault(len(v), [])
+        if len(taken) < n and (not taken or (np.array(taken) @ v).max() < APART):
+            taken.append(v)
     return {d: _filled(np.array(rows), d, n) for d, rows in out.items()}
 
 
@@ -47,11 +52,15 @@ def _filled(rows: np.ndarray, dim: int, n: int) -> np.ndarray:
 
 
 def _matrix(column: pa.ListArray, at: np.ndarray, dim: int) -> np.ndarray:
-    """Rows `at` of a list column, all of length dim, as unit vectors in double precision."""
-    flat = column.values.to_numpy(zero_copy_only=False).astype(float)
-    starts = column.offsets.to_numpy()[at]
-    v = flat[starts[:, None] + np.arange(dim)]
-    v /= np.abs(v).max(axis=1, keepdims=True)  # keeps very large and very small components exact
+    """Rows `at` of a list column, all of length dim, in its own precision."""
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return flat[column.offsets.to_numpy()[at][:, None] + np.arange(dim)]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v = v.astype(float)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that squares of very large or small components are exact
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -65,32 +74,34 @@ def _describe(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
             v = _matrix(batch.column(2), at, int(dim))
             points = pivots.get(int(dim))
             points = _filled(np.zeros((0, int(dim))), int(dim), n) if points is None else points
-            close = np.sort(np.argsort(-(v @ points.T), axis=1, kind="stable")[:, :NEAREST], axis=1)
+            close = np.sort(np.argsort(-(_unit(v) @ points.T), axis=1, kind="stable")[:, :NEAREST], axis=1)
             key = (int(dim) << 40) + close[:, pairs[:, 0]] * len(points) + close[:, pairs[:, 1]]
             repeat = np.repeat(np.arange(len(at)), len(pairs))
             near = close.astype("<i4").tobytes()
-            unit = v.astype("<f8").tobytes()
-            a, b = NEAREST * 4, int(dim) * 8
+            raw = v.tobytes()
+            a, b = NEAREST * 4, int(dim) * v.itemsize
             nears = [near[i * a:(i + 1) * a] for i in range(len(at))]
-            units = [unit[i * b:(i + 1) * b] for i in range(len(at))]
+            raws = [raw[i * b:(i + 1) * b] for i in range(len(at))]
             for cut in range(0, len(repeat), 20_000):
                 r = repeat[cut:cut + 20_000]
                 yield pa.record_batch([pa.array(key.reshape(-1)[cut:cut + 20_000]), pa.array(ids[at][r]),
                                        pa.array(copies[at][r]), pa.array([nears[i] for i in r], pa.binary()),
-                                       pa.array([units[i] for i in r], pa.binary())],
-                                      names=["key", "vec_id", "copies", "near", "unit"])
+                                       pa.array([raws[i] for i in r], pa.binary())],
+                                      names=["key", "vec_id", "copies", "near", "vector"])
 
 
-def _verify(frames: Iterator[pd.DataFrame], n: int, least: float, shared: int) -> Iterator[pd.DataFrame]:
+def _verify(frames: Iterator[pd.DataFrame], kind: str, n: int, least: float, shared: int) -> Iterator[pd.DataFrame]:
     for frame, starts in whole_groups(frames, ["key", "lo", "hi"]):
         ends = [*starts[1:].tolist(), len(frame)]
         ids, copies, own, key = (frame[c].to_numpy() for c in ("vec_id", "copies", "own", "key"))
         crossing = (frame["lo"] != frame["hi"]).to_numpy()
         near = np.frombuffer(b"".join(frame["near"]), "<i4").reshape(len(frame), NEAREST)
-        units = frame["unit"].tolist()
+        raws = frame["vector"].tolist()
         found_a, found_b, found_n = [], [], []
         for s, e in zip(starts.tolist(), ends, strict=True):
-            v = np.frombuffer(b"".join(units[s:e]), "<f8").reshape(e - s, -1)
+            if e - s == 1:
+                continue
+            v = _unit(np.frombuffer(b"".join(raws[s:e]), kind).reshape(e - s, -1))
             hit = (v @ v.T) >= least
             if crossing[s]:
                 hit &= own[s:e, None] != own[None, s:e]
@@ -147,10 +158,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, shared: int = 2, ve
     points = pivots_for(distinct, n)
     held = vectors.sparkSession.sparkContext.broadcast(points)
     lists = distinct.mapInArrow(lambda it: _describe(it, held.value, n),
-                                "key long, vec_id long, copies long, near binary, unit binary")
-    lists = written(lists.select("vec_id", "copies", "near", "unit", "key"), "pivot-lists")
-    found = written(in_blocks(lists, "key", "vec_id", BLOCK).select("key", "lo", "hi", "own", "vec_id", "copies", "near", "unit")
-                    .mapInPandas(lambda it: _verify(it, n, cosine, shared), "a long, b long, n long"), "vector-links")
+                                "key long, vec_id long, copies long, near binary, vector binary")
+    lists = written(lists.select("vec_id", "copies", "near", "vector", "key"), "pivot-lists")
+    kind = "<f4" if base.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    found = written(in_blocks(lists, "key", "vec_id", BLOCK, heavy=True)
+                    .select("key", "lo", "hi", "own", "vec_id", "copies", "near", "vector")
+                    .mapInPandas(lambda it: _verify(it, kind, n, cosine, shared), "a long, b long, n long"), "vector-links")
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     top = components(found.where("a <> b").select("a", "b"), "vector-trees")
     named = (classes.join(links, "rep", "left").join(top, F.col("rep") == F.col("node"), "left")
