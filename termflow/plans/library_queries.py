@@ -179,6 +179,11 @@ def ensured_domains(spark, d):
     return ints(L.ensure_domains(nations(spark, d), names))
 
 
+@query("renamed_domains", "U7", "select cast(n_nationkey as bigint) domain_id, case when n_nationkey = 3 then 'New name' else n_name end as name from nation")
+def renamed_domains(spark, d):
+    return ints(L.rename_domain(nations(spark, d), 3, " New name ").select("domain_id", "name"))
+
+
 @query("seeded_domains", "SRC18", "select n_name as name from nation union all select unnest(['%s'])" % "','".join(
     __import__("termflow.functions.constants", fromlist=["DOMAINS"]).DOMAINS))
 def seeded_domains(spark, d):

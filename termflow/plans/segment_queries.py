@@ -148,12 +148,14 @@ def previous_contexts(spark, d):
 
 
 @query("unit_totals", "W11 A5", sql("""
-    select doc_id, cast(count(*) as bigint) n_blocks, cast(max(i)//5 + 1 as bigint) slides, cast(count(*) as bigint) paragraphs from tb group by doc_id""", "blocks", tb=TB))
+    select doc_id, cast(count(*) as bigint) n_blocks, cast(max(i)//5 + 1 as bigint) slides, cast(count(*) as bigint) paragraphs,
+      cast(count(*) as bigint) cues, cast(count(*) as bigint) docx_paragraphs, 'subtitle' label from tb group by doc_id""", "blocks", tb=TB))
 def unit_totals(spark, d):
     b = F.col("blocks")
     x = with_blocks(spark, d)
     n = lambda k: F.size(F.array_distinct(S.unit_numbers(b, k)))
-    return ints(x.select("doc_id", F.size(b).alias("n_blocks"), n("pptx").alias("slides"), n("md").alias("paragraphs")))
+    return ints(x.select("doc_id", F.size(b).alias("n_blocks"), n("pptx").alias("slides"), n("md").alias("paragraphs"),
+                         n("srt").alias("cues"), n("docx").alias("docx_paragraphs"), S.unit_label(F.lit("srt")).alias("label")))
 
 
 @query("segment_ranges", "A6 A5", sql("""

@@ -194,12 +194,17 @@ def xml_escaped(c):
 
 
 @query("xml_strings", "SRC10", sql(f"""
-    select doc_id, 'str_' || block_no || case when a then '@label' else '' end key_path, md5(tx) source from (
-      select doc_id, block_no, trim(source_text) tx, false a from blocks where block_no%7<>3
-      union all select doc_id, block_no, 'Label ' || block_no, true from blocks where block_no%7<>3 and block_no%2=0) where {OKTX}""", "blocks"))
+    select doc_id, key_path, md5(tx) source from (
+      select doc_id, case when i%7 = 1 then '/resources/item[' || (i//7 + 1) || ']' else 'str_' || i end key_path, tx from rows where i%7 not in (3, 5)
+      union all select doc_id, '/resources/string[' || (i//7*4 + i%7//2 + 1) || ']@label', 'Label ' || i from rows where i%7 in (0, 2, 4, 6) and i%2 = 0)
+    where {OKTX}""", "blocks", rows="select doc_id, block_no i, trim(source_text) tx from blocks"))
 def xml_strings(spark, d):
-    row = lambda l, i: F.concat(F.lit('<string name="str_'), i, F.lit('"'), F.when(i % 7 == 3, ' translatable="false"').otherwise(""),
-                                F.when(i % 2 == 0, F.concat(F.lit(' label="Label '), i, F.lit('"'))).otherwise(""), F.lit(">"), xml_escaped(l), F.lit("</string>"))
+    """Named and unnamed leaves, attributes, protection by the parent, skipped elements."""
+    string = lambda l, i: F.concat(F.lit('<string name="str_'), i, F.lit('"'), F.when(i % 2 == 0, F.concat(F.lit(' label="Label '), i, F.lit('"')))
+                                   .otherwise(""), F.lit(">"), xml_escaped(l), F.lit("</string>"))
+    inside = lambda head, l, tail: F.concat(F.lit(head), xml_escaped(l), F.lit(tail))
+    row = lambda l, i: (F.when(i % 7 == 1, inside("<item>", l, "</item>")).when(i % 7 == 5, inside("<code>", l, "</code>"))
+                        .when(i % 7 == 3, inside('<group translatable="false"><entry title="kept">', l, "</entry></group>")).otherwise(string(l, i)))
     f = docs(spark, d).select("doc_id", F.concat(F.lit("<?xml version='1.0'?><resources>"), lines_with(row), F.lit("</resources>")).alias("text"))
     return R.string_resources(f).select("doc_id", "key_path", F.md5("source_text").alias("source"))
 
@@ -207,14 +212,15 @@ def xml_strings(spark, d):
 @query("xliff_units", "SRC11", sql(f"""
     select doc_id, case when doc_id%2=0 then 'tu_' else 'unit_' end || block_no || case when k = 1 then '_1' else '' end block_id,
       case when doc_id%2=0 then '1.2' else '2.0' end "version", md5(tx) source from (
-        select doc_id, block_no, 0 k, trim(source_text) tx from blocks where block_no%5<>4
+        select doc_id, block_no, 0 k, trim(source_text || case when block_no%3 = 0 then ' <g id=''1'' /> tail' else '' end) tx from blocks where block_no%5<>4
         union all select doc_id, block_no, 1, 'Again ' || block_no from blocks where doc_id%2=1 and block_no%5<>4) where {OKTX}""", "blocks"))
 def xliff_units(spark, d):
     no = lambda i: F.when(i % 5 == 4, ' translate="no"').otherwise("")
     src = lambda c: F.concat(F.lit("<source>"), c, F.lit("</source>"))
+    marked = lambda l, i: F.concat(xml_escaped(l), F.when(i % 3 == 0, ' <g id="1">inner</g> tail').otherwise(""))
     tag = lambda n, i: F.concat(F.lit(f'<{n} id="'), i, F.lit('"'), no(i), F.lit(">"))
-    old = lines_with(lambda l, i: F.concat(tag("trans-unit", i), src(xml_escaped(l)), F.lit("<target/></trans-unit>")))
-    new = lines_with(lambda l, i: F.concat(tag("unit", i), F.lit("<segment>"), src(xml_escaped(l)), F.lit("</segment><segment>"),
+    old = lines_with(lambda l, i: F.concat(tag("trans-unit", i), src(marked(l, i)), F.lit("<target/></trans-unit>")))
+    new = lines_with(lambda l, i: F.concat(tag("unit", i), F.lit("<segment>"), src(marked(l, i)), F.lit("</segment><segment>"),
                                            src(F.concat(F.lit("Again "), i)), F.lit("</segment></unit>")))
     f = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<xliff><file><body>"), old, F.lit("</body></file></xliff>")))
                               .otherwise(F.concat(F.lit("<xliff><file>"), new, F.lit("</file></xliff>"))).alias("text"))
@@ -287,3 +293,26 @@ def stored_runs(spark, d):
     n.select(row.alias("value")).write.text(path)
     runs, _ = R.eval_runs(spark, path, one_per_file=False)
     return runs.select("run_id", "average_overall")
+
+
+@query("run_files", "SRC16", "select 'run' || lpad('' || n_nationkey, 3, '0') run_id, n_nationkey * 1.5::double average_overall from nation where n_nationkey % 4 <> 1")
+def run_files(spark, d):
+    """One file per run, over several lines; broken files are left out."""
+    k = F.col("n_nationkey")
+    row = F.when(k % 4 == 1, F.lit('{"run_id":\n broken')).otherwise(F.replace(F.to_json(F.struct(
+        F.format_string("run%03d", k).alias("run_id"), (k * 1.5).alias("average_overall"))), F.lit(","), F.lit(",\n")))
+    path = new_path(spark, "runs")
+    table(spark, d, "nation").select(k, row.alias("value")).repartitionByRange(25, k).write.partitionBy("n_nationkey").text(path)
+    runs, _ = R.eval_runs(spark, f"{path}/*/*")
+    return runs.select("run_id", "average_overall")
+
+
+@query("cached_reply_files", "SRC17", "select sha256('request ' || s_suppkey) request_key, 'reply to ' || s_name reply from supplier where s_suppkey % 5 <> 0")
+def cached_reply_files(spark, d):
+    """Replies stored as files named by their request; files of another name or without a reply are no replies."""
+    k = F.col("s_suppkey")
+    key = F.when(k % 10 == 0, F.concat(F.lit("other"), k)).otherwise(F.sha2(F.concat(F.lit("request "), k), 256))
+    body = F.when(k % 10 == 5, "{}").otherwise(F.to_json(F.struct(F.concat(F.lit("reply to "), "s_name").alias("reply"))))
+    path = new_path(spark, "replies")
+    E.write_named(table(spark, d, "supplier").select(F.concat(key, F.lit(".json")).alias("name"), body.alias("content")), path)
+    return R.reply_cache(spark, path)

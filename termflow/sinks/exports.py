@@ -53,6 +53,19 @@ def drafts(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("best_text", T.best_text(r, t, s)).withColumn("draft_text", T.best_text(F.lit(""), t, s))
 
 
+def write_named(files: DataFrame, path: str) -> None:
+    """One file for each row (name, content). Tasks write side by side; a repeated task writes the same."""
+    def write(rows):
+        from pyarrow import fs
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder)
+        for r in rows:
+            with store.open_output_stream(f"{folder}/{r.name}") as out:
+                out.write(r.content.encode())
+
+    files.select("name", "content").foreachPartition(write)
+
+
 def write_documents(docs: DataFrame, path: str) -> None:
     """Rebuilt documents (name, target_lang, text), one folder per language."""
     docs.write.partitionBy("target_lang").parquet(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,36 +109,83 @@ def value_at(doc: Column, path: str, kind: str = "string") -> Column:
 
 # --- XML --------------------------------------------------------------------------------------
 
-def xml_elements(files: DataFrame, tag: str, schema: str) -> DataFrame:
-    """(doc_id, seq, e) for every element of a name that does not nest in itself."""
-    element = rf"(?s)<{tag}(?=[\s>/])(?:[^>]*+(?<=/)>|.*?</{tag}\s*>)"
-    return (files.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(element), F.lit(0))).alias("seq", "x"))
-            .select("doc_id", "seq", F.from_xml("x", schema, {"valueTag": "value", "ignoreNamespace": "true"}).alias("e")))
+def _tree(text: str | None):
+    """Root of a file that is well-formed XML, else None."""
+    try:
+        return ElementTree.fromstring(text) if text else None
+    except (ElementTree.ParseError, ValueError):
+        return None
+
+
+def _name(element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _resource_texts(text: str | None) -> list[tuple]:
+    """(key_path, attr, text) of leaf elements and prose attributes in file order. What stands in a
+    protected or skipped element is not visited."""
+    root = _tree(text)
+    out, stack = [], [] if root is None else [(root, "/" + _name(root))]
+    while stack:
+        e, path = stack.pop()
+        if _name(e) in K.XML_SKIP_TAGS or e.get("translatable") == "false" or e.get("translate") == "no":
+            continue
+        if not len(e):
+            out.append((e.get("name") or path, None, e.text or ""))
+        out += [(f"{path}@{a}", a, e.get(a)) for a in K.XML_TEXT_ATTRS if e.get(a)]
+        seen: Counter = Counter()
+        below = []
+        for child in e:
+            seen[child.tag] += 1
+            below.append((child, f"{path}/{_name(child)}[{seen[child.tag]}]"))
+        stack += reversed(below)
+    return out
+
+
+def _inline(source) -> str:
+    """Text of a unit with its inline elements as placeholders."""
+    mark = lambda e: f"<{_name(e)}" + (f" id='{e.get('id')}'" if e.get("id") else "") + " />"
+    return (source.text or "") + "".join(mark(e) + (e.tail or "") for e in source)
+
+
+def _units(text: str | None) -> list[tuple]:
+    """(block_id, version, text) of the units of XLIFF 1.2 and 2.0, told apart by element."""
+    root = _tree(text)
+    out = []
+    for unit in () if root is None else root.iter():
+        kind = _name(unit)
+        if kind not in ("trans-unit", "unit") or unit.get("translate") == "no":
+            continue
+        parts = [unit] if kind == "trans-unit" else [s for s in unit if _name(s) == "segment"]
+        for k, part in enumerate(parts):
+            number = f"_{k}" if k else ""
+            prefix, version = ("tu_", "1.2") if kind == "trans-unit" else ("unit_", "2.0")
+            out += [(f"{prefix}{unit.get('id', '')}{number}", version, _inline(s)) for s in part if _name(s) == "source"]
+    return out
+
+
+def _parsed(files: DataFrame, parse, columns: list[str]) -> DataFrame:
+    """Rows of parse(text) of every file, numbered inside the file."""
+    def run(frames):
+        for f in frames:
+            rows = [(d, i, *r) for d, t in zip(f["doc_id"], f["text"], strict=True) for i, r in enumerate(parse(t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", *columns])
+
+    kind = files.schema["doc_id"].dataType.simpleString()
+    return files.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, seq int, " + ", ".join(f"{c} string" for c in columns))
 
 
-def string_resources(files: DataFrame, tag: str = "string") -> DataFrame:
-    """Texts and prose attributes of resource elements; protected elements drop out."""
-    attrs = [f"_{a}" for a in K.XML_TEXT_ATTRS]
-    schema = "_name string, _translatable string, _translate string, value string, " + ", ".join(f"`{a}` string" for a in attrs)
-    rows = xml_elements(files, tag, schema).select("doc_id", "seq", "e.*").where(
-        "coalesce(_translatable, '') <> 'false' and coalesce(_translate, '') <> 'no'")
-    parts = F.array(F.struct(F.lit(None).cast("string").alias("attr"), F.col("value").alias("text")),
-                    *[F.struct(F.lit(a[1:]).alias("attr"), F.col(f"`{a}`").alias("text")) for a in attrs])
-    return (rows.select("doc_id", "seq", "_name", F.explode(parts).alias("p")).where(T.is_translatable(F.col("p.text"))).select(
-        "doc_id", "seq", F.concat("_name", F.when(F.col("p.attr").isNotNull(), F.concat(F.lit("@"), "p.attr")).otherwise("")).alias("key_path"),
-        F.col("p.attr").alias("attr"), T.strip(F.col("p.text")).alias("source_text")))
+def string_resources(files: DataFrame) -> DataFrame:
+    """Texts of leaf elements and prose attributes of all elements; a leaf is named by its `name` or its
+    path. A file that is not well-formed has none."""
+    rows = _parsed(files, _resource_texts, ["key_path", "attr", "source_text"])
+    return rows.withColumn("source_text", T.strip(F.col("source_text"))).where(T.is_translatable(F.col("source_text")))
 
 
 def xliff_units(files: DataFrame) -> DataFrame:
-    """Units of XLIFF 1.2 and 2.0 files; inline tags stay as they are. Segments of one unit are numbered."""
-    old = xml_elements(files, "trans-unit", "_id string, _translate string, source string").select(
-        "doc_id", F.concat(F.lit("tu_"), "e._id").alias("block_id"), F.lit("1.2").alias("version"), "e._translate", "e.source")
-    new = xml_elements(files, "unit", "_id string, _translate string, segment array<struct<source:string>>").select(
-        "doc_id", "e._id", "e._translate", F.posexplode("e.segment").alias("k", "s")).select(
-        "doc_id", F.concat(F.lit("unit_"), "_id", F.when(F.col("k") > 0, F.concat(F.lit("_"), "k")).otherwise("")).alias("block_id"),
-        F.lit("2.0").alias("version"), "_translate", F.col("s.source").alias("source"))
-    return (old.unionByName(new).where("coalesce(_translate, '') <> 'no'").where(T.is_translatable(F.col("source")))
-            .select("doc_id", "block_id", "version", F.col("source").alias("source_text")))
+    """Units of XLIFF 1.2 and 2.0 files, inline elements as placeholders; segments of one unit are numbered."""
+    rows = _parsed(files, _units, ["block_id", "version", "source_text"])
+    return rows.where(T.is_translatable(F.col("source_text"))).drop("seq")
 
 
 # --- term sheets and stores -------------------------------------------------------------------
@@ -147,23 +196,26 @@ SHEET_FIELDS = ["strategy", "context", "category", "ai_category", "source"]
 def import_terms(sheet: DataFrame, row_no: str = "row_no") -> tuple[DataFrame, DataFrame]:
     """(terms, skipped) of a term sheet whose other headers are language codes.
 
-    An old `source` column stands for `en`; `en` names the term, else its first filled language.
+    A row becomes a list of (language, text) with `en` in front and empty cells left out; the first
+    one names the term. A `source` column fills `en` where that is empty.
     """
-    raw = {c.strip().lower(): c for c in sheet.columns if c != row_no}
-    langs = [c for c in raw if c not in SHEET_FIELDS]
-    if "source" in raw and "en" not in langs:
-        langs.insert(0, "en")
-    if not langs:
+    columns = {c.strip().lower(): c for c in sheet.columns if c != row_no}
+    text = lambda *names: F.coalesce(*[F.nullif(T.strip(F.col(f"`{columns[n]}`")), F.lit("")) for n in names if n in columns],
+                                     F.lit(None).cast("string"))
+    english = [n for n in ("en", "source") if n in columns]
+    others = [n for n in columns if n not in (*SHEET_FIELDS, "en")]
+    if not english and not others:
         raise ValueError("no language columns: use language codes as headers")
-    cell = lambda c: F.nullif(T.strip(F.col(f"`{raw[c]}`")), F.lit("")) if c in raw else F.lit(None).cast("string")
-    value = {l: F.coalesce(cell(l), cell("source")) if l == "en" else cell(l) for l in langs}
-    label = lambda l: raw[l].strip() if l in raw else l
-    targets = F.map_filter(F.create_map(*[x for l in langs for x in (F.lit(label(l)), value[l])]), lambda _, v: v.isNotNull())
-    lead = "en" if "en" in langs else langs[0]
-    t = sheet.select(row_no, targets.alias("targets"), F.coalesce(value[lead], *[value[l] for l in langs]).alias("source"),
-                     F.coalesce(cell("strategy"), F.lit("hard")).alias("strategy"),
-                     F.coalesce(cell("ai_category"), cell("category"), F.lit("")).alias("ai_category"), F.coalesce(cell("context"), F.lit("")).alias("context"))
-    return t.where("source is not null"), t.where("source is null").select(row_no)
+    cell = lambda code, value: F.struct(F.lit(code).alias("lang"), value.alias("text"))
+    cells = ([cell(columns.get("en", "en").strip(), text(*english))] if english else []) + [
+        cell(columns[n].strip(), text(n)) for n in others]
+    rows = sheet.withColumn("_filled", F.filter(F.array(*cells), lambda c: c["text"].isNotNull()))
+    named = F.size("_filled") > 0
+    fixed = {"strategy": (("strategy",), "hard"), "ai_category": (("ai_category", "category"), ""), "context": (("context",), "")}
+    terms = rows.where(named).select(
+        row_no, F.map_from_entries("_filled").alias("targets"), F.get("_filled", F.lit(0))["text"].alias("source"),
+        *[F.coalesce(text(*names), F.lit(otherwise)).alias(name) for name, (names, otherwise) in fixed.items()])
+    return terms, rows.where(~named).select(row_no)
 
 
 def read_sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
