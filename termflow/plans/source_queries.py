@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import new_path
 from ..sinks import exports as E
+from ..sources import files as FS
 from ..sources import html as H
 from ..sources import plain as P
 from ..sources import resources as R
 from ..sources import subtitles as S
-from .registry import ints, query, table
+from .registry import QUERIES, ints, query, table
 from .views import docs, library, lines_with, sql
 
 # Plain text: lines that end in "e." close a paragraph.
@@ -86,12 +87,15 @@ def cue_files(spark, d, make):
 CLK = lambda sep: f"lpad('' || (block_no//360), 2, '0') || ':' || lpad('' || ((block_no//6)%60), 2, '0') || ':' || lpad('' || (block_no%6*10), 2, '0') || '{sep}500'"
 
 
+def srt_files(spark, d):
+    return cue_files(spark, d, lambda c: F.array_join(F.transform(c, lambda x: F.concat(
+        x["cue"], F.lit("\n"), clock(x["i"], ","), F.lit(" --> "), clock(x["i"] + 1, ","), F.lit("\n"), x["text"], F.lit("\n"))), "\n"))
+
+
 @query("srt_cues", "SRC6", sql(f"""
     select doc_id, 'srt_' || (block_no+1) block_id, block_no+1 cue, {CLK(',')} "start", md5(trim(source_text)) source from blocks where trim(source_text) <> ''""", "blocks"))
 def srt_cues(spark, d):
-    f = cue_files(spark, d, lambda c: F.array_join(F.transform(c, lambda x: F.concat(
-        x["cue"], F.lit("\n"), clock(x["i"], ","), F.lit(" --> "), clock(x["i"] + 1, ","), F.lit("\n"), x["text"], F.lit("\n"))), "\n"))
-    return ints(S.srt_blocks(f).select("doc_id", "block_id", "cue", "start", F.md5("source_text").alias("source")))
+    return ints(S.srt_blocks(srt_files(spark, d)).select("doc_id", "block_id", "cue", "start", F.md5("source_text").alias("source")))
 
 
 @query("vtt_cues", "SRC7", sql(f"""
@@ -199,14 +203,17 @@ def xml_escaped(c):
       union all select doc_id, '/resources/string[' || (i//7*4 + i%7//2 + 1) || ']@label', 'Label ' || i from rows where i%7 in (0, 2, 4, 6) and i%2 = 0)
     where {OKTX}""", "blocks", rows="select doc_id, block_no i, trim(source_text) tx from blocks"))
 def xml_strings(spark, d):
+    return R.string_resources(xml_files(spark, d)).select("doc_id", "key_path", F.md5("source_text").alias("source"))
+
+
+def xml_files(spark, d):
     """Named and unnamed leaves, attributes, protection by the parent, skipped elements."""
     string = lambda l, i: F.concat(F.lit('<string name="str_'), i, F.lit('"'), F.when(i % 2 == 0, F.concat(F.lit(' label="Label '), i, F.lit('"')))
                                    .otherwise(""), F.lit(">"), xml_escaped(l), F.lit("</string>"))
     inside = lambda head, l, tail: F.concat(F.lit(head), xml_escaped(l), F.lit(tail))
     row = lambda l, i: (F.when(i % 7 == 1, inside("<item>", l, "</item>")).when(i % 7 == 5, inside("<code>", l, "</code>"))
                         .when(i % 7 == 3, inside('<group translatable="false"><entry title="kept">', l, "</entry></group>")).otherwise(string(l, i)))
-    f = docs(spark, d).select("doc_id", F.concat(F.lit("<?xml version='1.0'?><resources>"), lines_with(row), F.lit("</resources>")).alias("text"))
-    return R.string_resources(f).select("doc_id", "key_path", F.md5("source_text").alias("source"))
+    return docs(spark, d).select("doc_id", F.concat(F.lit("<?xml version='1.0'?><resources>"), lines_with(row), F.lit("</resources>")).alias("text"))
 
 
 @query("xliff_units", "SRC11", sql(f"""
@@ -316,3 +323,27 @@ def cached_reply_files(spark, d):
     path = new_path(spark, "replies")
     E.write_named(table(spark, d, "supplier").select(F.concat(key, F.lit(".json")).alias("name"), body.alias("content")), path)
     return R.reply_cache(spark, path)
+
+
+FORMATS = {"txt": ("text_paragraphs", txt_files, P.txt_blocks), "md": ("markdown_blocks", md_files, P.md_blocks),
+           "srt": ("srt_cues", srt_files, S.srt_blocks), "json": ("json_strings", json_files, R.json_blocks),
+           "xml": ("xml_strings", xml_files, R.string_resources)}
+SCANNED = " union all ".join(f"select doc_id, '{kind}' kind, source from ({QUERIES[name].sql}) where doc_id % 6 = {i}"
+                             for i, (kind, (name, _, _)) in enumerate(FORMATS.items()))
+
+
+@query("scanned_files", "SRC1 SRC2 SRC3 SRC4 SRC6 SRC9 SRC10", SCANNED + " union all select doc_id, 'unsupported', md5('') from documents where doc_id % 6 = 5")
+def scanned_files(spark, d):
+    """Documents written as files of several formats, found in the folder, checked and read by their readers."""
+    path = new_path(spark, "files")
+    k = F.col("doc_id") % 6
+    for i, (kind, (_, make, _)) in enumerate(FORMATS.items()):
+        E.write_named(make(spark, d).where(k == i).select(F.concat("doc_id", F.lit(f".{kind}")).alias("name"), F.col("text").alias("content")), path)
+    E.write_named(docs(spark, d).where(k == 5).select(F.concat("doc_id", F.lit(".bin")).alias("name"), F.col("text").alias("content")), path)
+    accepted, rejected = FS.scan(spark, path)
+    number = lambda c: F.regexp_extract(c, r"(\d+)\.[a-z]+$", 1).cast("bigint").alias("doc_id")
+    out = rejected.select(number("path"), F.col("verdict").alias("kind"), F.md5(F.lit("")).alias("source"))
+    for kind, (_, _, read) in FORMATS.items():
+        blocks = read(FS.documents(accepted, kind))
+        out = out.unionByName(blocks.select(number("doc_id"), F.lit(kind).alias("kind"), F.md5("source_text").alias("source")))
+    return out
