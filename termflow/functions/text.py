@@ -157,9 +157,9 @@ def term_in_text(term: Column, text: Column) -> Column:
         .otherwise(F.regexp_like(text, pattern)))
 
 
-def normalize_domain(raw: Column, synonyms: dict[str, list[str]] = K.DOMAIN_SYNONYMS) -> Column:
+def normalize_domain(raw: Column, synonyms: dict[str, str] = K.DOMAIN_SYNONYMS) -> Column:
     key = F.regexp_replace(F.lower(strip(raw)), "[ -]", "_")
-    pairs = [F.lit(x) for canon, words in synonyms.items() for w in words for x in (w, canon)]
+    pairs = [F.lit(x) for pair in synonyms.items() for x in pair]
     return F.when(key.isin(K.DOMAINS), key).otherwise(
         F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit("general")))
 

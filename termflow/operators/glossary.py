@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import maps as M
 from ..functions import text as T
 from ..skew import salted_join
@@ -74,21 +75,14 @@ def constraint_lines(terms: DataFrame, lang: Column, first_use: Column | None =
             .withColumn("line", F.concat(F.lit("- "), q(F.col("source")), F.lit(" -> "), rule, note)).where("line is not null"))
 
 
-HARD_HEADER = "Terminology constraints (must follow exactly):\n"
-FIRST_USE_HEADER = ("When a term is marked for first-use annotation in this segment, render its first occurrence as "
-                    "target term followed by the source term in parentheses.\n")
-DIRECT_HEADER = "Use the prescribed term directly.\n"
-SOFT_HEADER = ("Terminology preferences (apply for consistency; override only if context requires a different meaning):\n")
-
-
 def constraint_text(lines: DataFrame, keys: list[str], bilingual: bool = False) -> DataFrame:
     """One prompt section per key from constraint lines in glossary order."""
     body = lambda soft: F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("soft") == soft, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
     g = lines.groupBy(*keys).agg(body(False).alias("hard"), body(True).alias("soft"))
-    head = HARD_HEADER + (FIRST_USE_HEADER if bilingual else DIRECT_HEADER)
+    head = K.HARD_HEADER + (K.FIRST_USE_HEADER if bilingual else K.DIRECT_HEADER)
     part = lambda c, h: F.when(F.col(c) != "", F.concat(F.lit(h), F.col(c)))
-    return g.select(*keys, F.concat_ws("\n\n", part("hard", head), part("soft", SOFT_HEADER)).alias("constraints"))
+    return g.select(*keys, F.concat_ws("\n\n", part("hard", head), part("soft", K.SOFT_HEADER)).alias("constraints"))
 
 
 def summary(terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import glossary as G
 from ..operators import library as L
 from .registry import ints, query, table
@@ -36,8 +37,8 @@ LINES = f"""select *, case when confirmed and (strategy = 'keep_original' or (st
 
 @query("constraint_texts", "F16 F-TGT", sql(f"""
     select doc_id, md5(concat_ws(chr(10) || chr(10),
-      '{(G.HARD_HEADER + G.FIRST_USE_HEADER).strip().replace(chr(10), "' || chr(10) || '")}' || chr(10) || string_agg(l, chr(10) order by pos) filter (confirmed),
-      '{G.SOFT_HEADER.strip()}' || chr(10) || string_agg(l, chr(10) order by pos) filter (not confirmed))) constraints
+      '{(K.HARD_HEADER + K.FIRST_USE_HEADER).strip().replace(chr(10), "' || chr(10) || '")}' || chr(10) || string_agg(l, chr(10) order by pos) filter (confirmed),
+      '{K.SOFT_HEADER.strip()}' || chr(10) || string_agg(l, chr(10) order by pos) filter (not confirmed))) constraints
     from (select doc_id, pos, confirmed, '- "' || source || '" -> ' || rule || {CTX} l from lines where rule is not null) group by doc_id""",
     "doc_terms", lines=LINES))
 def constraint_texts(spark, d):

@@ -164,7 +164,7 @@ def word_counts(spark, d):
 
 RAW_DOMAIN = ("case c_custkey % 7 when 0 then c_mktsegment when 1 then 'Information-Technology' when 2 then ' Banking ' "
               "when 3 then 'chemical engineering' when 4 then 'AI' when 5 then '' else concat(lower(c_mktsegment), 'x') end")
-_SYN = ", ".join(f"('{w}','{c}')" for c, ws in K.DOMAIN_SYNONYMS.items() for w in ws)
+_SYN = ", ".join(f"('{w}','{c}')" for w, c in K.DOMAIN_SYNONYMS.items())
 _DOM = ", ".join(f"'{x}'" for x in K.DOMAINS)
 
 
