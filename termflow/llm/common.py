@@ -132,4 +132,4 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum("b")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(19,0)"))).first())

@@ -9,7 +9,7 @@ from check import TABLES, compare
 from types import SimpleNamespace
 
 import corpus_pipeline
-from termflow.llm import chat, common, html_extract, pivots, queries, simhash, url_filter
+from termflow.llm import chat, common, html_extract, pivots, queries, shingles, simhash, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,6 +80,51 @@ def test_chain_keys_lose_no_link(spark, monkeypatch):
                          if (prints[i] ^ prints[j]).bit_count() <= 2], range(len(prints)))
 
 
+def plain_jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_each_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for n in (4, 9, 40, 120, 400):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, 4, 8, n // 60, n // 40):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = word()
+                texts.append(" ".join(copy))
+    crowd = [word() for _ in range(200)]
+    texts += [" ".join([*crowd, word()]) for _ in range(60)] + ["Some Text", "some  text", "", " ", None]
+    rng.shuffle(texts)
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y"), (None, "stands alone", "x"), (None, texts[3], "x")]
+    want = named([(i, j) for i in range(len(texts)) for j in range(i)
+                  if plain_jaccard(texts[i] or "", texts[j] or "") >= 0.8], range(len(texts)))
+    heads = sorted(set(want.values()))
+    assert len(heads) < len(texts) - 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for block in (1000, 8):  # large groups are cut into blocks
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        got = shingles.one_of_each(docs).collect()
+        assert sorted(r.doc_id for r in got if r.doc_id is not None) == heads
+        assert [r.text for r in got if r.doc_id is None] == ["stands alone"]
+    assert shingles.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_alike_counts_rare_and_common_shingles(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)]
+    want = [(i, j) for i in range(50) for j in range(i + 1, 50)
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.4 * len(np.union1d(sets[i], sets[j]))]
+    for dense in (2, 16, 99):
+        monkeypatch.setattr(shingles, "DENSE", dense)
+        assert sorted(zip(*(x.tolist() for x in shingles.alike(sets, 0.4)))) == want
+
+
 def test_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 50)
     rng = np.random.default_rng(4)
