@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,20 +235,29 @@ def _numbered(tree: list) -> dict[int, int]:
     return out
 
 
-def votes(page: list, reference: list) -> list[tuple[int, bool]]:
-    """(number of the reference node, whether the page has the same text there)."""
+def votes(page: list, reference: list) -> list[tuple[int, int]]:
+    """(number of the reference node, digest of the text that the page has there)."""
     number = _numbered(reference)
-    return [(number[id(r)], p[1] == r[1]) for p, r in align(page, reference)]
+    return [(number[id(r)], p[1]) for p, r in align(page, reference)]
 
 
-def content(page: Node, reference: list | None, constant: set[int]) -> str:
-    """Blocks of main text of a page, given the reference of its host and its template nodes."""
+def article_digest(page: Node, tree: str) -> int:
+    """What tells articles from copies in other surroundings: the text of article or main, or else all but
+    what stands around; the tree where that is empty."""
+    text = content(page, None, {})
+    digest = xxhash.xxh64_intdigest((text or tree).encode("utf-8", "replace"), 0 if text else 1)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def content(page: Node, reference: list | None, constant: dict[int, int]) -> str:
+    """Blocks of main text of a page, given the reference of its host and the text digests of its template
+    nodes. Only a node that has the text of the template is dropped."""
     slots = fold([page])
     tree = skeleton(slots)
     template: set[int] = set()
     if reference is not None:
         number = _numbered(reference)
-        fixed = {id(p) for p, r in align(tree, reference) if number[id(r)] in constant}
+        fixed = {id(p) for p, r in align(tree, reference) if constant.get(number[id(r)]) == p[1]}
         stack = [(slots, tree)]
         while stack:
             slot, node = stack.pop()
@@ -313,9 +323,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     1. Every page is parsed and folded to a skeleton of labels and text digests, which is stored.
     2. The reference of a host is a page of its most frequent shape. Different pages are aligned with it;
-       a node whose text is the reference's on more than `constant` of the aligned pages, and on PAGES at
-       least, is template. Copies of a page count once, so what is copied does not become template.
-    3. Pages are aligned again, template and what stands around the article are dropped, and the rest
+       a node that has one text on more than `constant` of the aligned pages, and on PAGES at
+       least, is template. Copies of an article count once, whatever surrounds them, so what is copied does
+       not become template.
+    3. Pages are aligned again, what has the text of the template and what stands around the article are dropped, and the rest
        is cut into blocks.
     Votes of a hot host are summed before they are moved. A null or empty html gives an empty text, a
     null url the host "", a host with one page no template. Repeated rows stay; other columns are not
@@ -327,12 +338,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def skeletons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"host": frame["host"], "tree": [
-                json.dumps(skeleton(fold([parse(h or "")]))) for h in frame["html"]]})
+            parsed = [parse(h or "") for h in frame["html"]]
+            trees = [json.dumps(skeleton(fold([p]))) for p in parsed]
+            yield pd.DataFrame({"host": frame["host"], "tree": trees,
+                                "article": [article_digest(p, t) for p, t in zip(parsed, trees, strict=True)]})
 
     id_type = narrow.schema["page_id"].dataType.simpleString()
-    trees = written(narrow.select("host", "html").mapInPandas(skeletons, "host string, tree string"), "page-trees")
-    trees = written(trees.distinct(), "different-trees")
+    trees = written(narrow.select("host", "html").mapInPandas(skeletons, "host string, tree string, article long"), "page-trees")
+    trees = written(trees.groupBy("host", "article").agg(F.min_by("tree", F.struct(F.xxhash64("tree"), "tree")).alias("tree")),
+                    "different-trees")
     shape = F.regexp_replace("tree", ", [0-9]+, ", ",")
     shapes = trees.groupBy("host", F.xxhash64(shape).alias("shape")).agg(
         F.count("*").alias("n"), F.min_by("tree", F.struct(F.xxhash64("tree"), "tree")).alias("tree"))
@@ -341,21 +355,23 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(h, n, int(same)) for h, t, r in zip(frame["host"], frame["tree"], frame["reference"], strict=True)
-                    for n, same in votes(json.loads(t), json.loads(r))]
-            yield pd.DataFrame(rows, columns=["host", "node", "same"])
+            rows = [(h, n, d) for h, t, r in zip(frame["host"], frame["tree"], frame["reference"], strict=True)
+                    for n, d in votes(json.loads(t), json.loads(r))]
+            yield pd.DataFrame(rows, columns=["host", "node", "digest"])
 
     counted = (trees.select("host", "tree").join(references.where("pages > 1").select("host", "reference"), "host")
-               .mapInPandas(vote, "host string, node int, same int")
-               .groupBy("host", "node").agg(F.sum("same").alias("same"), F.count("*").alias("n")))
+               .mapInPandas(vote, "host string, node int, digest long")
+               .groupBy("host", "node", "digest").agg(F.count("*").alias("same"))
+               .groupBy("host", "node").agg(F.max(F.struct("same", "digest")).alias("top"), F.sum("same").alias("n"))
+               .select("host", "node", "top.same", "top.digest", "n"))
     fixed = (counted.where((F.col("same") >= PAGES) & (F.col("same") > F.col("n") * constant))
-             .groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("fixed")))
+             .groupBy("host").agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("fixed")))
     wrappers = written(references.where("pages > 1").join(fixed, "host", "left").select("host", "reference", "fixed"),
                        "page-wrappers")
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [content(parse(h or ""), json.loads(r) if r else None, set(f) if f is not None else set())
+            out = [content(parse(h or ""), json.loads(r) if r else None, {x["node"]: x["digest"] for x in f} if f is not None else {})
                    for h, r, f in zip(frame["html"], frame["reference"], frame["fixed"], strict=True)]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": out})
 

@@ -21,10 +21,10 @@ from ..skew import lag_by_chunk, running_sum_by_chunk
 
 
 def source(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 100) -> DataFrame:
-    """A table folder as a stream; files are taken as they appear."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir))
+    """A table as a stream, one file or a folder of part files; files are taken as they appear."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _written(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, work=lambda df: df,

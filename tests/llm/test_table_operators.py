@@ -176,6 +176,22 @@ def test_wrapper_induction(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_copied_articles_are_no_template(spark):
+    page = ("<div class='a'>Line of the site</div><nav>n{i}</nav><div class='b'>Chrome {i}</div><article><h1>{t}</h1><p>{t} first</p>"
+            "<div>{t} second</div></article>")
+    titles = ["Copied", "Copied", "Copied", "One", "Two"]
+    rows = [(i, "http://h.example/", page.format(i=i, t=t)) for i, t in enumerate(titles)]
+    # most pages agree in one place; the others keep their own text there
+    line = "<div class='x'>{}</div><p>Body {}</p>"
+    rows += [(10 + i, "http://k.example/", line.format("Same line" if i < 4 else f"Own line {i}", i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, t in enumerate(titles):
+        assert got[i] == f"{t}\n{t} first\n{t} second"
+    for i in range(6):
+        assert got[10 + i] == (f"Body {i}" if i < 4 else f"Own line {i}\nBody {i}")
+
+
 def test_simple_tree_matching_is_largest():
     leaf = lambda name, d=0: [name, d, []]
     a = ["r", 0, [leaf("p"), ["d", 0, [leaf("x"), leaf("y")]], leaf("q"), leaf("p")]]
