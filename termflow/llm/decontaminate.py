@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet where they share a seed, a run of `least` words. For each such pair
+Documents and benchmark items meet where they share a seed, a run of `least` words (of all words of a shorter item). For each such pair
 the longest common runs of words are marked as tiles, longest first and without overlap, found by
 running Karp-Rabin hashes; the share of the item's words under tiles is its coverage. Reordered
 passages keep their coverage, because tiles may stand in any order.
@@ -8,6 +8,7 @@ passages keep their coverage, because tiles may stand in any order.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ COVERAGE = 0.5
 FIRST_LENGTH = 20
 #: Bytes of benchmark text that are held by a task at once; more are worked off block by block.
 BLOCK_BYTES = 16 << 20
+#: Characters of scripts that are written without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                      "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _BASE = 0xD6E8FEB86659FD93
 _ROLL = np.uint64(_BASE)
 
@@ -114,37 +118,34 @@ def _coverage(item: np.ndarray, doc: np.ndarray, shared: np.ndarray, least: int)
     return sum(m[0] for m in found), len(found), max((m[0] for m in found), default=0)
 
 
+def spaced(text: str | None) -> str | None:
+    """The text with every character of scripts without blanks as a word."""
+    return text if not text or text.isascii() else UNSPACED.sub(r" \g<0> ", text)
+
+
 def item_tokens(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     parts = defaultdict(list)
-    for w in words(t for _, t in items):
+    for w in words(spaced(t) for _, t in items):
         for n in np.unique(w.text):
             parts[int(n)].append(w.hash[w.text == n] | np.uint64(1))
     return [(items[n][0], np.concatenate(p)) for n, p in sorted(parts.items())]
 
 
-class Benchmark:
-    """Items of one block with an index from seeds to items."""
+class Seeds:
+    """Index from the runs of `least` words to the items that hold them."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.items = [(i, t) for i, t in item_tokens(items) if len(t) >= least]
-        seeds = [rolling(t, least) for _, t in self.items]
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: int):
+        self.items, self.least = items, least
+        seeds = [rolling(t, least) for _, t in items]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        every = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
+        every = np.concatenate(seeds)
         order = np.argsort(every, kind="stable")
         self.seeds, self.owner = every[order], owner[order]
-        self.least = least
         self.first = np.zeros(1 << 20, bool)  # a quick no for most runs
         self.first[(every >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(number of the text, item_id, words of the item, covered words, tiles, longest tile)."""
-        if not len(self.seeds):
-            return
-        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for w in words(texts):
-            hashes.append(w.hash | np.uint64(1))
-            owners.append(w.text)
-        token, text = np.concatenate(hashes), np.concatenate(owners)
+    def search(self, token: np.ndarray, text: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """As Benchmark.search, for the words of n texts and the number of the text of each."""
         runs = rolling(token, self.least)
         hit = np.flatnonzero(self.first[(runs >> np.uint64(44)).astype(np.int64)])
         hit = hit[text[hit] == text[hit + self.least - 1]]
@@ -153,7 +154,7 @@ class Benchmark:
         hit, left, count = hit[count > 0], left[count > 0], count[count > 0]
         if not len(hit):
             return
-        borders = np.searchsorted(text, np.arange(len(texts) + 1))
+        borders = np.searchsorted(text, np.arange(n + 1))
         where = np.repeat(hit, count)
         item = self.owner[np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         pair = text[where] * len(self.items) + item
@@ -169,14 +170,37 @@ class Benchmark:
             yield (number, item_id, len(tokens), *_coverage(tokens, token[lo:hi], shared, self.least))
 
 
+class Benchmark:
+    """Items of one block with an index from seeds to items. An item of fewer than `least` words is its own seed."""
+
+    def __init__(self, items: list[tuple[int, str]], least: int):
+        by_length = defaultdict(list)
+        for item in item_tokens(items):
+            by_length[min(least, len(item[1]))].append(item)
+        self.seeds = [Seeds(part, length) for length, part in sorted(by_length.items())]
+
+    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(number of the text, item_id, words of the item, covered words, tiles, longest tile)."""
+        if not self.seeds:
+            return
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for w in words(map(spaced, texts)):
+            hashes.append(w.hash | np.uint64(1))
+            owners.append(w.text)
+        token, text = np.concatenate(hashes), np.concatenate(owners)
+        for seeds in self.seeds:
+            yield from seeds.search(token, text, len(texts))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", least: int = LEAST,
                  coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, tiles, longest_tile, coverage) of every document row
     and benchmark item whose coverage reaches the threshold.
 
-    Words are runs of letters and digits in lower case. Null or empty texts, documents without a shared
-    seed, and items of fewer than `least` words give no row; repeated rows of either table give repeated
+    Words are runs of letters and digits in lower case, and the single characters of scripts written without
+    blanks. An item of fewer than `least` words is found where all of it stands in one run. Null or empty
+    texts, documents without a shared seed and items without a word give no row; repeated rows of either table give repeated
     or equal rows; an empty table gives an empty result. Other columns are not read.
     The documents are not moved. The benchmark is read in blocks of about BLOCK_BYTES, chosen by a hash
     of the item, so what a task holds of it is bounded however large it is.

@@ -135,6 +135,15 @@ def test_contaminated_planted_cases(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contaminated_short_items_and_scripts_without_blanks(spark):
+    docs = frame(spark, [(1, "前の文です。東京は日本の首都であり、人口が多い。後の文"), (2, "Who wrote Faust, they asked"), (3, "who wrote"),
+                         (4, "นี่กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทยนะ"), (5, "别的话首都北京是一座很大的城市别的话"), (6, "wrote who Faust")])
+    bench = spark.createDataFrame([(1, "東京は日本の首都であり、人口が多い"), (2, "who wrote faust?"), (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"),
+                                   (4, "首都北京是一座很大的城市"), (5, "...")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (4, 3, 1.0), (5, 4, 1.0)]
+
+
 def test_contaminated_in_blocks(spark, monkeypatch):
     whole = sorted(tuple(r) for r in queries.decontamination(spark, SF).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
