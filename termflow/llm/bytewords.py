@@ -63,32 +63,33 @@ def cleaned(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def words(texts: Iterable[str | None], digits: bool = True) -> Iterator[Words]:
-    """Slices of about SLICE bytes with the words of all texts in order. A longer text goes on in the
-    next slices, cut at a blank; only a word of over SLICE bytes is cut inside."""
+def words(texts: Iterable[str | None], digits: bool = True, size: int | None = None) -> Iterator[Words]:
+    """Slices of about `size` (SLICE) bytes with the words of all texts in order. A longer text goes on in the
+    next slices, cut at a blank; only a word of over `size` bytes is cut inside."""
+    limit = size or SLICE
     held: list[bytes] = []
     numbers: list[int] = []
-    size = 0
+    held_size = 0
     for number, text in enumerate(texts):
         data = cleaned(text) if text else b""
         at = 0
         while at < len(data):
-            if size + len(data) - at <= SLICE:
+            if held_size + len(data) - at <= limit:
                 part, at = data[at:], len(data)
-            elif size > SLICE // 2:
+            elif held_size > limit // 2:
                 yield _slice(held, numbers, digits)
-                held, numbers, size = [], [], 0
+                held, numbers, held_size = [], [], 0
                 continue
             else:
-                cut = max(data.rfind(b" ", at, at + SLICE - size), data.rfind(b"\n", at, at + SLICE - size))
-                cut = cut if cut > at else at + SLICE - size
+                cut = max(data.rfind(b" ", at, at + limit - held_size), data.rfind(b"\n", at, at + limit - held_size))
+                cut = cut if cut > at else at + limit - held_size
                 part, at = data[at:cut], cut
             held.append(part)
             numbers.append(number)
-            size += len(part) + 1
-            if size >= SLICE - 1:
+            held_size += len(part) + 1
+            if held_size >= limit - 1:
                 yield _slice(held, numbers, digits)
-                held, numbers, size = [], [], 0
+                held, numbers, held_size = [], [], 0
     if held:
         yield _slice(held, numbers, digits)
 

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import Words, words
+from .bytewords import SLICE, Words, words
 
 ORDERS = (2, 3, 4)
 BITS = 17
@@ -24,8 +24,8 @@ BITS = 17
 #: spans spread evenly over the whole text.
 SAMPLE_ROWS = 400
 SPANS, SPAN_WORDS = 16, 16
-#: Languages learned at most: the most frequent values of the sample.
-LANGUAGES = 64
+#: Languages up to which messages are passed by step matrices, and up to which each is sampled by a limit of its own.
+FEW, APART = 8, 64
 UNKNOWN = "und"
 #: Words of one chain; a longer text is labelled as several chains.
 CHAIN = 1 << 16
@@ -94,6 +94,8 @@ def marginals(scores: np.ndarray, chain: np.ndarray, crf: Crf) -> np.ndarray:
     k = scores.shape[1]
     if not len(scores):
         return np.zeros((0, k))
+    if k > FEW:  # a matrix for every word would not fit
+        return by_word(scores, chain, crf)
     begins = np.flatnonzero(np.diff(chain, prepend=-1))
     length = np.diff(np.append(begins, len(chain)))
     steps = -(-length // STEP)
@@ -138,6 +140,22 @@ def marginals(scores: np.ndarray, chain: np.ndarray, crf: Crf) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def by_word(scores: np.ndarray, chain: np.ndarray, crf: Crf) -> np.ndarray:
+    """The same probabilities word by word; memory grows with the languages, not with their square."""
+    move = np.exp(crf.transition - crf.transition.max())
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
+    out, behind = _filtered(emit, chain, crf, move), np.ones_like(emit)
+    begins = np.flatnonzero(np.diff(chain, prepend=-1))
+    length = np.diff(np.append(begins, len(chain)))
+    begins, length = begins[np.argsort(-length)], -np.sort(-length)
+    for t in range(length[0] - 2, -1, -1):
+        at = begins[:np.searchsorted(-length, -t - 1, "left")] + t
+        behind[at] = (behind[at + 1] * emit[at + 1]) @ move.T
+        behind[at] /= behind[at].sum(axis=1, keepdims=True)
+    out *= behind
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def _spans(text: str) -> list[str]:
     """Up to SPANS runs of SPAN_WORDS words, spread evenly over the text."""
     every = text.split()
@@ -150,16 +168,19 @@ def _spans(text: str) -> list[str]:
 def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int = 3, seed: int = 5) -> Crf:
     """Fit on at most `rows` documents of each lang among the rows for which `usable` holds.
 
-    Spans of the sample are strung together in random order, so chains switch languages as texts do;
+    Every language is learned; the driver holds 2 MB of weights and gradients for each. Spans of the sample are strung together in random order, so chains switch languages as texts do;
     weights, start and transitions follow the gradient of the conditional likelihood.
     """
     known = docs.where(usable).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = known.select("lang", F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id").distinct()
-    top = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    top = sorted(r.lang for r in ids.select("lang").distinct().collect())
     if not top:
         return Crf([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros((0, 0)))
     picks = None
-    for lang in top:
+    if len(top) > APART:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+        picks = ids.withColumn("_n", place).where(F.col("_n") <= rows).drop("_n")
+    for lang in top if picks is None else ():
         one = ids.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(rows)
         picks = one if picks is None else picks.union(one)
 
@@ -169,7 +190,7 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int =
 
     sample = (known.join(F.broadcast(picks.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
               .select("lang", "doc_id", spans("text").alias("spans")).orderBy("doc_id", "lang").toPandas())
-    languages = sorted(top)
+    languages = top
     label = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
     texts = [(s, label[lang]) for lang, ss in zip(sample["lang"], sample["spans"], strict=True) for s in ss]
@@ -220,8 +241,7 @@ def _moves(scores, chain, crf: Crf, p: np.ndarray, at: np.ndarray) -> np.ndarray
     forward = _filtered(emit, chain, crf, move)
     predicted = forward @ move
     # p(j) / predicted(j) carries emission and backward message of the later word
-    pair = forward[at][:, :, None] * move[None] * (p[at + 1] / np.maximum(predicted[at], 1e-300))[:, None, :]
-    return pair.sum(axis=0)
+    return move * (forward[at].T @ (p[at + 1] / np.maximum(predicted[at], 1e-300)))
 
 
 def _filtered(emit, chain, crf: Crf, move) -> np.ndarray:
@@ -243,7 +263,7 @@ def label_texts(texts: list[str | None], crf: Crf) -> tuple[list[str], np.ndarra
     k = len(crf.languages)
     total, count = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
     if k:
-        for w in words(texts, digits=False):
+        for w in words(texts, digits=False, size=max(1 << 14, SLICE * FEW // max(FEW, k))):
             if not len(w.start):
                 continue
             place = np.arange(len(w.text)) - np.searchsorted(w.text, w.text, "left")

@@ -178,6 +178,28 @@ def test_marginals_match_enumeration():
     assert np.allclose(two[40:], langid.marginals(scores[:5], np.zeros(5, int), crf))
 
 
+def test_marginals_of_many_languages_word_by_word():
+    rng = np.random.default_rng(8)
+    crf = langid.Crf(list("abc"), np.zeros((1, 3)), rng.normal(size=3), rng.normal(size=(3, 3)))
+    scores, chain = rng.normal(size=(200, 3)), np.repeat([0, 1, 5, 6], [70, 1, 33, 96])
+    assert np.allclose(langid.by_word(scores, chain, crf), langid.marginals(scores, chain, crf))
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    rows, doc = [], 0
+    for lang in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        for _ in range(9):
+            rows.append((doc, " ".join(rng.choice(own) for _ in range(40)), f"l{lang}"))
+            doc += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid.fit(docs, ~held_out(F.col("doc_id")), rows=5)
+    assert len(crf.languages) == 70
+    got = docs.where(held_out(F.col("doc_id"))).select("lang", langid.predict(F.col("text"), crf, spark).alias("p")).collect()
+    assert sum(r.lang == r.p.lang_pred for r in got) >= 0.97 * len(got)
+
+
 def test_language_held_out_and_edges(spark):
     got = queries.languages(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
