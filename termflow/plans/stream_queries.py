@@ -73,7 +73,7 @@ def cue_sessions(spark, d):
     select strftime(ts, '%Y-%m-%d') as day, case when status='error' then 'error' when status='done' then 'completed' else 'active' end category, count(*) n from progress
     group by all""", "progress"))
 def live_daily_status(spark, d):
-    return S.daily_status(runs(events(spark, d)), "1 day")
+    return S.daily_status(runs(events(spark, d)), None)
 
 
 @query("live_intake", "S5 SRC3", """
@@ -87,4 +87,4 @@ def live_intake(spark, d):
 @query("live_unique_requests", "S6", "select distinct user_id || event_type request_key from events")
 def live_unique_requests(spark, d):
     e = events(spark, d).select("ts", F.concat("user_id", "event_type").alias("request_key"))
-    return S.unique_requests(e, "1 hour")
+    return S.unique_requests(e, None)

@@ -114,10 +114,11 @@ def batch_cue_sessions(cues: DataFrame, gap_seconds: float, chunk: Column) -> Da
     return n.groupBy("key", "session_no").agg(F.min("start_at").alias("session_start"), F.count("*").alias("n_cues"))
 
 
-def daily_status(events: DataFrame, late: str, folder: str | None = None) -> DataFrame:
-    """Events per day and status category, days that are still open included."""
+def daily_status(events: DataFrame, late: str | None, folder: str | None = None) -> DataFrame:
+    """Events per day and status category, days that are still open included. Without `late` every event
+    counts, however late, and all days stay in the state."""
     from ..functions import labels as L
-    c = (events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), L.status_category(F.col("status")).alias("category"))
+    c = ((events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", "1 day").alias("w"), L.status_category(F.col("status")).alias("category"))
          .agg(F.count("*").alias("n")))
     rows = _written(c.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "category", "n"), "daily-status", "update", folder)
     return _last(rows, ["day", "category"])
@@ -134,6 +135,7 @@ def intake(files: DataFrame, to_blocks, folder: str | None = None) -> DataFrame:
     return rows.join(last, ["doc_id", "batch"]).drop("batch")
 
 
-def unique_requests(events: DataFrame, late: str) -> DataFrame:
-    """One row per request key while its watermark window is open."""
-    return _written(events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_key"]).select("request_key"), "requests").drop("batch")
+def unique_requests(events: DataFrame, late: str | None) -> DataFrame:
+    """One row per request key; with `late`, only while its watermark window is open."""
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_key"]) if late else events.dropDuplicates(["request_key"])
+    return _written(once.select("request_key"), "requests").drop("batch")

@@ -247,6 +247,16 @@ def test_streams_over_batches_and_restarts(spark, tmp_path):
     assert sum(r.n for r in P.daily_status(stream(), "1 hour", f"{state}/days").collect()) == 120
 
 
+def test_streams_read_folders_of_parts_out_of_order(spark, tmp_path):
+    from datetime import datetime, timedelta
+    rows = [(datetime(2024, 1, 1) + timedelta(days=5 * (i % 3)), f"k{i % 7}", "done") for i in range(60)]
+    for part in (rows[40:], rows[20:40], rows[:20], sorted(rows, reverse=True)[:5], sorted(rows)[:5]):
+        spark.createDataFrame(part, "ts timestamp, request_key string, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = lambda: P.source(spark, str(tmp_path), "events", 1)
+    assert sum(r.n for r in P.daily_status(stream(), None).collect()) == 70
+    assert sorted(r.request_key for r in P.unique_requests(stream(), None).collect()) == [f"k{i}" for i in range(7)]
+
+
 def test_empty_streams(spark, tmp_path):
     schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
