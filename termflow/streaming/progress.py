@@ -24,7 +24,7 @@ def source(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int =
     """A table as a stream, one file or a folder of part files; files are taken as they appear."""
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _written(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, work=lambda df: df,
