@@ -45,7 +45,7 @@ def compare(spark, con, q, sf_dir):
     duck_s = time.time() - t
     if sorted(names) != sorted(df.columns):
         return f"COLUMNS {sorted(df.columns)} vs {sorted(names)}", False
-    pair = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    pair = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER"}
     odd = [(c, kinds[c], types[c]) for c in names if pair.get(kinds[c]) != types[c]]
     a, b = rows(df.columns, got), rows(names, want)
     if a != b:
