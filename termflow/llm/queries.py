@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, chat, decontaminate, html_extract, langid, pivots, simhash, token_store, toxicity, url_filter)
+from . import (byte_bpe, chat, decontaminate, html_extract, langid, mining_queries, pivots, simhash, token_store, toxicity,
+               url_filter)
 from .common import held_out, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -136,6 +137,7 @@ QUERIES = {
     "op8_blocked_bloom_urls": urls,
     "op9_pigeonring_simhash": near_documents,
     "op10_arrow_token_store": stored_tokens,
+    **mining_queries.QUERIES,
 }
 
-ORACLES = {"op3_preference_formatting": PREFERENCES_SQL, "op8_blocked_bloom_urls": URLS_SQL}
+ORACLES = {"op3_preference_formatting": PREFERENCES_SQL, "op8_blocked_bloom_urls": URLS_SQL, **mining_queries.ORACLES}
