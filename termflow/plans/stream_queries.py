@@ -46,14 +46,15 @@ SESS = """select user_id, ts, event_id, case when ts > max(e) over w or max(e) o
 
 
 @query("live_cue_sessions", "S3", sql("""
-    select key, strftime(s, '%Y-%m-%d %H:%M:%S') session_start, n_cues from (
+    select key, strftime(s, '%Y-%m-%d %H:%M:%S') session_start, strftime(e, '%Y-%m-%d %H:%M:%S') session_end, n_cues from (
       select user_id key, min(ts) s, count(*) n_cues, max(ts + (value + 3600) * interval 1 second) e from (
-        select x.*, y.value, sum(nw) over (partition by x.user_id order by x.ts, x.event_id) k from sess x join events y using (event_id)) group by user_id, k)
-    where e <= (select max(ts) from events) - interval 1 day""", sess=SESS))
+        select x.*, y.value, sum(nw) over (partition by x.user_id order by x.ts, x.event_id) k from sess x join events y using (event_id)) group by user_id, k)""",
+    sess=SESS))
 def live_cue_sessions(spark, d):
     c = events(spark, d).select(F.col("user_id").alias("key"), F.col("ts").alias("start_at"), F.col("value").alias("seconds"))
-    s = S.cue_sessions(c, 3600, "1 day")
-    return s.select("key", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_cues")
+    s = S.cue_sessions(c, 3600)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return s.select("key", text("session_start"), text("session_end"), "n_cues")
 
 
 LAGS = """select user_id, ts, event_id, case when lag(ts + value * interval 1 second) over w is null or ts > lag(ts + value * interval 1 second) over w + interval 1 hour then 1 else 0 end nw
@@ -73,7 +74,7 @@ def cue_sessions(spark, d):
     select strftime(ts, '%Y-%m-%d') as day, case when status='error' then 'error' when status='done' then 'completed' else 'active' end category, count(*) n from progress
     group by all""", "progress"))
 def live_daily_status(spark, d):
-    return S.daily_status(runs(events(spark, d)), None)
+    return S.daily_status(runs(events(spark, d)))
 
 
 @query("live_intake", "S5 SRC3", """
@@ -86,5 +87,5 @@ def live_intake(spark, d):
 
 @query("live_unique_requests", "S6", "select distinct user_id || event_type request_key from events")
 def live_unique_requests(spark, d):
-    e = events(spark, d).select("ts", F.concat("user_id", "event_type").alias("request_key"))
-    return S.unique_requests(e, None)
+    e = events(spark, d).select(F.concat("user_id", "event_type").alias("request_key"))
+    return S.unique_requests(e)

@@ -1,6 +1,8 @@
 """Cases the tables lack, and order-dependent rules against brute force."""
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from termflow.functions import maps as M
@@ -15,9 +17,19 @@ from termflow.skew import global_rank, lag_by_chunk, running_sum_by_chunk
 from termflow.sources import html as H
 from termflow.sources import plain as PL
 from termflow.sources import resources as R
+from termflow import tables as TB
 from termflow.streaming import progress as P
 
 
+@pytest.fixture
+def few_partitions(spark):
+    """Streams keep a state for every shuffle partition; small ones need few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def one(spark, expr):
     return spark.range(1).select(expr).first()[0]
 
@@ -226,7 +238,7 @@ def test_global_rank(spark):
     assert all(want[(r.k, r.i)] == r.rank for r in got) and len(got) == 1000
 
 
-def test_streams_over_batches_and_restarts(spark, tmp_path):
+def test_streams_over_batches_and_restarts(spark, few_partitions, tmp_path):
     from datetime import datetime, timedelta
     rows = [(i % 5, i % 3, datetime(2024, 1, 1) + timedelta(minutes=i), i, ["translating", "reviewing", "done"][i // 40], i % 40) for i in range(120)]
     folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
@@ -237,42 +249,162 @@ def test_streams_over_batches_and_restarts(spark, tmp_path):
         write(rows[a:a + 30])
     P.latest_runs(stream(), f"{state}/latest")
     P.live_timing(stream(), F.lit(40), f"{state}/timing")
-    P.daily_status(stream(), "1 hour", f"{state}/days")
+    P.live_rollup(stream().withColumn("segments_total", F.lit(40)), f"{state}/rollup")
+    P.daily_status(stream(), f"{state}/days")
     write(rows[90:])  # the second run goes on from the folders of the first
     got = {r.run_id: r.event_id for r in P.latest_runs(stream(), f"{state}/latest").collect()}
     assert got == {k: max(r[3] for r in rows if r[0] == k) for k in range(5)}
     timing = P.live_timing(stream(), F.lit(40), f"{state}/timing")
     batch = J.stage_timing(spark.createDataFrame(rows, schema), F.lit(40), F.date_trunc("day", F.col("ts")))
     assert sorted(map(str, timing.collect())) == sorted(map(str, batch.select(timing.columns).collect()))
-    assert sum(r.n for r in P.daily_status(stream(), "1 hour", f"{state}/days").collect()) == 120
+    assert sum(r.n for r in P.daily_status(stream(), f"{state}/days").collect()) == 120
+    rollup = P.live_rollup(stream().withColumn("segments_total", F.lit(40)), f"{state}/rollup")
+    newest = {r[0]: r for r in rows}
+    runs = spark.createDataFrame(list(newest.values()), schema).selectExpr("*", "40 segments_total", "'x' target_lang")
+    batch = J.rollup_runs(runs, ["run_id"]).select(rollup.columns)
+    assert sorted(map(tuple, rollup.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_streams_read_folders_of_parts_out_of_order(spark, tmp_path):
+def test_streams_read_folders_of_parts_out_of_order(spark, few_partitions, tmp_path):
     from datetime import datetime, timedelta
     rows = [(datetime(2024, 1, 1) + timedelta(days=5 * (i % 3)), f"k{i % 7}", "done") for i in range(60)]
     for part in (rows[40:], rows[20:40], rows[:20], sorted(rows, reverse=True)[:5], sorted(rows)[:5]):
         spark.createDataFrame(part, "ts timestamp, request_key string, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(rows, "ts timestamp, request_key string, status string").coalesce(1).write.parquet(f"{tmp_path}/x")
+    one = next(tmp_path.glob("x/part-*")).rename(tmp_path / "single.parquet")
+    assert one.is_file()
     stream = lambda: P.source(spark, str(tmp_path), "events", 1)
-    assert sum(r.n for r in P.daily_status(stream(), None).collect()) == 70
-    assert sorted(r.request_key for r in P.unique_requests(stream(), None).collect()) == [f"k{i}" for i in range(7)]
+    assert sum(r.n for r in P.daily_status(stream()).collect()) == 70
+    assert sum(r.n for r in P.daily_status(P.source(spark, str(tmp_path), "single")).collect()) == 60
+    folder = f"{tmp_path}/keys"
+    for _ in range(2):
+        assert sorted(r.request_key for r in P.unique_requests(stream(), folder=folder).collect()) == [f"k{i}" for i in range(7)]
+    spark.createDataFrame([(rows[0][0], "k3", "done"), (rows[0][0], "k9", "done"), (rows[0][0], None, "done")],
+                          "ts timestamp, request_key string, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    # A front that remembers next to nothing: the table of keys alone keeps them unique.
+    got = [r.request_key for r in P.unique_requests(stream(), "1 millisecond", folder).collect()]
+    assert sorted(map(str, got)) == sorted([*(f"k{i}" for i in range(7)), "k9", "None"])
+
+
+def plain_sessions(cues, gap):
+    out = []
+    for start, length in sorted(cues):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], start + length + gap), out[-1][2] + 1)
+        else:
+            out.append((start, start + length + gap, 1))
+    return out
+
+
+@pytest.mark.parametrize("idle_ms", [P.DAY_MS, 1])
+def test_cue_sessions_in_any_order(spark, few_partitions, tmp_path, idle_ms):
+    from datetime import datetime, timezone
+    rng = random.Random(idle_ms)
+    at = lambda s: datetime.fromtimestamp(s, timezone.utc).replace(tzinfo=None)
+    cues = [(k, rng.randrange(2000), rng.choice([0, 1, 5, 60])) for k in range(6) for _ in range(80)]
+    cues += [(7, 100, 5), (7, 110, 1), (7, 117, 1)]  # a pause of exactly the gap, and one second more
+    schema = "key long, start_at timestamp, seconds double"
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    write = lambda part: spark.createDataFrame([(k, at(s), float(n)) for k, s, n in part], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rng.shuffle(cues)
+    write(cues[:200])
+    write(cues[200:330])
+    P.cue_sessions(stream(), 5, idle_ms, state)
+    write(cues[330:])
+    got = {}
+    for r in P.cue_sessions(stream(), 5, idle_ms, state).collect():
+        got.setdefault(r.key, []).append((r.session_start, r.session_end, r.n_cues))
+    want = {k: [(at(s), at(e), n) for s, e, n in plain_sessions([c[1:] for c in cues if c[0] == k], 5)] for k in {c[0] for c in cues}}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert len(want[7]) == 2 or len(want[7]) == 1
+
+
+def test_timing_of_files_out_of_order(spark, few_partitions, tmp_path):
+    from datetime import datetime, timedelta
+    rng = random.Random(2)
+    statuses = ["queued", "translating", "translating", "reviewing", "done", "error"]
+    rows = [(i % 4, i % 2, datetime(2024, 1, 1) + timedelta(minutes=i // 2), i, rng.choice(statuses), rng.randrange(40)) for i in range(160)]
+    schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long"
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    write = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    write(rows[110:])
+    write(rows[::2][:55])
+    P.live_timing(stream(), F.lit(40), f"{state}/t")
+    P.live_rollup(stream().withColumn("segments_total", F.lit(40)), f"{state}/r")
+    write(rows[1:110:2])
+    timing = P.live_timing(stream(), F.lit(40), f"{state}/t")
+    batch = J.stage_timing(spark.createDataFrame(rows, schema), F.lit(40), F.date_trunc("day", F.col("ts")))
+    assert sorted(map(str, timing.collect())) == sorted(map(str, batch.select(timing.columns).collect()))
+    got = {r.job_id: r.n_runs for r in P.live_rollup(stream().withColumn("segments_total", F.lit(40)), f"{state}/r").collect()}
+    assert got == {0: 2, 1: 2}
+
+
+def test_finished_runs_leave_the_state(spark, few_partitions, tmp_path):
+    from datetime import datetime, timedelta
+    schema = "run_id long, ts timestamp, event_id long, status string, segments_done long"
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    write = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    write([(1, at(0), 0, "translating", 1), (1, at(5), 1, "done", 9), (2, at(0), 2, "translating", 1)])
+    P.live_timing(stream(), F.lit(9), state, idle_ms=1)
+    write([(3, at(0), 3, "queued", 0)])  # a batch in which the timers of the others fire
+    P.live_timing(stream(), F.lit(9), state, idle_ms=1)
+    write([(1, at(9), 4, "done", 9), (2, at(6), 5, "translating", 3)])
+    got = {r.event_id: r.elapsed for r in P.live_timing(stream(), F.lit(9), state, idle_ms=1).collect()}
+    assert got == {0: 0.0, 1: 300.0, 2: 0.0, 3: 0.0, 4: None, 5: 360.0}
+
+
+def test_rollup_takes_back(spark, few_partitions, tmp_path):
+    from datetime import datetime, timedelta
+    schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long, segments_total long"
+    folder, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    write = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    write([(1, 10, at(0), 0, "translating", 3, 9), (2, 10, at(0), 1, "queued", 0, 9)])
+    assert [tuple(r)[:7] for r in P.live_rollup(stream(), state).collect()] == [(10, 2, 0, 0, 0, 3, 18)]
+    write([(1, 11, at(2), 2, "done", 9, 9), (1, 10, at(1), 3, "error", 5, 9), (None, 10, at(1), 4, "error", 5, 9)])
+    assert sorted(tuple(r)[:7] for r in P.live_rollup(stream(), state).collect()) == [(10, 1, 0, 0, 0, 0, 9), (11, 1, 1, 0, 1, 9, 9)]
 
 
-def test_empty_streams(spark, tmp_path):
+def test_empty_streams(spark, few_partitions, tmp_path):
     schema = "run_id long, job_id long, ts timestamp, event_id long, status string, segments_done long"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     assert P.latest_runs(stream).collect() == [] and P.live_timing(stream, F.lit(1)).collect() == []
-    assert P.daily_status(stream, "1 hour").collect() == []
+    assert P.daily_status(stream).collect() == [] and P.live_rollup(stream.withColumn("segments_total", F.lit(1))).collect() == []
+    cues = stream.selectExpr("run_id key", "ts start_at", "1D seconds")
+    assert P.cue_sessions(cues, 1).collect() == [] and P.unique_requests(stream.selectExpr("status request_key")).collect() == []
 
 
-def test_intake_replaces_files(spark, tmp_path):
+def test_intake_replaces_files(spark, few_partitions, tmp_path):
     write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    write([(1, "old text\n\nmore old"), (2, "stays here")])
-    P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state")
-    write([(1, "new text")])
-    got = {(r.doc_id, r.source_text) for r in P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state").collect()}
+    files = lambda: {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "state/blocks").rglob("*.parquet")}
+    write([(1, "old text\n\nmore old"), (2, "stays here"), (3, "goes away")])
+    P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state", 64)
+    before = files()
+    write([(1, "new text"), (3, ""), (None, "no id")])
+    got = {(r.doc_id, r.source_text) for r in P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state", 64).collect()}
     assert got == {(1, "new text"), (2, "stays here")}
+    kept = files().items() & before.items()
+    assert len(kept) == 1 and len(before) == 3  # the bucket of document 2 is untouched
+    assert P.intake(stream(), PL.txt_blocks, f"{tmp_path}/state", 64).count() == 2
+
+
+def test_repeated_changes_count_once(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, n long")
+    counts = TB.BucketTable(spark, f"{tmp_path}/t", rows(("", 0)).schema, ["k"], 8)
+    add = P._added(["k"], ("n",))
+    counts.update(rows(("a", 1), ("b", 2)), add, "1")
+    counts.update(rows(("a", 5)), add, "2")
+    counts.update(rows(("a", 5)), add, "2")  # the batch again, after a restart
+    assert {r.k: r.n for r in counts.read().collect()} == {"a": 6, "b": 2}
+    plan = counts.read([3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
 def test_held_and_joined_search_agree(spark, monkeypatch):
