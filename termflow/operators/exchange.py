@@ -6,6 +6,7 @@ column expressions on that row. Only the model itself is a Python function over
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -174,48 +175,100 @@ def system_prompt(template: Column, values: dict[str, Column]) -> Column:
 
 # --- differences ------------------------------------------------------------------------------
 
-def token_diff(changes: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
-    """Merged word-level edit steps of every pair: (keys, step, op, text).
+#: Bytes of position masks that a comparison keeps; the masks of rarer tokens are made when needed.
+MASK_BYTES = 32_000_000
+
 
-    The longest common subsequence needs a table per pair, which no built-in gives. On ties an insertion comes before a deletion when walking back.
+def edit_path(x: list, y: list) -> bytes:
+    """Steps that turn x into y by their longest common subsequence: `=` keep, `-` delete, `+` insert.
+
+    Where both directions are open, an insertion is the last step (as seen from the end). A row of the
+    table of lengths is one whole number, whose bit j is 0 where the length grows at place j, and a row
+    follows from the row above by one addition. Seen from a cell whose tokens differ, the last step is an
+    insertion exactly where the length does not grow, so these bits are all that is needed. Every
+    sqrt(m)-th row is kept; the rows between are made again as the path comes to them.
     """
-    def ops(a, b):
-        ids, _ = pd.factorize(np.concatenate([a, b]).astype(object))
-        x, y = ids[:len(a)], ids[len(a):]
-        # For each cell, whether the cell to its left is at least as good as the one above.
-        left, row = [], np.zeros(len(y) + 1, dtype=np.int32)
-        for t in x:
-            new = row.copy()
-            new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == t)))
-            left.append(np.packbits(new[:-1] >= row[1:]))
-            row = new
-        i, j, out = len(x), len(y), []
-        while i or j:
-            if i and j and x[i - 1] == y[j - 1]:
+    same = 0
+    while same < min(len(x), len(y)) and x[-1 - same] == y[-1 - same]:
+        same += 1
+    m, n = len(x) - same, len(y) - same
+    places: dict = {}
+    for j in range(n):
+        places.setdefault(y[j], []).append(j)
+    size = n // 8 + 1
+    kept = {}
+    for token in sorted(places, key=lambda t: -len(places[t]))[:MASK_BYTES // size]:
+        kept[token] = _mask(places[token], size)
+    whole = (1 << n) - 1
+
+    def below(row, token):
+        at = kept.get(token)
+        if at is None:
+            at = _mask(places[token], size) if token in places else 0
+        both = row & at
+        return ((row + both) | (row - both)) & whole
+
+    step = max(1, math.isqrt(m))
+    marks, row = [], whole
+    for i in range(m):
+        if i % step == 0:
+            marks.append(row)
+        row = below(row, x[i])
+    out, j = [b"=" * same], n
+    for start in range((len(marks) - 1) * step, -1, -step):
+        rows, row = [], marks.pop()
+        for i in range(start, min(start + step, m)):
+            row = below(row, x[i])
+            rows.append(row.to_bytes(size, "little"))
+        i = len(rows)
+        while i and j:
+            if x[start + i - 1] == y[j - 1]:
                 i, j = i - 1, j - 1
-                out.append(("equal", a[i]))
-            elif j and (i == 0 or left[i - 1][(j - 1) >> 3] >> (7 - (j - 1) % 8) & 1):
+                out.append(b"=")
+            elif rows[i - 1][(j - 1) >> 3] >> ((j - 1) & 7) & 1:
                 j -= 1
-                out.append(("insert", b[j]))
+                out.append(b"+")
             else:
                 i -= 1
-                out.append(("delete", a[i]))
-        return out[::-1]
+                out.append(b"-")
+        out.append(b"-" * i)
+    out.append(b"+" * j)
+    return b"".join(reversed(out))
+
+
+def _mask(places: list[int], size: int) -> int:
+    bits = np.zeros(size * 8, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+STEP_NAMES = {ord("="): "equal", ord("-"): "delete", ord("+"): "insert"}
 
+
+def edit_steps(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """Runs of equal steps with their text."""
+    path = np.frombuffer(edit_path(x, y), np.uint8)
+    if not len(path):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+    in_x, in_y = (np.concatenate([[0], np.cumsum(path != ord(c))])[cuts].tolist() for c in "+-")
+    return [(STEP_NAMES[op], "".join(y[c:d] if op == ord("+") else x[a:b]))
+            for op, a, b, c, d in zip(path[cuts[:-1]].tolist(), in_x, in_x[1:], in_y, in_y[1:], strict=False)]
+
+
+def token_diff(changes: DataFrame, keys: list[str], before: str = "before", after: str = "after") -> DataFrame:
+    """Merged word-level edit steps of every pair: (keys, step, op, text), on ties as `edit_path` has it.
+
+    A longest common subsequence needs a walk over both texts, which no built-in gives; a pair takes
+    a few rows of bits, so two texts of 100,000 tokens take some 10 MB. A null text is empty.
+    """
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                merged: list[list] = []
-                for op, text in ops(list(r.a_words), list(r.b_words)):
-                    if merged and merged[-1][0] == op:
-                        merged[-1][1] += text
-                    else:
-                        merged.append([op, text])
-                rows += [(*r[:len(keys)], n, op, text) for n, (op, text) in enumerate(merged)]
+            rows = [(*r[:len(keys)], n, op, text) for r in pdf.itertuples(index=False)
+                    for n, (op, text) in enumerate(edit_steps(list(r.a_words), list(r.b_words)))]
             yield pd.DataFrame(rows, columns=[*keys, "step", "op", "text"])
 
-    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*|\s+|[^\p{L}\p{N}_\s]"), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*|\s+|[^\p{L}\p{N}_\s]"), F.lit(0))
     tokens = changes.select(*keys, words(before).alias("a_words"), words(after).alias("b_words"))
     fields = [f for f in tokens.schema.fields if f.name in keys]
     schema = StructType(fields + [StructField("step", IntegerType()), StructField("op", StringType()), StructField("text", StringType())])

@@ -6,17 +6,71 @@ its terms may travel as one array.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import maps as M
 from ..functions import text as T
+from ..session import written
 from ..skew import salted_join
 
 
-def _regex_quote(c: Column) -> Column:
-    return F.regexp_replace(c, r"([^\p{L}\p{N}_\s])", r"\\$1")
+OPENING, CLOSING = "(（", ")）"
+
+
+def _folded(text: str) -> str:
+    """Case taken away character by character, so places stay the same."""
+    return "".join(low if len(low := (c.upper() if len(c.upper()) == 1 else c).lower()) == 1 else c for c in text)
+
+
+class AnnotationIndex:
+    """Terms of a document by their source; an opening bracket asks once for each length of a source."""
+
+    def __init__(self, terms):
+        self.by_source: dict[str, list[tuple[str, int, str]]] = {}
+        for t in terms:
+            source = _folded(t["source"].strip())
+            self.by_source.setdefault(source, []).append((_folded(t["target"].strip()), t["pos"], t["target"]))
+        self.lengths = sorted({len(x) for x in self.by_source})
+
+    def find(self, text: str) -> tuple[list[tuple[int, int, str, str, str]], str]:
+        """Notes `target (source)` from left to right, none within another: (pos, start, text before it,
+        its text, plain target), and the text after the last. Of several at one bracket the one that
+        starts first counts, then the lowest pos."""
+        folded, out, done = _folded(text), [], 0
+        for m in re.finditer(f"[{OPENING}]", text):
+            if m.start() < done:
+                continue
+            left, inner = m.start(), m.end()
+            while left > done and text[left - 1].isspace():
+                left -= 1
+            while inner < len(text) and text[inner].isspace():
+                inner += 1
+            best = None
+            for n in self.lengths:
+                stop = inner + n
+                known = self.by_source.get(folded[inner:stop]) if stop < len(text) else None
+                if not known:
+                    continue
+                while stop < len(text) and text[stop].isspace():
+                    stop += 1
+                if stop == len(text) or text[stop] not in CLOSING:
+                    continue
+                for target, pos, plain in known:
+                    start = left - len(target)
+                    if start >= done and folded.startswith(target, start) and (best is None or (start, pos) < best[:2]):
+                        best = (start, pos, stop + 1, plain)
+            if best:
+                start, pos, stop, plain = best
+                out.append((pos, start, text[done:start], text[start:stop], plain))
+                done = stop
+        return out, text[done:]
+
+
+NOTES = "array<struct<pos: int, start: int, before: string, note: string, plain: string>>"
 
 
 def keep_first_annotation(blocks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -25,34 +79,44 @@ def keep_first_annotation(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     blocks: doc_id, block_no, text. terms: doc_id, pos, source, target, if wanted do_not_translate.
     Case is ignored in all scripts; terms of a document that are equal but for case are one, and terms
     that are not translated carry no note. Where a term first stands is decided on the text as it came in.
+
+    A block with a bracket is walked once, from left to right, whatever the number of terms; its text comes
+    back cut at the notes. First places are a grouped minimum, and joining the pieces again needs no search.
     """
-    t = terms.where("target <> ''")
+    t = terms.where("trim(target) <> '' and trim(source) <> ''")
     if "do_not_translate" in terms.columns:
         t = t.where(~F.coalesce("do_not_translate", F.lit(False)))
     t = (t.groupBy("doc_id", F.lower("source").alias("_s"), F.lower("target").alias("_t"))
          .agg(F.min(F.struct("pos", "source", "target")).alias("_x")).select("doc_id", "_x.*"))
-    pattern = F.concat(F.lit("(?iU)"), _regex_quote(F.col("target")), F.lit(r"\s*[(（]\s*"),
-                       _regex_quote(F.col("source")), F.lit(r"\s*[)）]"))
-    plain = F.regexp_replace("target", r"([\\$])", r"\\$1")
-    packed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(
-        F.struct("pos", pattern.alias("pattern"), plain.alias("plain")))).alias("terms"))
-    own = F.filter("terms", lambda x: F.regexp_like(F.col("text"), x["pattern"]))
-    marked = salted_join(blocks, packed, ["doc_id"], ["block_no"], "left").withColumn("terms", own)
-    first = (marked.select("doc_id", "block_no", F.explode("terms.pos").alias("pos"))
-             .groupBy("doc_id", "pos").agg(F.min("block_no").alias("block_no"))
-             .groupBy("doc_id", "block_no").agg(F.collect_list("pos").alias("first_here")))
-
-    def clean(acc, x):
-        end = F.regexp_instr(acc, x["pattern"]) - 1 + F.length(F.regexp_substr(acc, x["pattern"]))
-        keep = F.concat(F.substring(acc, F.lit(1), end), F.regexp_replace(
-            F.substring(acc, end + 1, F.length(acc)), x["pattern"], x["plain"]))
-        here = F.array_contains(F.coalesce(F.col("first_here"), F.array().cast("array<int>")), x["pos"])
-        return F.when(here & F.regexp_like(acc, x["pattern"]), keep).otherwise(
-            F.regexp_replace(acc, x["pattern"], x["plain"]))
-
-    out = marked.join(first, ["doc_id", "block_no"], "left")
-    folded = F.aggregate(F.coalesce("terms", F.array().cast(marked.schema["terms"].dataType)), F.col("text"), clean)
-    return out.select("doc_id", "block_no", folded.alias("text"))
+    packed = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "source", "target"))).alias("terms"))
+    rows = blocks.select("doc_id", "block_no", "text")
+    bracket = F.coalesce(F.regexp_like("text", F.lit(f"[{OPENING}]")), F.lit(False))
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def walk(frames):
+        held, of = None, None
+        for f in frames:
+            found = []
+            for doc, text, own in zip(f["doc_id"], f["text"], f["terms"], strict=True):
+                if held is None or of != doc:
+                    held, of = AnnotationIndex(own), doc
+                found.append(held.find(text))
+            out = f[["doc_id", "block_no"]].copy()
+            out["notes"], out["rest"] = [x[0] for x in found], [x[1] for x in found]
+            yield out
+    cut = salted_join(rows.where(bracket), packed, ["doc_id"], ["block_no"]).select("doc_id", "block_no", "text", "terms")
+    cut = written(cut.mapInPandas(walk, f"doc_id {fields['doc_id']}, block_no {fields['block_no']}, notes {NOTES}, rest string")
+                  .where("size(notes) > 0"), "annotated-blocks")
+    first = (cut.select("doc_id", "block_no", F.explode("notes").alias("n")).groupBy("doc_id", "n.pos")
+             .agg(F.min(F.struct("block_no", "n.start")).alias("f"))
+             .groupBy("doc_id", F.col("f.block_no").alias("block_no")).agg(F.collect_list(F.struct("pos", "f.start")).alias("first")))
+    place = lambda n: F.struct(n["pos"].alias("pos"), n["start"].alias("start"))
+    text = F.transform("notes", lambda n: F.concat(n["before"], F.when(F.array_contains(F.col("first"), place(n)), n["note"]).otherwise(n["plain"])))
+    clean = cut.join(first, ["doc_id", "block_no"], "left").withColumn(
+        "first", F.coalesce("first", F.array().cast("array<struct<pos: int, start: int>>")))
+    clean = clean.select("doc_id", "block_no", F.concat(F.array_join(text, ""), "rest").alias("_clean"))
+    return (rows.join(clean, ["doc_id", "block_no"], "left")
+            .select("doc_id", "block_no", F.coalesce("_clean", "text").alias("text")))
 
 
 def constraint_lines(terms: DataFrame, lang: Column, first_use: Column | None = None) -> DataFrame:

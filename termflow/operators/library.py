@@ -54,17 +54,6 @@ def longest_first(library: DataFrame, domains: list[int]) -> DataFrame:
     return global_rank(library.where(F.col("domain_id").isin(domains)), [F.desc(F.length("source")), F.col("domain_id"), F.col("id")])
 
 
-def page(library: DataFrame, domain_id: int, search: str = "", offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page of one domain by normalised source, with the total count beside every row.
-
-    `%` and `_` in the search text act as wildcards."""
-    hits = library.where(F.col("domain_id") == domain_id)
-    if search:
-        hits = hits.where(F.col("norm").like(f"%{search.strip().lower()}%"))
-    total = hits.agg(F.count("*").alias("total"))
-    return hits.orderBy("norm", "id").offset(offset).limit(limit).join(total, how="cross")
-
-
 def domain_sizes(domains: DataFrame, library: DataFrame) -> DataFrame:
     sizes = library.groupBy("domain_id").agg(F.count("*").alias("n"))
     return domains.join(sizes, "domain_id", "left").select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import library as L
+from ..operators import library_store as LS
 from .registry import ints, query, table
 from .term_queries import langs
 from .views import blocks, doc_terms, docs, library, library_long, language_map, sql
@@ -117,6 +118,18 @@ def upserted_library(spark, d):
     return u.select("id", "domain_id", "norm", "strategy", "context", *M3())
 
 
+@query("stored_library", "U2 U3", sql("""
+    select case when existed then id else (select max(id) from library) + row_number() over (partition by existed order by first_row) end id,
+      domain_id, norm, strategy, context, fr, de, es from ups""", "doc_terms", "library", **UPSERT))
+def stored_library(spark, d):
+    """The library in buckets after an import that touches some of them."""
+    first = library(spark, d)
+    store = LS.StoredLibrary(spark, None, first.schema)
+    store.load(first)
+    store.upsert(import_batch(spark, d), "import-1")
+    return store.read().select("id", "domain_id", "norm", "strategy", "context", *M3())
+
+
 @query("import_summary", "A14", sql("""
     select cast(count(*) filter (not existed) as bigint) inserted,
       cast(sum(n_rows) - count(*) filter (not existed) as bigint) updated from ups where n_rows > 0""", "doc_terms", "library", **UPSERT))
@@ -200,7 +213,16 @@ def domain_sizes(spark, d):
     select id, norm, (select count(*) from library where domain_id = 2 and norm like '%t_e%') total from library
     where domain_id = 2 and norm like '%t_e%' order by norm, id limit 10 offset 3""", "library"))
 def term_page(spark, d):
-    return L.page(library(spark, d), 2, " T_e", 3, 10).select("id", "norm", "total")
+    return LS.TermPages(library(spark, d)).page(2, " T_e", 3, 10).select("id", "norm", "total")
+
+
+@query("deep_term_page", "T2", sql("""
+    select id, norm, (select count(*) from library where domain_id = 3) total from library
+    where domain_id = 3 order by norm, id limit 25 offset (select count(*) * 3 // 4 from library where domain_id = 3)""", "library"))
+def deep_term_page(spark, d):
+    pages = LS.TermPages(library(spark, d), 64)
+    size = pages.directory.where("domain_id = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return pages.page(3, "", size * 3 // 4, 25).select("id", "norm", "total")
 
 
 @query("longest_terms_first", "T3 SRC14", sql("""

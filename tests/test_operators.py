@@ -13,6 +13,7 @@ from termflow.operators import matching as MT
 from termflow.operators import segments as S
 from termflow.operators import glossary as G
 from termflow.operators import jobs as J
+from termflow.operators import library_store as LS
 from termflow.skew import global_rank, lag_by_chunk, running_sum_by_chunk
 from termflow.sources import html as H
 from termflow.sources import plain as PL
@@ -231,6 +232,103 @@ def test_bilingual_notes(spark):
     assert got == ["École (ÉCOLE) et mot (word)", "École puis mot, logo (logo)"]
 
 
+def test_annotations_in_one_walk(spark):
+    terms = [("Uno", "one"), ("Uno due", "two"), ("C (x)", "c (lang)"), ("É", "é é"), ("Uno", "uno"), ("x", "long " * 50)]
+    index = G.AnnotationIndex([{"pos": i, "target": t, "source": s} for i, (t, s) in enumerate(terms)])
+    told = lambda text: ([(n[0], n[3]) for n in index.find(text)[0]], "".join(n[2] + n[4] for n in index.find(text)[0]) + index.find(text)[1])
+    assert told("uno (ONE), UNO due（ two ）; c (X) (C (LANG)) ( (") == (
+        [(0, "uno (ONE)"), (1, "UNO due（ two ）"), (2, "c (X) (C (LANG))")], "Uno, Uno due; C (x) ( (")
+    assert told("é(É é) uno(uno)uno (one") == ([(3, "é(É é)"), (4, "uno(uno)")], "É Unouno (one")
+    assert told("") == ([], "") and told("(" * 3) == ([], "(((")
+    b = spark.createDataFrame([(1, 0, None, "e"), (1, 1, "a", "e"), (1, 2, "Uno (one) Uno (one)", "e"), (2, 0, "uno (one)", "e"), (1, 0, "uno (ONE)", "e")],
+                              "doc_id long, block_no int, text string, terms string")
+    t = spark.createDataFrame([(1, 7, "one", "Uno"), (1, 8, "gone", None), (1, 9, "", "x")], "doc_id long, pos int, source string, target string")
+    got = sorted((r.doc_id, r.block_no, r.text or "") for r in G.keep_first_annotation(b.where("text is null or block_no > 0 or doc_id = 2"), t).collect())
+    assert got == [(1, 0, ""), (1, 1, "a"), (1, 2, "Uno (one) Uno"), (2, 0, "uno (one)")]
+
+
+def plain_path(x, y):
+    lengths = [[0] * (len(y) + 1)]
+    for a in x:
+        row = [0]
+        for j, b in enumerate(y):
+            row.append(lengths[-1][j] + 1 if a == b else max(lengths[-1][j + 1], row[j]))
+        lengths.append(row)
+    i, j, out = len(x), len(y), ""
+    while i or j:
+        keep = i and j and x[i - 1] == y[j - 1]
+        insert = not keep and j and (not i or lengths[i][j - 1] >= lengths[i - 1][j])
+        out = ("=" if keep else "+" if insert else "-") + out
+        i, j = i - bool(keep or not insert), j - bool(keep or insert)
+    return out
+
+
+def test_edit_paths(monkeypatch):
+    rng = random.Random(9)
+    for masks in (32_000_000, 4):
+        monkeypatch.setattr(X, "MASK_BYTES", masks)
+        for _ in range(700):
+            x, y = ([rng.choice("abcd") for _ in range(rng.randrange(30))] for _ in range(2))
+            assert X.edit_path(x, y).decode() == plain_path(x, y)
+            steps = X.edit_steps(x, y)
+            assert "".join(t for op, t in steps if op != "insert") == "".join(x)
+            assert "".join(t for op, t in steps if op != "delete") == "".join(y)
+            assert all(a[0] != b[0] for a, b in zip(steps, steps[1:]))
+    assert X.edit_path([], []) == b"" and X.edit_steps([], ["a"]) == [("insert", "a")]
+
+
+def test_long_texts_in_little_memory():
+    import tracemalloc
+    rng = random.Random(1)
+    x = [f"w{int(rng.paretovariate(0.4)) % 9000}" for _ in range(30_000)]
+    y = [t if rng.random() < 0.9 else "new" for t in x if rng.random() < 0.95]
+    tracemalloc.start()
+    path = X.edit_path(x, y)
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert path.count(b"=") + path.count(b"-") == len(x) and path.count(b"=") + path.count(b"+") == len(y) and path.count(b"=") > 25_000
+
+
+def test_library_changes_the_touched_buckets_only(spark, tmp_path):
+    from termflow.operators import library as L
+    row = "id long, domain_id long, norm string, source string, targets map<string,string>, strategy string, ai_category string, context string"
+    lib = spark.createDataFrame([(i, i % 3, f"t{i}", f"T{i}", {"fr": f"f{i}"}, "hard", "", "") for i in range(1, 60)], row)
+    store = LS.StoredLibrary(spark, f"{tmp_path}/lib", lib.schema, 32)
+    store.load(lib)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "lib/terms").rglob("*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([(1, 0, "t3", {"fr": "", "de": "d"}, "skip", "", "c"), (2, 2, "new", {"fr": "n"}, "hard", "", ""),
+                                   (3, 2, " NEW ", {"de": "m"}, "hard", "", "")],
+                                  "row_no long, domain_id long, source string, targets map<string,string>, strategy string, ai_category string, context string")
+    touched = store.upsert(batch, "one")
+    kept = {f for f in before if not any(f"bucket={b}/" in f for b in touched)}
+    assert 1 <= len(touched) <= 2 and all(files().get(f) == before[f] for f in kept) and len(kept) >= len(before) - 2
+    store.upsert(batch, "one")  # the same import again, as after a failure
+    want = L.upsert(lib, batch).select(store.columns)
+    key = lambda r: (r.id, r.domain_id, r.norm, r.source, sorted(r.targets.items()), r.strategy, r.ai_category, r.context)
+    assert sorted(map(key, store.read().collect())) == sorted(map(key, want.collect()))
+    more = spark.createDataFrame([(1, 0, "later", {}, "hard", "", "")], batch.schema)
+    store.upsert(more, "two")
+    assert {r.norm: r.id for r in store.read().where("id > 59").collect()} == {"new": 60, "later": 61}
+    plan = store.touched_terms(more.withColumn("norm", F.col("source")))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_term_pages_read_their_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3), rng.choice(["a", "b%", "ab", "c_d"]) + str(rng.randrange(40))) for i in range(900)]
+    pages = LS.TermPages(spark.createDataFrame(rows, "id long, domain_id long, norm string"), 12)
+    for search, match in (("", lambda n: True), ("b", lambda n: "b" in n)):
+        want = sorted((n, i) for i, d, n in rows if d == 1 and match(n))
+        for offset, limit in ((0, 5), (37, 100), (len(want) - 2, 9), (len(want) + 5, 3), (0, 10_000)):
+            got = pages.page(1, search, offset, limit)
+            assert [(r.norm, r.id) for r in got.collect()] == want[offset:offset + limit]
+            assert {r.total for r in got.collect()} <= {len(want)}
+    plan = pages.page(1, "", 100, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and plan.count("range#") >= 1
+    assert pages.page(99).collect() == []
+
+
 def test_global_rank(spark):
     rows = [(i * 7919 % 1000 // 3, i) for i in range(1000)]
     got = global_rank(spark.createDataFrame(rows, "k long, i long"), [F.desc("k"), F.col("i")]).collect()
