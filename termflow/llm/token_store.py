@@ -30,17 +30,18 @@ BATCH_SEQUENCES = 256
 FILE_BYTES = 32 << 20
 #: Entries of a task's word cache; it starts anew beyond.
 CACHE = 400_000
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters whose lower case is one letter (that of U+0130 ends in a mark), then marks but the apostrophe.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordCache(dict):
     """Ids of words by their text, as bytes. The tokenizer drops white space and joins nothing over it,
-    so a text is encoded word by word; marks after a plain word are words of their own."""
+    so a text is encoded word by word; marks after a plain word are words of their own. Special tokens
+    in a text get their own ids, as in the library; they hold no white space."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.plain: dict[str, bytes] = {}
         super().__init__({"": b""})

@@ -63,7 +63,6 @@ def test_token_store_matches_library(spark):
     assert files.count() > 2
     got = token_store.read_digests(files).orderBy("start").collect()
     tk = Tokenizer.from_file(queries.WORD_BPE)
-    tk.encode_special_tokens = True
     want, start = [], 0
     rows = sorted([(-1, "no id"), *enumerate(ODD), (3, "\n\n")], key=lambda r: r[0])
     for i, text in rows:
@@ -74,6 +73,19 @@ def test_token_store_matches_library(spark):
     assert token_store.read_digests(token_store.write_tokens(frame(spark, []), queries.WORD_BPE, 2)).collect() == []
 
 
+def test_word_cache_matches_plain_library():
+    """The library's own answer on special tokens, letters whose lower case is longer, combining marks, random Unicode."""
+    tk, cache = Tokenizer.from_file(queries.WORD_BPE), token_store.cache_for(queries.WORD_BPE)
+    rng = random.Random(0)
+    fixed = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>.", "x<|ENDOFTEXT|>", "İ!", "İSTANBUL. İ,", "ẞ! ǅ. ŉ; ΑΣ. ΑΣ",
+             "e\u0301! \u0301x n\u0303, A\u030a.", "it's I'LL 'tis don't.", "ﬁ! ① ٣4 x²", "\u00a0a\u2003b\u0085c\u001cd"]
+    letters = [*"aAzZ !.,'<|>0\n\t", "İ", "ı", "ß", "É", "\u0301", "\u0307", "ŉ", "Σ", "ς", "語", "\u00a0", "<|endoftext|>", "ɏ", "Ɐ", "\U0001F600"]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xd800)])) for _ in range(30)) for _ in range(1500)]
+    for text in fixed + odd:
+        assert np.frombuffer(cache.encode(text), cache.kind).tolist() == tk.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_store_random_access(tmp_path):
     path = f"{tmp_path}/f.arrows"
     w = token_store.Writer(path, np.dtype("<u2"), 16, 4)
