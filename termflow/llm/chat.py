@@ -40,19 +40,24 @@ def _mask(turns: Column) -> Column:
 
 
 def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each row of `pairs` (pair_id, chosen_id, rejected_id) whose conversations both exist.
+    """One row for each row of `pairs` (pair_id, chosen_id, rejected_id) whose conversations both exist, as
+    `formatted` makes it. A conversation that many pairs use is repeated by an equi join, whose skew
+    the adaptive join splits. Other columns are not read; empty tables give an empty result.
+    """
+    every = conversations_of(turns.select("conv_id", "turn", "role", "text"))
+    side = lambda name: every.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
+    return formatted(pairs.select("pair_id", "chosen_id", "rejected_id")
+                     .join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id"))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """One row for each (pair_id, chosen_id, rejected_id, chosen, rejected), the last two arrays of turns.
 
     The longest common prefix of whole turns is rendered once as `prompt`; what follows in either
     conversation is its completion, with a mask that trains on the assistant's turns only. Equal
     conversations give a pair with two empty completions, conversations without a common turn an empty
-    prompt. Other columns of `turns` are not read; empty tables give an empty result.
-    A conversation is one training example and stands in one row, so it is gathered whole; a
-    conversation that many pairs use is repeated by an equi join, whose skew the adaptive join splits.
+    prompt. A conversation is one training example and stands in one row, so it is gathered whole.
     """
-    every = conversations_of(turns.select("conv_id", "turn", "role", "text"))
-    side = lambda name: every.select(F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
-    both = (pairs.select("pair_id", "chosen_id", "rejected_id")
-            .join(side("chosen"), "chosen_id").join(side("rejected"), "rejected_id"))
     shorter = F.least(F.size("chosen"), F.size("rejected"))
     differs = F.array_position(F.transform(F.sequence(F.lit(1), shorter), lambda i: F.element_at("chosen", i).eqNullSafe(
         F.element_at("rejected", i))), F.lit(False))
@@ -66,9 +71,18 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _joined(rejected).alias("rejected"), _mask(rejected).alias("rejected_mask"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs (2k, 2k + 1) of conversation ids: pair_id k, chosen 2k, rejected 2k + 1."""
-    ids = turns.where("conv_id is not null and turn is not null").select("conv_id").distinct()
-    return (ids.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"))
-            .agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
-            .where("chosen_id <> rejected_id"))
+def with_other_replies(turns: DataFrame) -> DataFrame:
+    """Pairs with a shared history, for `formatted`: chosen is a conversation, rejected the same one with its
+    last assistant turn replaced by that of its neighbour (2k and 2k + 1 are neighbours).
+
+    pair_id and chosen_id are the conversation, rejected_id the neighbour. Conversations without an
+    assistant turn, and those whose neighbour has none or does not exist, give no pair.
+    """
+    every = conversations_of(turns.select("conv_id", "turn", "role", "text"))
+    places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED_ROLE)
+    ends = every.withColumn("last", F.array_max(places)).where("last is not null")
+    reply = F.element_at("turns", F.col("last"))["text"]
+    others = ends.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("conv_id").alias("rejected_id"), reply.alias("other"))
+    both = ends.join(others, "conv_id")
+    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.col("other")).otherwise(t["text"]).alias("text")))
+    return both.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), "rejected_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))

@@ -33,8 +33,7 @@ def byte_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return chat.preference_pairs(turns, chat.neighbours(turns))
+    return chat.formatted(chat.with_other_replies(table(spark, sf_dir, "conversations")))
 
 
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,30 +99,24 @@ WITH turns AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
          '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line FROM turns),
-sizes AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id),
+lasts AS (
+  SELECT conv_id, max(k) FILTER (role = 'assistant') AS last, count(*) AS n FROM placed GROUP BY conv_id
+  HAVING max(k) FILTER (role = 'assistant') IS NOT NULL),
+replies AS (SELECT l.*, text AS reply FROM lasts l JOIN placed p ON p.conv_id = l.conv_id AND p.k = l.last),
 pairs AS (
-  SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
-  FROM sizes GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
-differs AS (
-  SELECT c.pair_id, min(a.k) AS k
-  FROM pairs c JOIN placed a ON a.conv_id = c.chosen_id JOIN placed b ON b.conv_id = c.rejected_id AND a.k = b.k
-  WHERE a.role <> b.role OR a.text <> b.text GROUP BY c.pair_id),
-cut AS (
-  SELECT p.*, coalesce(d.k - 1, least(x.n, y.n)) AS common
-  FROM pairs p JOIN sizes x ON x.conv_id = chosen_id JOIN sizes y ON y.conv_id = rejected_id
-  LEFT JOIN differs d USING (pair_id)),
-sides AS (
-  SELECT conv_id, pair_id, side,
-         coalesce(string_agg(line, '' ORDER BY k) FILTER (k <= common), '') AS prompt,
-         coalesce(string_agg(line, '' ORDER BY k) FILTER (k > common), '') AS rest,
-         coalesce(string_agg(CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END || length(line), ',' ORDER BY k)
-                  FILTER (k > common), '') AS mask
-  FROM (SELECT pair_id, common, 'c' AS side, chosen_id AS conv_id FROM cut
-        UNION ALL SELECT pair_id, common, 'r', rejected_id FROM cut) JOIN placed USING (conv_id)
-  GROUP BY ALL)
-SELECT cut.pair_id, chosen_id, rejected_id, common AS prompt_turns, a.prompt, a.rest AS chosen, a.mask AS chosen_mask,
-       b.rest AS rejected, b.mask AS rejected_mask
-FROM cut JOIN sides a ON a.pair_id = cut.pair_id AND a.side = 'c' JOIN sides b ON b.pair_id = cut.pair_id AND b.side = 'r'
+  SELECT a.*, b.conv_id AS other_id, b.reply AS other, CASE WHEN a.reply = b.reply THEN a.n ELSE a.last - 1 END AS common
+  FROM replies a JOIN replies b ON b.conv_id = xor(a.conv_id, 1)),
+lines AS (
+  SELECT p.*, k, line AS c, CASE WHEN k = last THEN '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) ELSE line END AS r,
+         CASE WHEN role = 'assistant' THEN '1:' ELSE '0:' END AS m
+  FROM pairs p JOIN placed USING (conv_id))
+SELECT conv_id AS pair_id, conv_id AS chosen_id, other_id AS rejected_id, common AS prompt_turns,
+       coalesce(string_agg(c, '' ORDER BY k) FILTER (k <= common), '') AS prompt,
+       coalesce(string_agg(c, '' ORDER BY k) FILTER (k > common), '') AS chosen,
+       coalesce(string_agg(m || length(c), ',' ORDER BY k) FILTER (k > common), '') AS chosen_mask,
+       coalesce(string_agg(r, '' ORDER BY k) FILTER (k > common), '') AS rejected,
+       coalesce(string_agg(m || length(r), ',' ORDER BY k) FILTER (k > common), '') AS rejected_mask
+FROM lines GROUP BY conv_id, other_id, common
 """
 
 QUERIES = {

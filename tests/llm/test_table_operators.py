@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from check import TABLES, compare
 from types import SimpleNamespace
 
@@ -232,6 +233,14 @@ def test_preference_pairs(spark):
     assert r.chosen_mask == f"1:{len(r.chosen)}" and r.rejected_mask.split(",")[1].startswith("0:")
     assert got[2].chosen == "" == got[2].rejected and got[2].prompt_turns == 1 and got[4].prompt == ""
     assert chat.preference_pairs(turns.limit(0), pairs).collect() == []
+    own = spark.createDataFrame([(0, 1, "user", "q", "x"), (0, 2, "assistant", "a", "x"), (0, 3, "user", "bye", "x"), (1, 1, "assistant", "b", "x"),
+                                 (2, 1, "assistant", "no neighbour", "x"), (4, 1, "user", "none", "x"), (5, 1, "assistant", "c", "x")],
+                                "conv_id long, turn long, role string, text string, last string")
+    got = {r.pair_id: r for r in chat.formatted(chat.with_other_replies(own)).collect()}
+    assert set(got) == {0, 1} and (got[0].prompt_turns, got[0].rejected_id) == (1, 1)
+    assert got[0].rejected == "<|assistant|>\nb<|end|>\n<|user|>\nbye<|end|>\n" and got[0].rejected_mask.startswith("1:")
+    shared = queries.QUERIES["op3_preference_formatting"](spark, SF).agg(F.count("*").alias("n"), F.count_if(F.col("prompt_turns") > 0).alias("k")).first()
+    assert shared.n > 0 and shared.k > shared.n * 0.8
 
 
 def test_pipeline_stages(spark):
