@@ -64,32 +64,28 @@ def cleaned(text: str) -> bytes:
 
 
 def words(texts: Iterable[str | None], digits: bool = True, size: int | None = None) -> Iterator[Words]:
-    """Slices of about `size` (SLICE) bytes with the words of all texts in order. A longer text goes on in the
-    next slices, cut at a blank; only a word of over `size` bytes is cut inside."""
+    """Slices of about `size` (SLICE) bytes with the words of all texts in order. A text that fits in a slice is
+    never cut; a longer one begins a slice and goes on in the next ones, cut at a blank, so where a text is
+    cut depends on nothing but the text. Only a word of over `size` bytes is cut inside."""
     limit = size or SLICE
     held: list[bytes] = []
     numbers: list[int] = []
     held_size = 0
     for number, text in enumerate(texts):
         data = cleaned(text) if text else b""
+        if held and held_size + len(data) > limit:
+            yield _slice(held, numbers, digits)
+            held, numbers, held_size = [], [], 0
         at = 0
-        while at < len(data):
-            if held_size + len(data) - at <= limit:
-                part, at = data[at:], len(data)
-            elif held_size > limit // 2:
-                yield _slice(held, numbers, digits)
-                held, numbers, held_size = [], [], 0
-                continue
-            else:
-                cut = max(data.rfind(b" ", at, at + limit - held_size), data.rfind(b"\n", at, at + limit - held_size))
-                cut = cut if cut > at else at + limit - held_size
-                part, at = data[at:cut], cut
-            held.append(part)
+        while len(data) - at > limit:
+            cut = max(data.rfind(b" ", at, at + limit), data.rfind(b"\n", at, at + limit))
+            cut = cut if cut > at else at + limit
+            yield _slice([data[at:cut]], [number], digits)
+            at = cut
+        if at < len(data):
+            held.append(data[at:])
             numbers.append(number)
-            held_size += len(part) + 1
-            if held_size >= limit - 1:
-                yield _slice(held, numbers, digits)
-                held, numbers, held_size = [], [], 0
+            held_size += len(data) - at + 1
     if held:
         yield _slice(held, numbers, digits)
 

@@ -8,6 +8,8 @@ passages keep their coverage, because tiles may stand in any order.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .bytewords import words
 
 LEAST = 5
@@ -27,6 +30,8 @@ BLOCK_BYTES = 16 << 20
 #: Characters of scripts that are written without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
                       "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: What stands for marked tokens in comparisons; hashes of words are odd, so these equal nothing.
+TAKEN_ITEM, TAKEN_DOC = np.uint64(2**64 - 2), np.uint64(2**64 - 4)
 _BASE = 0xD6E8FEB86659FD93
 _ROLL = np.uint64(_BASE)
 
@@ -55,20 +60,23 @@ def _matches(item, doc, free_item, free_doc, length: int) -> list[tuple[int, int
     if not len(ours) or not len(theirs):
         return []
     h_item, h_doc = rolling(item, length)[ours], rolling(doc, length)[theirs]
-    common = np.isin(h_doc, h_item)
-    places = defaultdict(list)
-    for h, t in zip(h_doc[common].tolist(), theirs[common].tolist(), strict=True):
-        places[h].append(t)
+    order = np.argsort(h_doc, kind="stable")
+    h_doc, theirs = h_doc[order], theirs[order]
+    left, right = np.searchsorted(h_doc, h_item, "left"), np.searchsorted(h_doc, h_item, "right")
+    padded = np.concatenate([np.where(free_doc, doc, TAKEN_DOC), np.full(len(item), TAKEN_DOC)])
     found = []
-    for h, p in zip(h_item.tolist(), ours.tolist(), strict=True):
-        for t in places.get(h, ()):
-            if p and t and item[p - 1] == doc[t - 1] and free_item[p - 1] and free_doc[t - 1]:
-                continue  # part of the match that began one token before
-            room = min(len(item) - p, len(doc) - t)
-            same = (item[p:p + room] == doc[t:t + room]) & free_item[p:p + room] & free_doc[t:t + room]
-            size = room if same.all() else int(np.argmin(same))
-            if size >= length:
-                found.append((size, p, t))
+    for p, a, b in zip(ours.tolist(), left.tolist(), right.tolist(), strict=True):
+        at = theirs[a:b]
+        if p and free_item[p - 1]:  # part of the match that began one token before
+            at = at[(at == 0) | (doc[at - 1] != item[p - 1]) | ~free_doc[at - 1]]
+        width = len(item) - p
+        ours_open = np.where(free_item[p:], item[p:], TAKEN_ITEM)
+        for cut in range(0, len(at), max(1, (1 << 20) // width)):
+            t = at[cut:cut + max(1, (1 << 20) // width)]
+            same = (padded[t[:, None] + np.arange(width)] == ours_open)
+            size = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
+            far = np.flatnonzero(size >= length)
+            found += zip(size[far].tolist(), itertools.repeat(p), t[far].tolist())
     return found
 
 
@@ -86,19 +94,23 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[i
         if longest > 2 * length:
             length = longest
             continue
-        while found:
-            found.sort(key=lambda m: (-m[0], m[1], m[2]))
-            again = []
-            for size, p, t in found:
-                open_ = free_item[p:p + size] & free_doc[t:t + size]
-                if open_.all():
-                    free_item[p:p + size] = False
-                    free_doc[t:t + size] = False
-                    out.append((size, p, t))
-                    continue
+        # A match may have lost tokens since; what is left of it waits its turn by its own size.
+        heap = [(-size, p, t) for size, p, t in found]
+        heapq.heapify(heap)
+        while heap:
+            size, p, t = heapq.heappop(heap)
+            open_ = free_item[p:p - size] & free_doc[t:t - size]
+            if open_.all():
+                free_item[p:p - size] = False
+                free_doc[t:t - size] = False
+                out.append((-size, p, t))
+            elif open_.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], open_.view(np.int8), [0]])))
-                again += [(int(b - a), p + int(a), t + int(a)) for a, b in edges.reshape(-1, 2) if b - a >= length]
-            found = again
+                for a, b in edges.reshape(-1, 2).tolist():
+                    if b - a >= length:
+                        heapq.heappush(heap, (a - b, p + a, t + a))
+            if not free_item.any():
+                break
         if length == least:
             return out
         length = max(least, length // 2)
@@ -139,8 +151,11 @@ class Seeds:
         seeds = [rolling(t, least) for _, t in items]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         every = np.concatenate(seeds)
-        order = np.argsort(every, kind="stable")
-        self.seeds, self.owner = every[order], owner[order]
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        # A seed that an item repeats points to it once: places are only asked for in the document.
+        new = np.concatenate([[True], (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]) if len(every) else np.zeros(0, bool)
+        self.seeds, self.owner = every[new], owner[new]
         self.first = np.zeros(1 << 20, bool)  # a quick no for most runs
         self.first[(every >> np.uint64(44)).astype(np.int64)] = True
 
@@ -229,5 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                                                       "longest_tile", "coverage"])
 
         rows = narrow.mapInPandas(search, schema)
+        if blocks > 1:  # worked off block by block, so that one is held at a time
+            rows = written(rows, "leaks")
+            held.unpersist()
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -166,7 +166,8 @@ def _spans(text: str) -> list[str]:
 
 
 def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int = 3, seed: int = 5) -> Crf:
-    """Fit on at most `rows` documents of each lang among the rows for which `usable` holds.
+    """Fit on at most `rows` documents of each lang among the rows for which `usable` holds; of rows with
+    one id and lang, the smallest text.
 
     Every language is learned; the driver holds 2 MB of weights and gradients for each. Spans of the sample are strung together in random order, so chains switch languages as texts do;
     weights, start and transitions follow the gradient of the conditional likelihood.
@@ -189,6 +190,7 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int =
         return column.map(_spans)
 
     sample = (known.join(F.broadcast(picks.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
+              .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
               .select("lang", "doc_id", spans("text").alias("spans")).orderBy("doc_id", "lang").toPandas())
     languages = top
     label = {lang: i for i, lang in enumerate(languages)}

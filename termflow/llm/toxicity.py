@@ -88,11 +88,13 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int) -> DataFrame:
-    """At most `rows` labelled documents, chosen by a hash of their id among all that may be used."""
+    """At most `rows` labelled documents, chosen by a hash of their id among all that may be used; of rows
+    with one id, the smallest text."""
     ids = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(usable)
            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"))
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

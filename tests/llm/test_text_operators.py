@@ -121,12 +121,41 @@ def plain_tiles(a, b, least):
 
 def test_tiles_match_definition():
     rng = np.random.default_rng(0)
-    for k in range(60):
-        a = rng.integers(1, 2 + k % 5, rng.integers(0, 60)).astype(np.uint64)
-        b = rng.integers(1, 2 + k % 5, rng.integers(0, 90)).astype(np.uint64)
-        got = sorted(t[0] for t in decontaminate.tiles(a, b, 3))
-        want = sorted(plain_tiles(a.tolist(), b.tolist(), 3))
-        assert sum(got) >= 0.9 * sum(want) and (not want or max(got) == max(want))
+    for k in range(400):
+        a = rng.integers(1, 2 + k % 5, rng.integers(0, 40)).astype(np.uint64)
+        b = rng.integers(1, 2 + k % 5, rng.integers(0, 60)).astype(np.uint64)
+        assert sorted(t[0] for t in decontaminate.tiles(a, b, 3)) == sorted(plain_tiles(a.tolist(), b.tolist(), 3))
+
+
+def test_repetitive_texts_take_little(tmp_path):
+    import time
+    import tracemalloc
+    index = decontaminate.Benchmark([(1, "ha " * 200), (2, "ho ha he " * 50)], 5)
+    text = "ha " * 300_000
+    tracemalloc.start()
+    began = time.time()
+    found = list(index.search([text, "ho ha he " * 40_000]))
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+    assert [(n, i, w, c) for n, i, w, c, *_ in found] == [(0, 1, 200, 200), (1, 2, 150, 150)]
+
+
+def test_language_score_does_not_depend_on_neighbours():
+    rng = np.random.default_rng(1)
+    crf = langid.Crf(["a", "b"], rng.normal(0, 1, (1 << langid.BITS, 2)).astype(np.float32), np.zeros(2), np.eye(2))
+    long = " ".join(f"w{i % 7919}" for i in range(140_000))
+    texts = [long, "short one", long[:700_000], "x", long[:30_000]]
+    together = langid.label_texts(texts, crf)
+    for i, t in enumerate(texts):
+        alone = langid.label_texts([t], crf)
+        assert alone[0][0] == together[0][i] and abs(alone[1][0] - together[1][i]) < 1e-12
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 3, f"text number {i} words", "en") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 3, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity._sample(docs, labels, F.lit(True), 2).count() == 2
+    assert langid.fit(docs, F.lit(True), 2, 1).languages == ["en"]
 
 
 def test_contaminated_planted_cases(spark):
