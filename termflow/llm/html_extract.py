@@ -11,6 +11,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,9 +46,14 @@ AROUND = set("ad ads adsbygoogle adv advert adverts advertisement advertising al
              "nav navbar navigation newsletter notice notices notification pager pagination popup promo related "
              "recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe survey "
              "toolbar topbar widget contentinfo complementary".split())
+#: Words that say nothing beside one of those.
+PLAIN = set("a an and area bar block bottom box btn button buttons by center col column container content copy fixed form global group "
+            "holder icon icons inner item items js left link links list local main module my of page panel post posts primary right row "
+            "secondary section sec site slot sticky sub text the top ui unit upper view widgets wp wrap wrapper x".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_SPECIAL = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Share of aligned pages on which the text of a template node stays the same.
@@ -71,37 +77,124 @@ class Node:
         return self.aside and not (self.holds and self.tag == "form") or self.named and not self.holds
 
 
+class _Tags:
+    """Finds ends of tags in one pass over a page: whatever is asked, no character is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.special, self.name = (-1, -1), (-1, -1)  # asked from, found at
+
+    def _next(self, pattern: re.Pattern, held: tuple[int, int], at: int) -> tuple[int, int]:
+        if held[0] <= at <= held[1]:
+            return held
+        m = pattern.search(self.page, at)
+        return at, m.start() if m else len(self.page)
+
+    def end(self, at: int) -> int:
+        """Place of the `>` that ends a tag whose attributes begin at `at`, outside of quotes; -1 if none does."""
+        self.special = self._next(_SPECIAL, self.special, at)
+        i, seen = self.special[1], []
+        while True:
+            if i in self.known:
+                found = self.known[i]
+                break
+            if i >= len(self.page):
+                found = -1
+                break
+            seen.append(i)
+            c = self.page[i]
+            if c == ">":
+                found = i
+                break
+            if self.last[c] <= i:
+                found = -1
+                break
+            close = self.page.index(c, i + 1)
+            m = _SPECIAL.search(self.page, close + 1)
+            i = m.start() if m else len(self.page)
+        for k in seen:
+            self.known[k] = found
+        return found
+
+    def name_end(self, at: int) -> int:
+        self.name = self._next(_NAME_END, self.name, at)
+        return self.name[1]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("end", tag, "") and ("start", tag, attributes) of a page; what cannot be a tag is
+    text. The caller may send the place to go on from, after raw text."""
+    tags, at, n = _Tags(page), 0, len(page)
+    last_cdata = page.rfind("]]>")
+    while at < n:
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = n if stop < 0 else stop
+            yield "text", page[at:stop], ""
+            at = stop
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = n if stop < 0 else stop + 3
+        elif page.startswith("<![CDATA[", at) and last_cdata >= at + 9:
+            stop = page.find("]]>", at + 9)
+            yield "text", page[at + 9:stop].replace("&", "&amp;"), ""
+            at = stop + 3
+        elif page[at + 1:at + 2] in ("!", "?") and tags.last[">"] > at:
+            at = page.find(">", at) + 1
+        else:
+            closing = page.startswith("</", at)
+            begin = at + 1 + closing
+            first = page[begin:begin + 1]
+            stop = -1
+            if first.isascii() and first.isalpha() and tags.last[">"] > at:
+                name = tags.name_end(begin)
+                stop = tags.end(name)
+            if stop < 0:
+                yield "text", "<", ""
+                at += 1
+                continue
+            to = yield ("end" if closing else "start"), page[begin:name].lower(), page[name:stop]
+            at = stop + 1
+            if to:  # RAW: go on after the end tag of this element
+                close = re.compile(rf"</{re.escape(to)}\s*", re.I)
+                m = close.search(page, at) if tags.last[">"] > at else None
+                at = page.find(">", m.end()) + 1 if m and tags.last[">"] >= m.end() else n
+
+
 def parse(page: str) -> Node:
-    """A forgiving tree of a page: elements left open are closed by what follows or at the end."""
+    """A forgiving tree of a page: elements left open are closed by what follows or at the end. Its time grows
+    with the page alone, however malformed that is."""
     root = Node("#page", "#page", False, False)
-    stack = [root]
-    at = 0
-    while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        text = m[0]
-        if text[0] != "<" or text == "<":
-            stack[-1].children.append(text)
-            continue
-        if m[1] is not None:
-            stack[-1].children.append(m[1].replace("&", "&amp;"))
+    stack, open_ = [root], Counter()
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            open_[n.tag] -= 1
+        del stack[i:]
+
+    found, raw = tokens(page), None
+    while True:
+        try:
+            kind, tag, attributes = found.send(raw)
+        except StopIteration:
+            return root
+        raw = None
+        if kind == "text":
+            stack[-1].children.append(tag)
             continue
-        if not m[3]:
+        if kind == "end":
+            if open_[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
             continue
-        tag = m[3].lower()
-        if m[2]:
-            if tag in ("p", "br") and not any(n.tag == tag for n in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag in ENDS_P:
-            _close(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "table", "button"})
-        if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag], SCOPES[tag])
-        node = Node(tag, *_label(tag, m[4] or ""))
+        if tag in ENDS_P and open_["p"]:
+            cut(_closed(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "table", "button"}))
+        if tag in SIBLINGS and any(open_[t] for t in SIBLINGS[tag]):
+            cut(_closed(stack, SIBLINGS[tag], SCOPES[tag]))
+        node = Node(tag, *_label(tag, attributes))
         stack[-1].children.append(node)
         if tag in ("article", "main", "h1"):
             for n in reversed(stack):
@@ -109,25 +202,25 @@ def parse(page: str) -> Node:
                     break
                 n.holds = True
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
+            raw = tag
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
-    return root
+            open_[tag] += 1
 
 
-def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
+def _closed(stack: list[Node], tags: set[str], scope: set[str]) -> int:
+    """Where the stack is cut by a tag that closes one of `tags` within `scope`."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
-            return
+            return i
         if stack[i].tag in scope:
-            return
+            break
+    return len(stack)
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Tag with its class and id, whether it is never main text, and whether it names something around."""
-    names, hidden = [], False
+    names, hidden, named = [], False, False
     if attributes:
         for name, value in _NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -135,8 +228,12 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
                     name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif name in ("class", "id", "role"):
-                names += _WORDS.findall(_CAMEL.sub(" ", value).lower())
-    named = bool(AROUND & set(names)) and tag not in ("html", "body", "article", "main")
+                for one in value.split():
+                    parts = _WORDS.findall(_CAMEL.sub(" ", one).lower())
+                    names += parts
+                    # All of a name says what stands there: `site-header` is one, `share-price` is not.
+                    named |= bool(AROUND & set(parts)) and set(parts) <= AROUND | PLAIN
+    named &= tag not in ("html", "body", "article", "main")
     return " ".join([tag, *sorted(set(names))]), tag in ASIDE or hidden, named
 
 
@@ -151,6 +248,10 @@ def text_of(node: Node) -> str:
     return _SPACE.sub(" ", entities.unescape("".join(out))).strip()
 
 
+#: Levels of the folded tree.
+FOLDED = 24
+
+
 @dataclass
 class Slot:
     """A node of the folded tree: siblings with one label stand in one slot."""
@@ -163,9 +264,9 @@ class Slot:
 
 def fold(nodes: list[Node], label: str = "#page", depth: int = 0) -> Slot:
     """The tree with repeated siblings folded together, as rows of a list are. Inline elements and
-    what stands below depth 24 belong to the text of their parent."""
+    what stands below FOLDED levels belong to the text of their parent, so a text is in a digest at any depth."""
     groups: dict[str, list[Node]] = {}
-    if depth < 24:
+    if depth < FOLDED:
         for n in nodes:
             for c in n.children:
                 if not isinstance(c, str) and c.tag in _STRUCTURE:
@@ -176,7 +277,7 @@ def fold(nodes: list[Node], label: str = "#page", depth: int = 0) -> Slot:
         for c in n.children:
             if isinstance(c, str):
                 digest = zlib.crc32(c.strip().encode("utf-8", "replace"), digest)
-            elif c.tag not in _STRUCTURE and c.tag not in ASIDE:
+            elif (c.tag not in _STRUCTURE or depth >= FOLDED) and c.tag not in ASIDE:
                 digest = zlib.crc32(text_of(c).encode("utf-8", "replace"), digest)
     for c in slot.children:
         digest = zlib.crc32(c.digest.to_bytes(4, "little"), digest)
@@ -264,13 +365,32 @@ def content(page: Node, reference: list | None, constant: dict[int, int]) -> str
             if id(node) in fixed and not (slot.label.split()[0] in ("#page", "html", "body", "article", "main")):
                 template |= {id(n) for n in slot.nodes}
             stack += zip(slot.children, node[2], strict=True)
-    roots = _articles(page) or [page]
+    roots = _roots(page)
     blocks: list[str] = []
     for r in roots:
         _blocks(r, template, blocks)
     return "\n".join(blocks)
 
 
+#: An article that holds less than this share of a page's text is a teaser, and the page is its own article.
+TEASER = 0.2
+
+
+def _roots(page: Node) -> list[Node]:
+    """Where the article stands: in article or main elements, if they hold a fair share of the text."""
+    found = _articles(page)
+    if not found:
+        return [page]
+    inside, whole = ([len(b) for r in roots for b in _all_blocks(r)] for roots in (found, [page]))
+    return found if sum(inside) >= TEASER * sum(whole) else [page]
+
+
+def _all_blocks(root: Node) -> list[str]:
+    out: list[str] = []
+    _blocks(root, set(), out)
+    return out
+
+
 def _articles(page: Node) -> list[Node]:
     """The outermost article elements, else main, outside of what stands around an article."""
     for tag in ("article", "main"):

@@ -262,3 +262,70 @@ def test_pipeline_stages(spark):
     assert not ids & leaks
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), SF).collect()
+
+
+def pages_of(spark, htmls, host="h.example.com"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_deep_pages_keep_their_text(spark):
+    deep = lambda i, n: "<div>" * n + f"<p>Article number {i} of its own.</p>" + "</div>" * n
+    for n in (18, 26, 3000):
+        got = {r.page_id: r.text for r in html_extract.extract(pages_of(spark, [deep(i, n) for i in range(6)])).collect()}
+        assert got == {i: f"Article number {i} of its own." for i in range(6)}
+
+
+def test_template_decides_without_names(spark):
+    """Pages without article, main, telling names or telling elements: only the alignment tells slots from template."""
+    page = lambda i: ("<html><body><div class=alpha><p>Our house</p><p>Call us any day</p></div>"
+                      f"<div class=beta><h2>Title {i}</h2><p>Story {i} goes on for {i * 7} days.</p></div>"
+                      "<div class=gamma><p>All rights kept</p></div></body></html>")
+    got = {r.page_id: r.text for r in html_extract.extract(pages_of(spark, [page(i) for i in range(8)])).collect()}
+    assert got == {i: f"Title {i}\nStory {i} goes on for {i * 7} days." for i in range(8)}
+
+
+def plain_matching(a, b):
+    """Size of the largest matching that keeps parents and order, from its definition."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), plain_matching(x[0], y[0]) + best(x[1:], y[1:]))
+    return 1 + best(a[2], b[2])
+
+
+def test_alignment_matches_brute_force():
+    rng = random.Random(5)
+
+    def tree(n):
+        return [rng.choice("ab"), rng.randrange(3), [tree(n - 1) for _ in range(rng.randrange(4))] if n else []]
+    for _ in range(200):
+        a, b = ["r", 0, [tree(1) for _ in range(3)]], ["r", 0, [tree(1) for _ in range(3)]]
+        pairs = html_extract.align(a, b)
+        assert len(pairs) == plain_matching(a, b) and all(x[0] == y[0] for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+    began = time.time()
+    for piece, tail in (("<a ", ""), ("<a x ", '"'), ("<a \"' ", ">"), ("<![CDATA[", ""), ("<!--", ""), ("<a", ' "'), ("<p><span>", ""), ("<li><b>", "</b>"),
+                        ("<script>", "</script"), ("<span>", "</div>" * 20_000)):
+        html_extract.content(html_extract.parse(piece * 20_000 + tail), None, {})
+    assert time.time() - began < 40
+    text = lambda h: html_extract.content(html_extract.parse(h), None, {})
+    assert text("a <b title='x > y'>c</b> < d <e") == "a c < d <e"
+    assert text("<p>1<!-- x --><![CDATA[<&amp;]]><script>no</script >2<?pi?><!x>3") == "1<&amp;23"
+
+
+def test_names_inside_articles(spark):
+    kept = [f'<article><p>Before.</p><section class="{c}"><p>Kept text.</p></section></article>' for c in (
+        "search-results-explained", "survey-method", "share-price", "login-guide", "notice-board-history")]
+    gone = [f'<article><p>Before.</p><div class="{c}"><p>Gone.</p></div></article>' for c in (
+        "comments-area", "cookie-banner", "related posts", "socialShare", "newsletter-signup", "ad")]
+    assert {html_extract.content(html_extract.parse(h), None, {}) for h in kept} == {"Before.\nKept text."}
+    assert {html_extract.content(html_extract.parse(h), None, {}) for h in gone} == {"Before."}
+    teaser = "<body><p>" + "The whole story stands here. " * 20 + "</p><article>teaser</article></body>"
+    assert html_extract.content(html_extract.parse(teaser), None, {}).startswith("The whole story")
