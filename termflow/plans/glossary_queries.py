@@ -95,8 +95,8 @@ def edited_glossary(spark, d):
 
 
 @query("appended_terms", "W13", sql("""
-    select doc_id, 'term_' || lpad('' || (3*pos), 3, '0') term_id, source from doc_terms union all
-    select doc_id, 'term_' || lpad('' || (3*m + s), 3, '0'), 'added' || s from (select doc_id, max(pos) m from doc_terms group by 1), (values (1), (2)) v(s)""", "doc_terms"))
+    select doc_id, printf('term_%03d', 3*pos) term_id, source from doc_terms union all
+    select doc_id, printf('term_%03d', 3*m + s), 'added' || s from (select doc_id, max(pos) m from doc_terms group by 1), (values (1), (2)) v(s)""", "doc_terms"))
 def appended_terms(spark, d):
     t = doc_terms(spark, d).select("doc_id", F.format_string("term_%03d", F.col("pos") * 3).alias("term_id"), "source")
     new = t.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn(

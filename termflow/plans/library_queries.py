@@ -81,7 +81,7 @@ MERGED = f"""select t.doc_id, t.source, (length(lower(text)) - length(replace(lo
 
 
 @query("merged_glossary", "J4 J5 J7 F-MAP3 F-FLAG W12", sql(f"""
-    select doc_id, 'term_' || lpad(cast(row_number() over (partition by doc_id order by part, r1, r2, r3) as varchar), 3, '0') term_id,
+    select doc_id, printf('term_%03d', row_number() over (partition by doc_id order by part, r1, r2, r3)) term_id,
       source, cast(frequency as bigint) frequency, fr, de, es, strategy, confirmed, library_id,
       case when part < 2 and {MISSING('fr','de','es')} <> '' then 'MISSING_TRANSLATIONS:' || {MISSING('fr','de','es')}
            when differs then 'TRANSLATION_DIFFERS' else '' end note from merged""",
@@ -96,12 +96,12 @@ def merged_glossary(spark, d):
 def import_batch(spark, d):
     """Every extracted term as an import row: many documents bring the same term."""
     t = doc_terms(spark, d)
-    return t.select((F.col("doc_id") * 100 + F.col("pos")).alias("row_no"), (F.col("doc_id") % 5).alias("domain_id"),
+    return t.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("row_no"), (F.col("doc_id") % 5).alias("domain_id"),
                     F.concat(F.lit(" "), "source").alias("source"), language_map("t_fr", "t_de").alias("targets"),
                     "strategy", F.lit("").alias("ai_category"), F.col("lang").alias("context"))
 
 
-BATCH = "select doc_id*100+pos row_no, doc_id%5 domain_id, source, t_fr, t_de, strategy, lang context from doc_terms"
+BATCH = "select doc_id*1000000+pos row_no, doc_id%5 domain_id, source, t_fr, t_de, strategy, lang context from doc_terms"
 PRE = """select domain_id, source norm, arg_max(strategy, row_no) strategy, arg_max(context, row_no) context, count(*) n_rows, min(row_no) first_row,
     arg_max(t_fr, row_no) filter (t_fr <> '') fr, arg_max(t_de, row_no) filter (t_de <> '') de from batch group by all"""
 UPS = """select coalesce(l.domain_id, p.domain_id) domain_id, coalesce(l.norm, p.norm) norm, l.id, coalesce(p.strategy, l.strategy) strategy,

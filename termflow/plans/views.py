@@ -13,8 +13,8 @@ from .registry import table
 
 TARGET_LANGS = ["fr", "de", "es"]
 LIBRARY_COUNT = 50
-#: A word is a term of its document from this share of the document's words on, as 1 / TERM_SHARE.
-TERM_SHARE = 60
+#: A word is a term of its document if it stands there so many times, whatever the length of the document.
+TERM_COUNT = 2
 _LIBRARY: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -74,14 +74,12 @@ def library_long(spark, sf_dir):
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted terms: the words that make up at least 1 / TERM_SHARE of a document's words. So there are
-    TERM_SHARE of them at most, in a window of one document."""
+    """Extracted terms: the words that stand at least TERM_COUNT times in a document, most frequent first."""
     from pyspark.sql import Window
     words = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode_outer(
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("source")).where("source is not null")
     counts = words.groupBy("doc_id", "lang", "source").agg(F.count("*").alias("frequency"))
-    total = F.sum("frequency").over(Window.partitionBy("doc_id", "lang"))
-    top = counts.withColumn("_total", total).where(F.col("frequency") * TERM_SHARE >= F.col("_total")).withColumn(
+    top = counts.where(F.col("frequency") >= TERM_COUNT).withColumn(
         "pos", F.row_number().over(Window.partitionBy("doc_id", "lang").orderBy(F.desc("frequency"), "source")).cast("bigint"))
     p = F.col("pos")
     return top.select(
@@ -170,9 +168,9 @@ SQL = {
         cast(null as varchar) t_es,
         case when pos%5=0 then 'skip' when pos%5=1 then 'keep_original' else 'hard' end strategy, pos%3=0 confirmed
         from (select *, row_number() over (partition by doc_id order by frequency desc, source) pos from (
-              select *, sum(frequency) over (partition by doc_id) total from (select doc_id, lang, source, count(*) frequency from (
+              select doc_id, lang, source, count(*) frequency from (
                   select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) source from documents)
-              group by all)) where frequency * {TERM_SHARE} >= total)""",
+              group by all) where frequency >= {TERM_COUNT})""",
     "job_runs": """select l_orderkey job_id, l_linenumber, l_partkey, l_suppkey,
         (['de','es','fr','ja','ko','ru','zh-CN'])[l_linenumber % 7 + 1] target_lang,
         cast(l_quantity as bigint) segments_total,
