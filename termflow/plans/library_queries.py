@@ -192,15 +192,20 @@ def ensured_domains(spark, d):
     return ints(L.ensure_domains(nations(spark, d), names))
 
 
-@query("renamed_domains", "U7", "select cast(n_nationkey as bigint) domain_id, case when n_nationkey = 3 then 'New name' else n_name end as name from nation")
+def customer_domains(spark, d):
+    """A domain per customer, so their number grows with the tables."""
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("domain_id"), F.col("c_name").alias("name"))
+
+
+@query("renamed_domains", "U7", "select cast(c_custkey as bigint) domain_id, case when c_custkey = 3 then 'New name' else c_name end as name from customer")
 def renamed_domains(spark, d):
-    return ints(L.rename_domain(nations(spark, d), 3, " New name ").select("domain_id", "name"))
+    return ints(L.rename_domain(customer_domains(spark, d), 3, " New name ").select("domain_id", "name"))
 
 
-@query("seeded_domains", "SRC18", "select n_name as name from nation union all select unnest(['%s'])" % "','".join(
+@query("seeded_domains", "SRC18", "select c_name as name from customer union all select unnest(['%s'])" % "','".join(
     __import__("termflow.functions.constants", fromlist=["DOMAINS"]).DOMAINS))
 def seeded_domains(spark, d):
-    return L.default_domains(L.default_domains(nations(spark, d))).select("name")
+    return L.default_domains(L.default_domains(customer_domains(spark, d))).select("name")
 
 
 @query("domain_sizes", "J9 A3", sql("""

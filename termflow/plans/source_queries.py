@@ -290,27 +290,31 @@ def draft_and_final(spark, d):
         F.count_if(F.col("best_text") != F.col("draft_text")).alias("differing"))
 
 
-@query("stored_runs", "SRC16", """
-    select 'run' || lpad('' || n_nationkey, 3, '0') run_id, n_nationkey * 1.5::double average_overall from nation where n_nationkey % 4 <> 1""")
+RUNS = "select printf('run%07d', s_suppkey) run_id, cast(s_suppkey % 200 as double) / 2 average_overall from supplier where s_suppkey % 4 <> 1"
+
+
+def run_rows(spark, d, broken, between):
+    """A run per supplier as JSON text; every fourth is broken."""
+    k = F.col("s_suppkey")
+    run = F.to_json(F.struct(F.format_string("run%07d", k).alias("run_id"), (k % 200 / 2).alias("average_overall")))
+    return table(spark, d, "supplier").select(k, F.when(k % 4 == 1, F.lit(broken)).otherwise(F.replace(run, F.lit(","), F.lit(between))).alias("value"))
+
+
+@query("stored_runs", "SRC16", RUNS)
 def stored_runs(spark, d):
-    n = table(spark, d, "nation")
-    k = F.col("n_nationkey")
-    row = F.when(k % 4 == 1, F.lit('{"run_id": broken')).otherwise(F.to_json(F.struct(F.format_string("run%03d", k).alias("run_id"), (k * 1.5).alias("average_overall"))))
     path = new_path(spark, "runs")
-    n.select(row.alias("value")).write.text(path)
+    run_rows(spark, d, '{"run_id": broken', ",").select("value").write.text(path)
     runs, _ = R.eval_runs(spark, path, one_per_file=False)
     return runs.select("run_id", "average_overall")
 
 
-@query("run_files", "SRC16", "select 'run' || lpad('' || n_nationkey, 3, '0') run_id, n_nationkey * 1.5::double average_overall from nation where n_nationkey % 4 <> 1")
+@query("run_files", "SRC16", RUNS)
 def run_files(spark, d):
     """One file per run, over several lines; broken files are left out."""
-    k = F.col("n_nationkey")
-    row = F.when(k % 4 == 1, F.lit('{"run_id":\n broken')).otherwise(F.replace(F.to_json(F.struct(
-        F.format_string("run%03d", k).alias("run_id"), (k * 1.5).alias("average_overall"))), F.lit(","), F.lit(",\n")))
     path = new_path(spark, "runs")
-    table(spark, d, "nation").select(k, row.alias("value")).repartitionByRange(25, k).write.partitionBy("n_nationkey").text(path)
-    runs, _ = R.eval_runs(spark, f"{path}/*/*")
+    rows = run_rows(spark, d, '{"run_id":\n broken', ",\n")
+    E.write_named(rows.select(F.concat("s_suppkey", F.lit(".json")).alias("name"), F.col("value").alias("content")), path)
+    runs, _ = R.eval_runs(spark, path)
     return runs.select("run_id", "average_overall")
 
 
