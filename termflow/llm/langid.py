@@ -167,7 +167,7 @@ def _spans(text: str) -> list[str]:
 
 def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int = 3, seed: int = 5) -> Crf:
     """Fit on at most `rows` documents of each lang among the rows for which `usable` holds; of rows with
-    one id and lang, the smallest text.
+    one id and lang, the spans that come first.
 
     Every language is learned; the driver holds 2 MB of weights and gradients for each. Spans of the sample are strung together in random order, so chains switch languages as texts do;
     weights, start and transitions follow the gradient of the conditional likelihood.
@@ -190,8 +190,8 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, epochs: int =
         return column.map(_spans)
 
     sample = (known.join(F.broadcast(picks.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
-              .groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-              .select("lang", "doc_id", spans("text").alias("spans")).orderBy("doc_id", "lang").toPandas())
+              .select("lang", "doc_id", spans("text").alias("spans"))
+              .groupBy("lang", "doc_id").agg(F.min("spans").alias("spans")).orderBy("doc_id", "lang").toPandas())
     languages = top
     label = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
@@ -265,7 +265,7 @@ def label_texts(texts: list[str | None], crf: Crf) -> tuple[list[str], np.ndarra
     k = len(crf.languages)
     total, count = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
     if k:
-        for w in words(texts, digits=False, size=max(1 << 14, SLICE * FEW // max(FEW, k))):
+        for w in words(texts, digits=False, size=max(1 << 14, SLICE // 2 * FEW // max(FEW, k))):
             if not len(w.start):
                 continue
             place = np.arange(len(w.text)) - np.searchsorted(w.text, w.text, "left")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 ORDERS = (3, 4, 5, 6)
 BITS = 21
 #: Bound of the labelled sample that the model is fitted on, in rows.
@@ -93,8 +95,9 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int) -> Da
     ids = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(usable)
            .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     chosen = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y"))
+    return written(once, "labelled-sample")
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
