@@ -27,14 +27,19 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_all()
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    seconds = {}
+    seconds, failed = {}, {}
     for name in sys.argv[1:] or HEADLINE:
         t = time.time()
-        queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            queries[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # the other queries are still timed
+            failed[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            print(name, failed[name], file=sys.stderr, flush=True)
+            continue
         seconds[name] = round(time.time() - t, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total query time", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                      "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+                      "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), **({"failed": failed} if failed else {})}))
 
 
 if __name__ == "__main__":

@@ -60,6 +60,7 @@ ACRONYM_STOP_LIST = [
 # Languages written with Han, kana or hangul.
 CJK_LANGUAGES = ["zh-CN", "zh-TW", "zh", "ja", "ko"]
 
+# Categories of a term.
 AI_CATEGORIES = ["proper_noun", "person", "place", "brand", "domain_term", "ambiguous"]
 
 # Language display names by lower-case code.
@@ -70,30 +71,30 @@ LANGUAGE_NAMES_EN = {
     "de": "German", "es": "Spanish", "pt": "Portuguese", "ru": "Russian",
 }
 
-# JSON keys whose values are not prose.
+# JSON keys whose values are not prose.
 JSON_SKIP_KEYS = [
     "url", "href", "src", "id", "uuid", "guid", "key", "name", "version", "color",
     "colour", "type", "format", "icon", "class", "className", "style", "lang", "locale",
     "currency", "email", "phone", "date", "time", "timestamp",
 ]
 
-# XML attributes that carry prose.
+# XML attributes that carry prose.
 XML_TEXT_ATTRS = ["label", "title", "placeholder", "alt", "aria-label", "content", "description"]
 XML_SKIP_TAGS = ["script", "style", "code", "pre"]
 
-# HTML elements by role.
+# HTML elements by role.
 HTML_BLOCK_TAGS = ["p", "li", "td", "th", "button", "a", "label", "figcaption", "caption", "dt", "dd"]
 HTML_HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 HTML_SKIP_TAGS = ["script", "style", "code", "pre", "svg", "math"]
 HTML_TEXT_ATTRS = ["alt", "placeholder", "title"]
 
-# Run and job lifecycle, in order.
+# Run and job lifecycle, in order.
 STATUSES = ["queued", "pending", "parsing", "terminology", "awaiting_glossary_review",
             "translating", "reviewing", "rebuilding", "done", "error", "cancelled"]
 TERMINAL_STATUSES = ["done", "error", "cancelled"]
 ACTIVE_RUN_STATUSES = ["pending", "queued", "translating", "reviewing", "rebuilding"]
 
-# Segment limits by file type.
+# Segment limits by file type.
 SEGMENT_TOKENS = {
     "default": 2600, "pptx": 5200, "docx": 3800, "doc": 3800, "srt": 2200, "vtt": 2200,
     "ass": 2200, "md": 3000, "json": 2800, "yaml": 2800, "yml": 2800, "po": 2200,
@@ -112,7 +113,7 @@ OVERFLOW_RATIO = 1.5
 FONT_RATIO = 1.4
 FONT_FLOOR = 8.0
 
-# File extension -> reader.
+# File extension -> reader.
 READER_BY_EXTENSION = {
     ".pptx": "pptx", ".docx": "docx", ".doc": "docx", ".srt": "srt", ".vtt": "vtt",
     ".ass": "ass", ".md": "md", ".json": "json", ".yaml": "yaml", ".yml": "yaml",
@@ -124,7 +125,7 @@ READER_BY_EXTENSION = {
 WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
-# Patterns (Java regex syntax).
+# Patterns (Java regex syntax).
 WORD = r"[^\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 WIDE_CHAR = r"[\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}]"
 HAN_CHAR = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]"
