@@ -52,6 +52,8 @@ PLAIN = set("a an and area bar block bottom box btn button buttons by center col
             "secondary section sec site slot sticky sub text the top ui unit upper view widgets wp wrap wrapper x".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+WINDOW = 2048
 _SPECIAL = re.compile(r"[>\"']")
 _NAME_END = re.compile(r"[\s/>]")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -122,68 +124,56 @@ class _Tags:
         return self.name[1]
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("end", tag, "") and ("start", tag, attributes) of a page; what cannot be a tag is
-    text. The caller may send the place to go on from, after raw text."""
+def parse(page: str) -> Node:
+    """A forgiving tree of a page: elements left open are closed by what follows or at the end; what cannot be a
+    tag is text. Its time grows with the page alone, however malformed that is: common tags are matched
+    within WINDOW characters, others are found by _Tags."""
+    root = Node("#page", "#page", False, False)
+    stack, open_ = [root], Counter()
     tags, at, n = _Tags(page), 0, len(page)
-    last_cdata = page.rfind("]]>")
+    last_end, last_cdata = tags.last[">"], page.rfind("]]>")
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            open_[x.tag] -= 1
+        del stack[i:]
+
     while at < n:
         if page[at] != "<":
             stop = page.find("<", at)
             stop = n if stop < 0 else stop
-            yield "text", page[at:stop], ""
+            stack[-1].children.append(page[at:stop])
             at = stop
-        elif page.startswith("<!--", at):
-            stop = page.find("-->", at + 4)
-            at = n if stop < 0 else stop + 3
-        elif page.startswith("<![CDATA[", at) and last_cdata >= at + 9:
-            stop = page.find("]]>", at + 9)
-            yield "text", page[at + 9:stop].replace("&", "&amp;"), ""
-            at = stop + 3
-        elif page[at + 1:at + 2] in ("!", "?") and tags.last[">"] > at:
-            at = page.find(">", at) + 1
+            continue
+        m = _TAG.match(page, at, at + WINDOW)
+        if m:
+            closing, tag, attributes = m[1], m[2].lower(), m[3]
+            at = m.end()
         else:
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                at = n if stop < 0 else stop + 3
+                continue
+            if page.startswith("<![CDATA[", at) and last_cdata >= at + 9:
+                stop = page.find("]]>", at + 9)
+                stack[-1].children.append(page[at + 9:stop].replace("&", "&amp;"))
+                at = stop + 3
+                continue
+            if page[at + 1:at + 2] in ("!", "?") and last_end > at:
+                at = page.find(">", at) + 1
+                continue
             closing = page.startswith("</", at)
             begin = at + 1 + closing
-            first = page[begin:begin + 1]
-            stop = -1
-            if first.isascii() and first.isalpha() and tags.last[">"] > at:
+            first, stop = page[begin:begin + 1], -1
+            if first.isascii() and first.isalpha() and last_end > at:
                 name = tags.name_end(begin)
                 stop = tags.end(name)
             if stop < 0:
-                yield "text", "<", ""
+                stack[-1].children.append("<")
                 at += 1
                 continue
-            to = yield ("end" if closing else "start"), page[begin:name].lower(), page[name:stop]
-            at = stop + 1
-            if to:  # RAW: go on after the end tag of this element
-                close = re.compile(rf"</{re.escape(to)}\s*", re.I)
-                m = close.search(page, at) if tags.last[">"] > at else None
-                at = page.find(">", m.end()) + 1 if m and tags.last[">"] >= m.end() else n
-
-
-def parse(page: str) -> Node:
-    """A forgiving tree of a page: elements left open are closed by what follows or at the end. Its time grows
-    with the page alone, however malformed that is."""
-    root = Node("#page", "#page", False, False)
-    stack, open_ = [root], Counter()
-
-    def cut(i: int) -> None:
-        for n in stack[i:]:
-            open_[n.tag] -= 1
-        del stack[i:]
-
-    found, raw = tokens(page), None
-    while True:
-        try:
-            kind, tag, attributes = found.send(raw)
-        except StopIteration:
-            return root
-        raw = None
-        if kind == "text":
-            stack[-1].children.append(tag)
-            continue
-        if kind == "end":
+            tag, attributes, at = page[begin:name].lower(), page[name:stop], stop + 1
+        if closing:
             if open_[tag]:
                 i = len(stack) - 1
                 while stack[i].tag != tag:
@@ -194,18 +184,20 @@ def parse(page: str) -> Node:
             cut(_closed(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "table", "button"}))
         if tag in SIBLINGS and any(open_[t] for t in SIBLINGS[tag]):
             cut(_closed(stack, SIBLINGS[tag], SCOPES[tag]))
-        node = Node(tag, *_label(tag, attributes))
+        node = Node(tag, *(_label(tag, attributes) if attributes else (tag, tag in ASIDE, False)))
         stack[-1].children.append(node)
         if tag in ("article", "main", "h1"):
-            for n in reversed(stack):
-                if n.holds:
+            for x in reversed(stack):
+                if x.holds:
                     break
-                n.holds = True
-        if tag in RAW:
-            raw = tag
+                x.holds = True
+        if tag in RAW:  # go on after its end tag
+            m = re.compile(rf"</{re.escape(tag)}\s*", re.I).search(page, at) if last_end > at else None
+            at = page.find(">", m.end()) + 1 if m and last_end >= m.end() else n
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
             open_[tag] += 1
+    return root
 
 
 def _closed(stack: list[Node], tags: set[str], scope: set[str]) -> int:
@@ -381,14 +373,19 @@ def _roots(page: Node) -> list[Node]:
     found = _articles(page)
     if not found:
         return [page]
-    inside, whole = ([len(b) for r in roots for b in _all_blocks(r)] for roots in (found, [page]))
-    return found if sum(inside) >= TEASER * sum(whole) else [page]
+    return found if sum(map(_letters, found)) >= TEASER * _letters(page) else [page]
 
 
-def _all_blocks(root: Node) -> list[str]:
-    out: list[str] = []
-    _blocks(root, set(), out)
-    return out
+def _letters(root: Node) -> int:
+    """Characters of text that does not stand around an article."""
+    n, stack = 0, [root]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                n += len(c)
+            elif not c.around:
+                stack.append(c)
+    return n
 
 
 def _articles(page: Node) -> list[Node]:
