@@ -329,3 +329,17 @@ def test_names_inside_articles(spark):
     assert {html_extract.content(html_extract.parse(h), None, {}) for h in gone} == {"Before."}
     teaser = "<body><p>" + "The whole story stands here. " * 20 + "</p><article>teaser</article></body>"
     assert html_extract.content(html_extract.parse(teaser), None, {}).startswith("The whole story")
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    words = "the house stands near river and people walk there every day with their dogs".split()
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), "en", "s", 1, f"p{i}", f"s{i}", "r", "d") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (99, rows[0][1], "en", "s", 1, "p", "s", "r", "d")],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _p string, _s string, _row string, _doc string")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage, kept in ((corpus_pipeline.language, 31), (corpus_pipeline.not_toxic, None), (corpus_pipeline.one_of_each_group, 30)):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = {tuple(r) for r in out.collect()}
+        assert found <= {tuple(r) for r in docs.collect()} and (kept is None or len(found) == kept)
