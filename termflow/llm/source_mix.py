@@ -51,15 +51,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     base = written(place.withColumn("weight", weight).withColumn("most", F.col("source_size") * repeats), "mix-sources")
     whole, total_weight = base.agg(F.sum("source_size"), F.sum("weight")).first()
     rest, shared, above = whole or 0, total_weight or 0, None
+    exact = lambda c: c.cast("decimal(19,0)")  # products of sums and weights may be longer than a long
+
+    def is_full() -> Column:
+        return exact(F.col("most")) * exact(F.lit(shared)) <= exact(F.lit(rest)) * exact(F.col("weight"))
     while shared:
-        full = F.col("most") * shared <= F.lit(rest) * F.col("weight")
+        full = is_full()
         n, filled, freed = base.agg(*[F.coalesce(F.sum(F.when(full, c)), F.lit(0)) for c in (F.lit(1), F.col("most"), F.col("weight"))]).first()
         if n == above:
             break
         above, rest, shared = n, whole - filled, total_weight - freed
     part = F.lit(float(rest)) * F.col("weight") / F.lit(float(shared or 1))
-    full = F.col("most") * shared <= F.lit(rest) * F.col("weight")
-    return base.withColumn("target", F.when(full, F.col("most").cast("double")).otherwise(part)).drop("place", "weight", "most")
+    return base.withColumn("target", F.when(is_full(), F.col("most").cast("double")).otherwise(part)).drop("place", "weight", "most")
 
 
 def flight(fractions: list[float], sizes: list[int], draw, last: bool) -> list[float]:

@@ -82,6 +82,13 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_targets_of_very_large_sources(spark):
+    sizes = [10 ** 15, 4, 10 ** 9, 3 * 10 ** 14, 0] * 12
+    rows = spark.createDataFrame([(False, f"s{i:03d}", n) for i, n in enumerate(sizes)], "missing boolean, source string, source_size long")
+    got = [r.target for r in source_mix.targets(rows, (5 * 10 ** 4, 2, 1)).orderBy("source").collect()]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, plain_targets(sizes, (5 * 10 ** 4, 2, 1), 3), strict=True))
+
+
 def test_mix_edges(spark):
     assert mixed(spark, []) == []
     assert [tuple(r) for r in mixed(spark, [(1, None, None, None, None)])] == [(1, 0, 0, 0.0, 0)]
