@@ -60,7 +60,7 @@ def tiles(vectors: DataFrame, n: int) -> DataFrame:
     """Vectors with the number of their tile: slabs of the first coordinate, in each of them ranges of
     the second; vectors of different length never share a box. Ranges are cut by Spark and stored with
     the rows, so a rebuilt task sees the same tiles; neighbouring ranges are one tile up to about TILE
-    vectors, however many partitions there are."""
+    vectors, all tiles of about one size, however many partitions there are."""
     count = max(1, math.ceil(n / TILE))
     slabs = math.ceil(math.sqrt(count))
 
@@ -75,7 +75,7 @@ def tiles(vectors: DataFrame, n: int) -> DataFrame:
                     .withColumn("range", F.spark_partition_id()), "rtree-ranges")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     numbers = dealt.groupBy("range").agg(F.count("*").alias("n")).select(
-        "range", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / TILE).cast("int").alias("tile"))
+        "range", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / math.ceil(max(n, 1) / count)).cast("int").alias("tile"))
     return dealt.join(numbers, "range").select("tile", "size", "vec_id", "label", "vector")
 
 
