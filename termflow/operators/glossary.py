@@ -177,12 +177,16 @@ def confirm(terms: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
 
 def apply_edits(terms: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (doc_id, pos, action, strategy, targets, save): `set` patches, `remove` deletes.
-    Set targets replace a language even with an empty text."""
-    e = edits.select("doc_id", "pos", "action", F.col("strategy").alias("_s"), F.col("targets").alias("_t"), F.col("save").alias("_v"))
-    j = terms.join(e, ["doc_id", "pos"], "left").where("coalesce(action, '') <> 'remove'")
-    return (j.withColumn("strategy", F.coalesce("_s", "strategy"))
-            .withColumn("targets", M.prefer_right(F.col("targets"), F.col("_t")))
-            .withColumn("save", F.coalesce("_v", "save")).drop("action", "_s", "_t", "_v"))
+    Set targets replace a language even with an empty text.
+
+    The edits of a document come from one save and travel to its terms as one array, so terms that are
+    dealt out by document stay where they are."""
+    e = edits.where("pos is not null").groupBy("doc_id").agg(F.collect_list(
+        F.struct("pos", "action", "strategy", "targets", "save")).alias("_edits"))
+    j = terms.join(e, "doc_id", "left").withColumn("_e", F.explode_outer(F.filter("_edits", lambda x: x["pos"] == F.col("pos"))))
+    return (j.where("coalesce(_e.action, '') <> 'remove'").withColumn("strategy", F.coalesce("_e.strategy", "strategy"))
+            .withColumn("targets", M.prefer_right(F.col("targets"), F.col("_e.targets")))
+            .withColumn("save", F.coalesce("_e.save", "save")).drop("_edits", "_e"))
 
 
 def append_terms(terms: DataFrame, added: DataFrame) -> DataFrame:

@@ -516,3 +516,41 @@ def test_held_and_joined_search_agree(spark, monkeypatch):
     monkeypatch.setattr(MT, "HELD_BYTES", -1)
     joined = sorted(tuple(r) for r in MT.term_hits(blocks, terms).select("doc_id", "block_no", "term", "n", "bounded").collect())
     assert held == joined and len(held) > 500
+
+
+def documents_at(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name, rows", [("constraint_texts", 1), ("glossary_summary", 1), ("edited_glossary", 6),
+                                        ("modified_library_terms", 2), ("glossary_review_list", 4), ("glossary_texts", 1)])
+def test_words_that_stand_once_are_in_the_glossary(spark, tmp_path, name, rows):
+    from termflow.plans import load_all
+    words = "alpha bravo charlie delta echo foxtrot golf"
+    d = documents_at(spark, tmp_path, [(1, words, "en", "a", 0), (7, "\n".join(w for w in words.split() for _ in range(60)), "en", "a", 0)])
+    assert load_all()[name].run(spark, d).where("doc_id = 1").count() == rows
+
+
+def test_edits_of_a_document_meet_its_terms(spark):
+    t = spark.createDataFrame([(d, p, "hard", {"fr": "x"}, False) for d in (1, 2) for p in (1, 2, 3)],
+                              "doc_id long, pos long, strategy string, targets map<string,string>, save boolean")
+    e = spark.createDataFrame([(1, 1, "set", "skip", {"fr": ""}, None), (1, 3, "remove", None, None, None), (2, 2, "set", None, None, True)],
+                              "doc_id long, pos long, action string, strategy string, targets map<string,string>, save boolean")
+    got = {(r.doc_id, r.pos): (r.strategy, r.targets["fr"], r.save) for r in G.apply_edits(t, e).collect()}
+    assert got == {(1, 1): ("skip", "", False), (1, 2): ("hard", "x", False), (2, 1): ("hard", "x", False),
+                   (2, 2): ("hard", "x", True), (2, 3): ("hard", "x", False)}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_occurrences_are_those_of_every_term_alone(monkeypatch, few):
+    monkeypatch.setattr(T, "FEW_CHARACTERS", few)
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice("aabé \n\t") for _ in range(60))
+        terms = ["".join(rng.choice("aabé ") for _ in range(rng.randint(0, 4))) for _ in range(12)] + [None]
+        assert T._occurrences(text, terms) == [None if t is None else text.count(t) if t else 0 for t in terms]
+    # One term at a time would read a hundred million characters here.
+    words = [f"w{i:x}" for i in range(3000)]
+    assert T._occurrences(" ".join(words * 2), words) == [sum(o.count(w) for o in words) * 2 for w in words]
+    assert T._occurrences(None, ["a", ""]) == [None, 0]
