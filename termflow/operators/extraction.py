@@ -14,15 +14,14 @@ def count_in_own_document(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """Frequency of every extracted term in its own document.
 
     The terms of a document come from one reply, so they travel as one array to the text and
-    the text is read once.
+    the text is read once, whatever their number.
     """
     cols = [c for c in terms.columns if c != "doc_id"]
     packed = terms.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("terms"))
+    n = T.occurrences_in_text(F.col("_text"), F.transform("terms", lambda t: F.lower(t["source"])))
     counted = packed.join(docs.select("doc_id", F.lower("text").alias("_text")), "doc_id").select(
-        "doc_id", F.explode(F.transform("terms", lambda t: F.struct(
-            *[t[c].alias(c) for c in cols if c != "frequency"],
-            T.count_occurrences(F.col("_text"), F.lower(t["source"])).alias("frequency")))).alias("t"))
-    return counted.select("doc_id", "t.*")
+        "doc_id", "terms", n.alias("_n")).select("doc_id", F.explode_outer(F.arrays_zip("terms", "_n")).alias("t"))
+    return counted.select("doc_id", *[F.col(f"t.terms.{c}").alias(c) for c in cols if c != "frequency"], F.col("t._n").alias("frequency"))
 
 
 def clean_terms(terms: DataFrame, languages: Column) -> DataFrame:
