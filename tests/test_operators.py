@@ -554,3 +554,30 @@ def test_occurrences_are_those_of_every_term_alone(monkeypatch, few):
     words = [f"w{i:x}" for i in range(3000)]
     assert T._occurrences(" ".join(words * 2), words) == [sum(o.count(w) for o in words) * 2 for w in words]
     assert T._occurrences(None, ["a", ""]) == [None, 0]
+
+
+def test_term_search_by_tokens_is_that_of_whole_texts():
+    rng = random.Random(9)
+    bits = ["na", "banana", "é", "a", "İ".lower(), "a_", "-", "ß", "中文", "\t", "x1", "", "ná"]
+    for _ in range(150):
+        texts = [" ".join("".join(rng.choices(bits, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 12))) for _ in range(6)] + [None, ""]
+        terms = sorted({rng.choice(["", "A"]) + " ".join("".join(rng.choices(bits, k=rng.randint(1, 2))) for _ in range(rng.choice([1, 1, 2, 2, 3])))
+                        for _ in range(25)} - {""})
+        pairs = [(t, t.lower()) for t in terms if t.strip()]
+        want = sorted(zip(*(x.tolist() for x in MT.FlatTerms(pairs).search(texts))))
+        search = MT.TokenTerms(pairs)
+        search.BATCH = rng.choice([1, 40, 1 << 21])
+        assert sorted(x for part in search.search(texts) for x in zip(*(y.tolist() for y in part))) == want
+
+
+def test_words_of_the_library_are_added_up_over_parts(monkeypatch):
+    import pyarrow as pa
+    from termflow.plans import views as V
+    monkeypatch.setattr(V, "HELD_GRAMS", 2)
+    texts = ["one two three four"] * 600 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([None] * 602, pa.string()), pa.array(texts)], ["lang", "t"])
+    n = {}
+    for b in V._gram_counts(iter([batch, batch])):
+        for r in b.to_pylist():
+            n[(r["cls"], r["tok"])] = n.get((r["cls"], r["tok"]), 0) + r["n"]
+    assert n == {(1, w): 1200 for w in "one two three four".split()} | {(2, p): 1200 for p in ("one two", "three four")}
