@@ -3,6 +3,11 @@ given tables by Spark, and the same definitions as SQL fragments for cross-check
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +33,35 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", "lang", F.posexplode_outer("lines").alias("block_no", "source_text"))
 
 
+#: Different words and pairs that a task counts before it passes them on.
+HELD_GRAMS = 300_000
+GRAMS = [(1, re.compile("[a-z]{3,}")), (2, re.compile("[a-z]{3,} [a-z]{3,}"))]
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words (1) and pairs of words (2) of texts, for Spark to add up."""
+    held: dict[tuple, Counter] = {}
+
+    def passed():
+        for (lang, cls), n in held.items():
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(n), pa.string()), pa.array([cls] * len(n), pa.int32()), pa.array(list(n), pa.string()),
+                pa.array(list(n.values()), pa.int64())], ["lang", "cls", "tok", "n"])
+        held.clear()
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            for lang, text in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1)), strict=True):
+                for cls, pattern in GRAMS if text else ():
+                    held.setdefault((lang, cls), Counter()).update(pattern.findall(text))
+            if sum(map(len, held.values())) > HELD_GRAMS:
+                yield from passed()
+    yield from passed()
+
+
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("t"))
-    grams = lambda p, c: F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)),
-                                     lambda x: F.struct(F.lit(c).alias("cls"), x.alias("tok")))
-    counts = (d.select("lang", F.explode_outer(F.concat(grams("[a-z]{3,}", 1), grams("[a-z]{3,} [a-z]{3,}", 2))).alias("g")).where("g is not null")
-              .groupBy("lang", "g.cls", "g.tok").agg(F.count("*").alias("n")).where(F.col("n") >= LIBRARY_COUNT))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").cast("string"), F.lower("text").alias("t"))
+    counts = (d.mapInArrow(_gram_counts, "lang string, cls int, tok string, n bigint")
+              .groupBy("lang", "cls", "tok").agg(F.sum("n").alias("n")).where(F.col("n") >= LIBRARY_COUNT))
     order = [F.col("lang").asc_nulls_first(), F.col("cls"), F.desc("n"), F.col("tok")]
     placed = global_rank(counts, order, "place")
     first = placed.groupBy("lang", "cls").agg(F.min("place").alias("first"))  # one row per language and class
