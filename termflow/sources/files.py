@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..session import new_path, settings, written
+
+#: What opening a file counts for, in bytes, when files are dealt out to tasks. Spark's own value (4 MB) makes a task
+#: of every 32 files, however small they are.
+OPEN_COST = 64 * 1024
 
 
 def reader_of(path: Column) -> Column:
@@ -22,10 +27,15 @@ def check_files(files: DataFrame, max_bytes: int = K.MAX_FILE_BYTES) -> DataFram
 
 
 def scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files under a folder. Contents are read only where a query uses them."""
+    """(accepted, rejected) files under a folder. Every accepted file is opened once and stored by its reader,
+    however many readers follow; contents of rejected files are not stored, those of too large ones not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    checked = check_files(files)
-    return checked.where("verdict = 'ok'"), checked.where("verdict <> 'ok'").drop("content")
+    path = new_path(spark, "accepted")
+    with settings(spark, {"spark.sql.files.openCostInBytes": str(OPEN_COST)}):
+        rejected = written(check_files(files).where("verdict <> 'ok'").drop("content"), "rejected")
+        accepted = check_files(files.where(F.col("length") <= K.MAX_FILE_BYTES)).where("verdict = 'ok'")
+        accepted.write.partitionBy("reader").option("parquet.block.size.row.check.min", 1).parquet(path)
+    return spark.read.schema(accepted.schema).parquet(path), rejected
 
 
 def decoded(files: DataFrame) -> DataFrame:

@@ -187,6 +187,17 @@ def test_file_scan(spark, tmp_path):
     assert [r.verdict for r in bad.collect()] == ["unsupported"]
 
 
+def test_scanned_files_are_opened_once(spark, tmp_path):
+    from termflow.sources.files import documents, scan
+    for i in range(300):
+        (tmp_path / f"{i}.{'txt' if i % 2 else 'md'}").write_text(f"text {i}")
+    good, bad = scan(spark, str(tmp_path))
+    for f in tmp_path.iterdir():
+        f.unlink()
+    assert good.rdd.getNumPartitions() <= 16
+    assert {r.text for k in ("txt", "md") for r in documents(good, k).collect()} == {f"text {i}" for i in range(300)} and bad.count() == 0
+
+
 def test_terms_across_window_borders(spark):
     """A term of 600 and one of 3,000 characters inside tokens that are cut into windows."""
     short, long = "".join(chr(0x4E00 + i * 7 % 900) for i in range(600)), "".join(chr(0x5E00 + i * 11 % 2000) for i in range(3000))
