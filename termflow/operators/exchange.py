@@ -17,7 +17,10 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..session import written
+from ..session import settings, written
+
+#: Rows and bytes that a model is asked at once. A worker holds a batch several times over, as Arrow, as requests and as replies.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 Model = Callable[[pd.DataFrame], pd.Series]
 
@@ -84,7 +87,7 @@ def missing_blocks(read: DataFrame) -> DataFrame:
 
 def call_model(requests: DataFrame, model: Model, needs: list[str]) -> DataFrame:
     """Add `reply` by sending batches of the needed columns to a model function. The other columns
-    stay in the JVM."""
+    stay in the JVM. Whoever stores the replies does so under the settings `BATCH`."""
     @F.pandas_udf(StringType())
     def ask(rows: pd.DataFrame) -> pd.Series:
         return model(rows)
@@ -106,7 +109,8 @@ def translate(segments: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     def ask(rows, attempt):
         sent = rows.withColumn("payload", payload(F.col("blocks"))).withColumn("attempt", F.lit(attempt))
         replied = call_model(sent, model, ["doc_id", "segment_no", "payload", "attempt"])
-        read = written(read_replies(replied).select("doc_id", "segment_no", "blocks", "parsed", "complete"), "replies")
+        with settings(rows.sparkSession, BATCH):
+            read = written(read_replies(replied).select("doc_id", "segment_no", "blocks", "parsed", "complete"), "replies")
         return (read.where("complete").withColumn("pass", F.lit(attempt)),
                 read.where("not complete").select("doc_id", "segment_no", "blocks"))
 
@@ -154,7 +158,9 @@ def answer(requests: DataFrame, cache: DataFrame, model: Model, key_cols: list[s
     """
     keyed = requests.withColumn("request_key", T.request_key(*key_cols))
     distinct = keyed.groupBy("request_key").agg(F.min(F.struct(*key_cols)).alias("q")).select("request_key", "q.*")
-    new = written(call_model(distinct.join(cache, "request_key", "left_anti"), model, key_cols), "cache").select("request_key", "reply")
+    replied = call_model(distinct.join(cache, "request_key", "left_anti"), model, key_cols).select("request_key", "reply")
+    with settings(requests.sparkSession, BATCH):
+        new = written(replied, "cache")
     known = cache.select("request_key", "reply", F.lit(True).alias("hit")).unionByName(new.withColumn("hit", F.lit(False)))
     return _join_copies(keyed, known), new
 
