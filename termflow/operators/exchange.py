@@ -18,9 +18,12 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..functions import constants as K
 from ..functions import text as T
 from ..session import settings, written
+from ..skew import SALTS, fits_broadcast
 
 #: Rows and bytes that a model is asked at once. A worker holds a batch several times over, as Arrow, as requests and as replies.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Copies of a request from which they are spread over tasks.
+HOT = 10_000
 
 Model = Callable[[pd.DataFrame], pd.Series]
 
@@ -166,9 +169,16 @@ def answer(requests: DataFrame, cache: DataFrame, model: Model, key_cols: list[s
 
 
 def _join_copies(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    from ..skew import salted_join
-    spread = [c for c in keyed.columns if c != "request_key"]
-    return salted_join(keyed, known, ["request_key"], spread)
+    """Replies put on their requests. Most requests stand alone, so a reply is repeated for other tasks only
+    where its request has HOT copies or more."""
+    if fits_broadcast(known):
+        return keyed.join(F.broadcast(known), "request_key")
+    hot = F.broadcast(keyed.groupBy("request_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select(
+        "request_key", F.lit(SALTS).alias("_salts")))
+    spread = F.xxhash64(*[c for c in keyed.columns if c != "request_key"])
+    left = keyed.join(hot, "request_key", "left").withColumn("_salt", F.pmod(spread, F.coalesce("_salts", F.lit(1))).cast("int"))
+    right = known.join(hot, "request_key", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), ["request_key", "_salt"]).drop("_salt")
 
 
 def system_prompt(template: Column, values: dict[str, Column]) -> Column:

@@ -1,6 +1,7 @@
 """Cases the tables lack, and order-dependent rules against brute force."""
 import random
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -170,6 +171,30 @@ def test_html_blocks(spark):
                    ("paragraph", "alt", "a picture"), ("paragraph", "", "item text")]
 
 
+def test_html_blocks_leave_in_parts():
+    import pyarrow as pa
+    pages = [f"<p>page {i}</p><p>more</p>" for i in range(500)] + [None, "", "<p>" + "x" * (1 << 20) + "</p>", "<p>last</p>"]
+    out = list(H._arrow_blocks([pa.RecordBatch.from_pydict({"page_id": list(range(504)), "html": pages})], "page_id"))
+    assert [b.num_rows for b in out] == [400, 400, 201, 1]
+    assert [(r["page_id"], r["seq"]) for b in out for r in b.to_pylist()] == [(i, k) for i in range(500) for k in (0, 1)] + [(502, 0), (503, 0)]
+
+
+def test_model_is_asked_in_small_batches(spark, monkeypatch):
+    x = spark.range(2000, numPartitions=1).select("id", F.concat(F.lit("t"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))).alias("text"))
+    cache = x.where("id in (0, 1)").select(F.sha2(F.to_json(F.struct("text")), 256).alias("request_key"), F.lit("old").alias("reply"))
+    model = lambda rows: rows["text"] + " " + str(len(rows))
+    for hot in (10, 10**6):  # every second request is the same one: spread over tasks, and not
+        monkeypatch.setattr(X, "HOT", hot)
+        monkeypatch.setattr(X, "fits_broadcast", lambda df: False)
+        got = X.answer(x, cache, model, ["text"])[0].collect()
+        assert {r.id: r.reply.split()[0] for r in got} == {i: "old" if i % 2 == 0 or i == 1 else f"t{i}" for i in range(2000)} and len(got) == 2000
+        assert max(int(r.reply.split()[1]) for r in got if not r.hit) <= 500
+    seg = x.select(F.col("id").alias("doc_id"), F.lit(0).alias("segment_no"), F.array(F.struct(
+        F.lit("b0").alias("block_id"), F.lit("").alias("group_id"), "text")).alias("blocks"))
+    done, _ = X.translate(seg, lambda r: "[[BLOCK:b0]]\n" + pd.Series([str(len(r))] * len(r), index=r.index))
+    assert done.agg(F.max(F.col("translated_text").cast("int"))).first()[0] <= 500
+
+
 def test_reply_cache_files(spark, tmp_path):
     from termflow.sources.resources import reply_cache
     (tmp_path / ("a" * 64 + ".json")).write_text('{"reply": "hi"}')
