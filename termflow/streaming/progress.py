@@ -171,27 +171,34 @@ class StageTiming(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "at long, event_id long", "status string, done long, total long")
+        self.events = handle.getValueState("events", "at array<long>, event_id array<long>, status array<string>, done array<long>, total array<long>")
         self.before = handle.getValueState("before", "at long, event_id long, status string, start long")
 
+    def _held(self) -> dict:
+        """The events of a run, which are one value: a call to the state costs more than what it carries."""
+        packed = self.events.get()
+        return {} if packed is None else {(at, event): rest for at, event, *rest in zip(*packed, strict=True)}
+
     def handleInputRows(self, key, rows, timerValues):
-        before = self.before.get() if self.before.exists() else None
-        held = {tuple(k): tuple(v) for k, v in self.events.iterator()}
+        before = self.before.get()
+        held = self._held()
         new, lost = {}, []
         for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            for at, event, status, done, total in zip(*[frame[c] for c in ("at", "event_id", "status", "segments_done", "total")], strict=True):
+            number = lambda c: [None if v is None or v != v else int(v) for v in frame[c].tolist()]
+            status_of = [v if isinstance(v, str) else None for v in frame["status"].tolist()]
+            for at, event, status, done, total in zip(frame["at"].tolist(), number("event_id"), status_of, number("segments_done"), number("total"), strict=True):
                 if before is not None and (at, event) <= (before[0], before[1]):
                     lost.append((key[0], event, status, None, None, 0.0 if status == "done" else None))
                 else:
                     new[(at, event)] = (status, done, total)
-        for k, v in new.items():
-            self.events.updateValue(k, v)
         out = lost
         if new:
-            out = lost + self._told(key[0], {**held, **new}, before, min(new))[0]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+            events = {**held, **new}
+            self.events.update(tuple(map(list, zip(*[(*place, *rest) for place, rest in events.items()], strict=True))))
+            out = lost + self._told(key[0], events, before, min(new))[0]
+        if held or before is not None:  # else the run has no timer yet
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["run_id", "event_id", "status", "elapsed", "per_segment", "eta"]).astype(
@@ -217,8 +224,8 @@ class StageTiming(StatefulProcessor):
         return out, status_before, start
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        events = {tuple(k): tuple(v) for k, v in self.events.iterator()}
-        before = self.before.get() if self.before.exists() else None
+        events = self._held()
+        before = self.before.get()
         if events:
             last = max(events)
             _, status, start = self._told(key[0], events, before, last)
@@ -252,7 +259,8 @@ def live_timing(events: DataFrame, total: Column, folder: str | None = None, idl
 
 
 class CueSessions(StatefulProcessor):
-    """Sessions of a key as intervals that do not touch, by start; a cue joins those it touches. A session is
+    """Sessions of a key as intervals that do not touch, by start; a cue joins those it touches. They are one value, as
+    a call to the state costs more than what it carries; each is dropped `idle_ms` after its last change. A session is
     known by its start and the time of the batch that it was born in, so one that the state has forgotten
     is not taken for a new one with the same start."""
 
@@ -260,24 +268,27 @@ class CueSessions(StatefulProcessor):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
-        self.open = handle.getMapState("open", "start long", "until long, n long, born long", self.idle_ms)
+        self.open = handle.getValueState("open", ", ".join(f"{c} array<long>" for c in ("start", "until", "n", "born", "touched")), self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         fresh: list[tuple[int, int, int]] = []
         for frame in rows:
             cues = sorted(zip(frame["start"].tolist(), frame["until"].tolist(), [1] * len(frame), strict=True))
             fresh = merged_intervals(sorted(fresh + cues))
-        held = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        now = {s: (u, n) for s, u, n in merged_intervals(sorted([*((s, u, n) for s, (u, n, _) in held.items()), *fresh]))}
+        packed, time = self.open.get(), timerValues.getCurrentProcessingTimeInMs()
+        held = {s: rest for s, *rest in zip(*packed, strict=True) if rest[3] + self.idle_ms > time} if packed is not None else {}
+        now = {s: (u, n) for s, u, n in merged_intervals(sorted([*((s, u, n) for s, (u, n, *_) in held.items()), *fresh]))}
         out = []
         for start in held.keys() - now.keys():
-            self.open.removeKey((start,))
             out.append((start, held[start][2], held[start][0], 0))
+        kept = []
         for start, session in now.items():
-            born = held[start][2] if start in held else timerValues.getCurrentProcessingTimeInMs()
-            if held.get(start) != (*session, born):
-                self.open.updateValue((start,), (*session, born))
+            born, touched = held[start][2:] if start in held else (time, time)
+            if start not in held or tuple(held[start][:2]) != session:
+                touched = time
                 out.append((start, born, *session))
+            kept.append((start, *session, born, touched))
+        self.open.update(tuple(map(list, zip(*kept, strict=True))))
         yield pd.DataFrame([(key[0], *s) for s in out], columns=["key", "start", "born", "until", "n_cues"])
 
     def close(self) -> None:
@@ -299,7 +310,7 @@ def cue_sessions(cues: DataFrame, gap_seconds: float, idle_ms: int = DAY_MS, fol
     """(key, session_start, session_end, n_cues) of a stream of (key, start_at, seconds): all sessions,
     open ones too; a pause of exactly the gap stays inside, session_end includes the gap.
 
-    A key's sessions are map state by their start. A cue extends or joins the sessions it touches,
+    A key's sessions are one value of its state. A cue extends or joins the sessions it touches,
     however late it is; every change is emitted as a version, and a start that is joined to another with
     no cues. A session that nothing touched for `idle_ms` of processing time leaves the state; a cue that
     touches it later makes a session of its own, which the reader joins to it. So the result is that of

@@ -514,6 +514,30 @@ def test_empty_streams(spark, few_partitions, tmp_path):
     assert P.cue_sessions(cues, 1).collect() == [] and P.unique_requests(stream.selectExpr("status request_key")).collect() == []
 
 
+def test_state_calls_do_not_grow_with_events():
+    from types import SimpleNamespace
+
+    class Value:
+        calls, value = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    for processor, frame, n in (
+            (P.StageTiming(1000), pd.DataFrame({"at": range(500), "event_id": range(500), "status": "translating", "segments_done": [None, 1] * 250, "total": 9}), 500),
+            (P.CueSessions(1000), pd.DataFrame({"start": range(0, 5000, 10), "until": range(5, 5005, 10)}), 500)):
+        made = []
+        processor.init(SimpleNamespace(getValueState=lambda *_: made.append(Value()) or made[-1], listTimers=lambda: [], registerTimer=lambda t: None))
+        timer = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 5)
+        assert sum(map(len, processor.handleInputRows((1,), [frame], timer))) == n
+        assert sum(map(len, processor.handleInputRows((1,), [frame.tail(1)], timer))) == 1
+        assert sum(v.calls for v in made) <= 8 and len(made[0].value[0]) == n
+
+
 def test_intake_replaces_files(spark, few_partitions, tmp_path):
     write = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
