@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import simhash
 from .common import Forest, components, whole_groups
 from .decontaminate import rolling
 
@@ -127,11 +128,21 @@ def _links(frames: Iterator[pd.DataFrame], words: int, least: float) -> Iterator
                 yield pd.DataFrame({"a": name[s + tree[:, 0]], "b": name[s + tree[:, 1]]})
 
 
+def fingerprint_links(base: DataFrame, text: str) -> DataFrame:
+    """Classes (a, b) that the groups of fingerprints of op9 connect: each row's with that of the head of its group."""
+    rows = base.select("_row", "_class", F.col("_doc")[text].alias("text"))
+    groups = simhash.simhash_groups(rows, "_row", "text").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_head"))
+    heads = base.select(F.col("_row").alias("_head"), F.col("_class").alias("b"))
+    led = groups.where("_row <> _head").join(base.select("_row", F.col("_class").alias("a")), "_row")
+    return led.join(heads, "_head").where("a <> b").select("a", "b").distinct()
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                least: float = JACCARD) -> DataFrame:
+                least: float = JACCARD, fingerprints: bool = False) -> DataFrame:
     """One row of every group of texts linked at a Jaccard similarity of `least` or more: the one with the
     smallest id, null after all others; of rows with one id one stays.
 
+    With `fingerprints`, texts whose fingerprints op9 links are linked too, so a group is what both connect.
     Texts without a word are one group. Other columns stay as they are, whatever their names.
     """
     base = sketched(docs, text, words)
@@ -151,6 +162,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                    F.col("node").alias("class"), "text"))
     links = (cut.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
              .mapInPandas(lambda it: _links(it, words, least), "a long, b long"))
+    if fingerprints:
+        links = fingerprint_links(base, text).union(links)
     top = components(links, "shingle-links").withColumnRenamed("component", "_top")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"))
     kept = (base.select("_row", "_class", F.col("_doc")[doc_id].alias("_id")).join(top, F.col("_class") == F.col("node"), "left")

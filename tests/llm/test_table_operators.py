@@ -116,6 +116,17 @@ def test_one_of_each_matches_brute_force(spark, monkeypatch):
     assert shingles.one_of_each(docs.limit(0)).collect() == []
 
 
+def test_pipeline_groups_go_through_fingerprints(spark):
+    """Two texts of one fingerprint with few runs of five words in common, one with a near copy at 0.8."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    a, b = (" ".join(["one two three"] * 300 + [word() for _ in range(30)]) for _ in range(2))
+    near = b + " " + word()
+    assert bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") <= 2 and plain_jaccard(a, b) < 0.2 and plain_jaccard(b, near) > 0.8
+    docs = spark.createDataFrame([(7, a), (5, b), (3, near), (None, b), (1, "quite another text")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()} == {1, 3}
+
+
 def test_alike_counts_rare_and_common_shingles(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)]
