@@ -124,6 +124,8 @@ READER_BY_EXTENSION = {
 # Characters that Unicode-aware stripping removes.
 WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# Blanks of every width, without tabs and line ends (Unicode's space separators).
+SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 # Patterns (Java regex syntax).
 WORD = r"[^\s\p{Z}\x{85}\x{1c}-\x{1f}]+"

@@ -231,21 +231,24 @@ def next_previews(docs: DataFrame, chars: int = K.PREVIEW_CHARS) -> DataFrame:
 
 
 def previous_contexts(docs: DataFrame, texts: str = "translations", chars: int = K.CONTEXT_CHARS,
-                      window: int = K.SEGMENTS_PER_WINDOW) -> DataFrame:
+                      window: int = K.SEGMENTS_PER_WINDOW, filled: bool = False) -> DataFrame:
     """(doc_id, segment_no, context): the last characters translated before a segment's window.
 
-    `texts` holds the translated text per segment. The walk keeps one short string per window.
+    `texts` holds the translated text per segment, stripped; `filled` leaves out the rows of segments without
+    one. The walk keeps one short string per window, with the blanks that a cut leaves at its start, so what is
+    kept never falls short of the last characters.
     """
     seg = F.col(texts)
-    step = lambda acc, t: F.when(t == "", F.right(acc, F.lit(chars))).otherwise(
-        F.right(T.strip(F.concat(acc, F.lit("\n"), t)), F.lit(chars)))
+    step = lambda acc, t: F.when(t == "", acc).otherwise(
+        F.right(F.when(acc == "", t).otherwise(F.concat(acc, F.lit("\n"), t)), F.lit(chars)))
     n = F.ceil(F.size(seg) / window).cast("int")
     groups = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                          lambda w: F.slice(seg, (w - 1) * window + 1, F.lit(window)))
     states = F.aggregate(groups, F.array(F.lit("")), lambda acc, g: F.concat(acc, F.array(
         F.aggregate(g, F.element_at(acc, -1), step))))
-    return docs.select("doc_id", F.posexplode_outer(T.let(states, lambda held: F.transform(
-        seg, lambda _, k: F.get(held, F.floor(k / window).cast("int"))))).alias("segment_no", "context")).where("segment_no is not null")
+    rows = docs.select("doc_id", F.posexplode_outer(T.let(states, lambda held: F.transform(seg, lambda t, k: F.struct(
+        F.get(held, F.floor(k / window).cast("int")).alias("context"), (t != "").alias("filled"))))).alias("segment_no", "s"))
+    return rows.where("segment_no is not null" + (" and s.filled" if filled else "")).select("doc_id", "segment_no", "s.context")
 
 
 @F.pandas_udf(INTS)

@@ -24,7 +24,7 @@ def odd(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["markdown_blocks"])
+@pytest.mark.parametrize("name", ["markdown_blocks", "previous_contexts"])
 def test_odd_text_matches_sql(spark, odd, name):
     folder, con = odd
     message, good = compare(spark, con, load_all()[name], folder)
