@@ -54,13 +54,18 @@ def drafts(blocks: DataFrame) -> DataFrame:
 
 
 def write_named(files: DataFrame, path: str) -> None:
-    """One file for each row (name, content). Tasks write side by side; a repeated task writes the same."""
+    """One file for each row (name, content); a name may hold folders. Tasks write side by side; a repeated task writes the same."""
     def write(rows):
         from pyarrow import fs
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder)
+        made = {folder}
         for r in rows:
-            with store.open_output_stream(f"{folder}/{r.name}") as out:
+            name = f"{folder}/{r.name}"
+            if (parent := name.rpartition("/")[0]) not in made:
+                store.create_dir(parent)
+                made.add(parent)
+            with store.open_output_stream(name) as out:
                 out.write(r.content.encode())
 
     files.select("name", "content").foreachPartition(write)

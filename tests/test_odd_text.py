@@ -24,8 +24,26 @@ def odd(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["markdown_blocks", "previous_contexts"])
+@pytest.mark.parametrize("name", ["markdown_blocks", "previous_contexts", "scanned_files"])
 def test_odd_text_matches_sql(spark, odd, name):
     folder, con = odd
     message, good = compare(spark, con, load_all()[name], folder)
     assert good, message
+
+
+def test_driver_lists_no_files(spark, tmp_path):
+    """Files in folders of several levels, one of them empty, are listed by tasks; Spark's file index sees only stored tables."""
+    from termflow.sources.files import documents, scan
+    for i in range(400):
+        at = tmp_path / f"in {i % 3}" / str(i % 7)
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{i}.{('txt', 'md', 'exe')[i % 3]}").write_text("" if i % 50 == 0 else f"text {i}")
+    (tmp_path / "none").mkdir()
+    (tmp_path / ".hidden.txt").write_text("x")
+    found = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = found.getCount()
+    good, bad = scan(spark, str(tmp_path))
+    assert sorted(r.text for k in ("txt", "md") for r in documents(good, k).collect()) == sorted(
+        "" if i % 50 == 0 else f"text {i}" for i in range(400) if i % 3 < 2)
+    assert {(r.path.rpartition("/")[2], r.verdict) for r in bad.collect()} == {(f"{i}.exe", "unsupported") for i in range(2, 400, 3)}
+    assert found.getCount() - before < 100
