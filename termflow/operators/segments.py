@@ -303,10 +303,3 @@ def list_groups(docs: DataFrame) -> DataFrame:
                 "doc_id", "b.block_no", "para_index",
                 F.concat(F.when(F.col("b.list_id").isNotNull(), "body_list_").otherwise("body_p_"), F.col("at")).alias("group_id"),
                 F.when(F.col("b.list_id").isNotNull(), "body_list").otherwise("body_paragraph").alias("group_kind")))
-
-
-def first_use(hits: DataFrame, segment_blocks: DataFrame) -> DataFrame:
-    """First segment of a document that contains a term."""
-    where = segment_blocks.select("doc_id", "block_no", "segment_no")
-    return (hits.join(where, ["doc_id", "block_no"]).groupBy("doc_id", "term")
-            .agg(F.min("segment_no").alias("segment_no")))
